@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.llm import mixing, planes
+from lakeshore.llm import mixing, planes, tiff, warc
 from lakeshore.registry import Registry
 from lakeshore.sources.tables import table
 
@@ -19,6 +19,35 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+@REGISTRY.register("op3_tiff")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tiff.tiff_pages(tiff.with_tiff(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    pixels = F.col("tiff.pixels")
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(pixels).cast("long").alias("payload_bytes"),
+        F.sha2(pixels, 256).alias("payload_sha256"),
+        F.crc32(F.substring(pixels, -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.col("tiff.feature").alias("feature"),
+    )
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f
+"""
+
+
+@REGISTRY.register("op4_warc", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, hash(text) AS h,
                   md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
