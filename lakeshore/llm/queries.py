@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.llm import mixing, planes, tiff, warc
+from lakeshore.llm import decontamination, language, mixing, planes, tiff, warc
 from lakeshore.registry import Registry
 from lakeshore.sources.tables import table
 
@@ -72,3 +72,40 @@ SELECT doc_id, size, source_size, target, ((floor(rank * rate + off) - floor((ra
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return x.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bp AS (SELECT item, ws, least(len(ws), 10) AS m, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item, m, array_to_string(ws[i:i + m - 1], ' ') AS g FROM bp),
+dp AS (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM w) WHERE len(ws) >= m),
+h AS (SELECT dp.doc_id, dp.i, dp.m, w.item FROM dp JOIN w ON w.m = dp.m AND w.g = array_to_string(dp.ws[dp.i:dp.i + dp.m - 1], ' ')),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(t.items, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+
+@REGISTRY.register("op7_decontamination", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = decontamination.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
+    return x.select(
+        "doc_id",
+        "leak.n_words",
+        "leak.n_hit",
+        F.size("leak.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "leak.items").cast("binary"), 256).alias("items_sha256"),
+        (F.col("leak.n_hit") > 0).alias("contaminated"),
+    )
+
+
+@REGISTRY.register("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language.fold(F.col("doc_id"), 5) == 0
+    model = language.fitted(docs.filter(~held_out).select("text", "lang"))
+    scored = language.identified(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "lang_pred", "score")

@@ -9,6 +9,7 @@ from typing import BinaryIO
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,3 +69,8 @@ def opened(uri: str):
     """A seekable input file for ``uri``."""
     store, path = _store(uri)
     return store.open_input_file(path)
+
+
+def widened(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` with the fields of ``ddl`` after its own."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

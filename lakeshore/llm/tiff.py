@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeshore.llm.shared import widened
+
 #: Struct letters by field type number.
 FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 #: Compression numbers.
@@ -226,7 +228,7 @@ def with_tiff(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 KINDS = {"page": pa.int32(), "width": pa.int64(), "height": pa.int64(), "samples": pa.int32(), "bits": pa.int32(), "compression": pa.string(), "predictor": pa.int32(), "n_blocks": pa.int32(), "pixels": pa.binary(), "feature": pa.string(), "error": pa.string()}
-PAGE = "page int, width long, height long, samples int, bits int, compression string, predictor int, n_blocks int, pixels binary, feature string, error string"
+PAGE = "tiff struct<page:int,width:long,height:long,samples:int,bits:int,compression:string,predictor:int,n_blocks:int,pixels:binary,feature:string,error:string>"
 
 
 def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -248,4 +250,4 @@ def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
                 found = pa.StructArray.from_arrays([pa.array([p.get(n) for p in pages], kind) for n, kind in KINDS.items()], names=list(KINDS))
                 yield pa.RecordBatch.from_arrays([*own.columns, found], names=[*batch.schema.names, "tiff"])
 
-    return df.mapInArrow(decode, T.StructType([*df.schema.fields, T.StructField("tiff", T.StructType.fromDDL(PAGE))]))
+    return df.mapInArrow(decode, widened(df, PAGE))
