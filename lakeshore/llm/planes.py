@@ -26,7 +26,7 @@ from lakeshore.llm.shared import new_folder, opened, publish, staged, unstaged
 MAGIC, TRAILER = b"LSPLANE1", struct.Struct("<QQ8s")
 BLOCK_IDS = 1 << 16
 #: Encoded chunks of text that a Python worker remembers at most (bounded memory; no effect on results).
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class ChunkEncoder:
@@ -94,18 +94,25 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (doc_id, ids) for each row of ``docs``; ids as little-endian unsigned 32-bit integers in a binary column."""
+def id_type(tokenizer: str) -> str:
+    """The smallest unsigned type that holds all ids of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, kind: str = "<u4", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (doc_id, ids) for each row of ``docs``; ids as little-endian unsigned integers of ``kind`` in a binary column."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
             _encoders[tokenizer] = ChunkEncoder(tokenizer)
         encoder = _encoders[tokenizer]
-        end = b"" if end_id is None else struct.pack("<I", end_id)
+        end = b"" if end_id is None else np.array([end_id], kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [x.tobytes() + end for x in encoder.encode(part.column(1).to_pylist())]
+                ids = [x.astype(kind).tobytes() + end for x in encoder.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, ids binary")
@@ -133,8 +140,8 @@ def from_planes(planes: list[bytes], n: int, kind: str, width: int) -> np.ndarra
 
 
 class _ShardWriter:
-    def __init__(self, out, kind: str, level: int, block_ids: int) -> None:
-        self.out, self.kind, self.block_ids = out, kind, block_ids
+    def __init__(self, out, kind: str, level: int, block_ids: int, ids_as: str) -> None:
+        self.out, self.kind, self.block_ids, self.ids_as = out, kind, block_ids, np.dtype(ids_as)
         self.zip = zstandard.ZstdCompressor(level=level)
         self.at = out.write(MAGIC) or len(MAGIC)
         self.waiting: list[bytes] = []
@@ -143,21 +150,22 @@ class _ShardWriter:
         self.blocks: list[list[int]] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((doc_id is None, doc_id or 0, len(ids) // 4))
+        n = len(ids) // self.ids_as.itemsize
+        self.docs.append((doc_id is None, doc_id or 0, n))
         self.waiting.append(ids)
-        self.n_waiting += len(ids) // 4
+        self.n_waiting += n
         if self.n_waiting >= self.block_ids:
             self.flush(False)
 
     def flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.waiting), "<u4")
+        ids = np.frombuffer(b"".join(self.waiting), self.ids_as)
         whole = len(ids) if last else len(ids) // self.block_ids * self.block_ids
         for k in range(0, whole, self.block_ids):
             block = ids[k : min(k + self.block_ids, whole)]
             width = max(1, (int(block.max()).bit_length() + 7) // 8)
             planes = [self.zip.compress(x) for x in block_planes(block, self.kind, width)]
             sizes = [len(x) for x in planes] + [0] * (32 - len(planes))
-            self.blocks.append([self.at, len(block), zlib.crc32(block.tobytes()), width, *sizes])
+            self.blocks.append([self.at, len(block), zlib.crc32(block.astype("<u4").tobytes()), width, *sizes])
             for plane in planes:
                 self.out.write(plane)
                 self.at += len(plane)
@@ -172,7 +180,7 @@ class _ShardWriter:
         return len(docs), int(docs[:, 2].sum())
 
 
-def write_shards(tokens: DataFrame, folder: str, kind: str = "byte", level: int = 3, block_ids: int = BLOCK_IDS) -> DataFrame:
+def write_shards(tokens: DataFrame, folder: str, kind: str = "byte", level: int = 3, block_ids: int = BLOCK_IDS, ids_as: str = "<u4") -> DataFrame:
     """Write (doc_id, ids) as shard files in ascending doc_id order; returns (shard, uri, n_docs, n_tokens), staged.
 
     Shards are the partitions of a range partitioning: shard numbers ascend with doc_id.
@@ -186,7 +194,7 @@ def write_shards(tokens: DataFrame, folder: str, kind: str = "byte", level: int
         uri = f"{folder}/shard-{shard:07d}.planes"
 
         def body(out):
-            writer = _ShardWriter(out, kind, level, block_ids)
+            writer = _ShardWriter(out, kind, level, block_ids, ids_as)
             batch = first
             while batch is not None:
                 for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -263,7 +271,8 @@ def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, folder: str | None = None, with_ids: bool = False, **how) -> DataFrame:
     """Encode ``docs``, write the shard files and read them back: the whole operator."""
     spark = docs.sparkSession
-    tokens = staged(encoded(docs, tokenizer, end_id), "token-ids")  # range partitioning reads it twice
-    shards = write_shards(tokens, folder or new_folder(spark, "planes"), **how)
+    ids_as = id_type(tokenizer)
+    tokens = staged(encoded(docs, tokenizer, end_id, ids_as), "token-ids")  # range partitioning reads it twice
+    shards = write_shards(tokens, folder or new_folder(spark, "planes"), ids_as=ids_as, **how)
     unstaged(tokens)
     return read_shards(shards, with_ids)
