@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.llm import chosen_path, decontamination, language, mixing, planes, tiff, warc
+from lakeshore.llm import chosen_path, decontamination, language, mixing, planes, suffixes, tiff, warc
 from lakeshore.registry import Registry
 from lakeshore.sources.tables import table
 
@@ -127,3 +127,8 @@ SELECT m.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, m.doc_id
 @REGISTRY.register("op10_chosen_path", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@REGISTRY.register("op6_suffixes")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
