@@ -10,12 +10,15 @@ an empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -29,66 +32,114 @@ BLOCK_IDS = 1 << 16
 REMEMBERED = 1_000_000
 
 
+class _Lists:
+    """Lists of ids by key, kept end to end."""
+
+    def __init__(self) -> None:
+        self.index: dict = {}
+        self.flat, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def add(self, keys: list, flat: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.index)
+        end = self.starts[n]
+        while len(self.flat) < end + len(flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while len(self.starts) < n + len(keys) + 1:
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+        self.flat[end : end + len(flat)] = flat
+        self.starts[n + 1 : n + len(keys) + 1] = end + np.cumsum(sizes)
+        self.index.update(zip(keys, range(n, n + len(keys))))
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of many keys, end to end."""
+        begin = self.starts[rows]
+        sizes = self.starts[rows + 1] - begin
+        place = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+        place += np.arange(len(place))
+        return self.flat[place], sizes
+
+
 class ChunkEncoder:
-    """Exact ids of whole texts by a `tokenizers` file whose tokens never cross ASCII white space.
+    """Exact ids of whole texts by a `tokenizers` file whose tokens never cross ASCII white space or PARTS.
 
-    Texts are cut at ASCII white space, distinct pieces are encoded once, and the ids are put together again. Texts
-    that hold the separator or the start of a special token go through the library whole.
+    Texts are cut at ASCII white space; distinct pieces are cut into parts, distinct parts are encoded once by the
+    library, and the ids are put together again. Pieces with letters beyond U+024F go through the library whole, and so do
+    texts that hold the separator or the start of a special token.
     """
 
     SEPARATOR, SPECIAL = "\x01", "<|"
+    #: Fixed value: how the tokenizer file cuts a text into words.
+    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    #: Such text is its own normal form, and lower-cases character by character.
+    PLAIN = re.compile("[\0-\u024f]*")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.last_of_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last_of_word[[k for w, k in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         (self.mark,) = self._whole([self.SEPARATOR])[0]
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids, self.starts = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        self.pieces, self.parts = _Lists(), _Lists()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Ids of all new pieces, from a few long texts in which the separator stands between pieces."""
-        between = f" {self.SEPARATOR} "
+    def _learn_parts(self, new: list[str]) -> None:
         for at in range(0, len(new), 2000):
             part = new[at : at + 2000]
-            ids = np.array(self._whole([between.join(x.decode() for x in part)])[0], np.uint32)
+            ids = np.array(self._whole([" ".join(part)])[0], np.uint32)
+            ends = np.flatnonzero(self.last_of_word[ids]) + 1
+            assert len(ends) == len(part)
+            self.parts.add(part, ids, np.diff(ends, prepend=0))
+
+    def _learn_whole(self, new: list[bytes]) -> None:
+        """Pieces from a few long texts in which the separator stands between them."""
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            ids = np.array(self._whole([f" {self.SEPARATOR} ".join(x.decode() for x in part)])[0], np.uint32)
             cuts = np.flatnonzero(ids == self.mark)
             assert len(cuts) == len(part) - 1
-            ends = np.append(cuts, len(ids)) - np.arange(len(part))
-            self.index.update(zip(part, range(len(self.index), len(self.index) + len(part))))
-            self.ids.append(np.delete(ids, cuts))
-            self.starts.append(self.starts[-1][-1] + ends)
+            sizes = np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
+            self.pieces.add(part, np.delete(ids, cuts), sizes)
+
+    def _learn(self, new: list[bytes]) -> None:
+        texts = [x.decode() for x in new]
+        plain = [self.PLAIN.fullmatch(t) is not None for t in texts]
+        self._learn_whole([x for x, own in zip(new, plain) if not own])
+        keys = [x for x, own in zip(new, plain) if own]
+        cut = [self.PARTS.findall(t.lower()) for t, own in zip(texts, plain) if own]
+        flat = list(chain.from_iterable(cut))
+        self._learn_parts(list({x for x in flat if x not in self.parts.index}))
+        ids, sizes = self.parts.take(np.fromiter(map(self.parts.index.__getitem__, flat), np.int64, len(flat)))
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, cut)])]
+        self.pieces.add(keys, ids, np.diff(ends))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.index) > REMEMBERED:
+        if len(self.pieces.index) > REMEMBERED:
             self.forget()
-        out: list[np.ndarray | None] = [None] * len(texts)
-        pieces: list[tuple[int, list[bytes]]] = []
+        own: dict[int, np.ndarray] = {}
+        flat: list[bytes] = []
+        ends = [0]
         for i, text in enumerate(texts):
             if text and (self.SEPARATOR in text or self.SPECIAL in text):
-                out[i] = np.array(self._whole([text])[0], np.uint32)
-            else:
-                raw = (text or "").encode()
+                own[i] = np.array(self._whole([text])[0], np.uint32)
+            elif text:
+                raw = text.encode()
                 # ASCII letters only: lowering them before the library does changes nothing
-                pieces.append((i, (raw.lower() if raw.isascii() else raw).split()))
-        known = self.index
-        new = list({x for _, doc in pieces for x in doc if x not in known})
-        if new:
-            self._learn(new)
-            self.ids, self.starts = [np.concatenate(self.ids)], [np.concatenate(self.starts)]
-        flat, starts = self.ids[0], self.starts[0]
-        for i, doc in pieces:
-            at = np.fromiter(map(known.__getitem__, doc), np.int64, len(doc))
-            begin, length = starts[at], starts[at + 1] - starts[at]
-            shift = np.repeat(begin - (np.cumsum(length) - length), length)
-            out[i] = flat[shift + np.arange(len(shift))]
-        return out
+                flat += (raw.lower() if raw.isascii() else raw).split()
+            ends.append(len(flat))
+        known = self.pieces.index
+        rows = np.fromiter(map(known.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(missing := np.flatnonzero(rows < 0).tolist()):
+            self._learn(list({flat[k] for k in missing}))
+            rows[missing] = [known[flat[k]] for k in missing]
+        ids, sizes = self.pieces.take(rows)
+        at = np.concatenate(([0], np.cumsum(sizes)))[ends].tolist()
+        return [own.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(at, at[1:]))]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -110,8 +161,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, kind: str = "<u
         encoder = _encoders[tokenizer]
         end = b"" if end_id is None else np.array([end_id], kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 ids = [x.astype(kind).tobytes() + end for x in encoder.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from lakeshore.llm import planes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["It's A   test, isn't it? Ünïcödé’s H̱ ", "", None, "a\x01b <|endoftext|> c", "x" * 3000 + " tail word ́mark", "same same", "same same", "ΣΑΣ σας 12345 ###!?"]
+TEXTS = ["It's A   test, isn't it? Ünïcödé’s H̱ ", "", None, "a\x01b <|endoftext|> c", "x" * 3000 + " tail word ́mark", "same same", "same same", "ΣΑΣ σας 12345 ###!?", "x² ¼ ªº don't's ''s Éa\u00a0b\x85c d_e\x1cf\tg ŉ İI"]
 DOCS = [(i if i != 3 else None, t, "k", 1) for i, t in enumerate(TEXTS)] + [(5, "same same", "k", 2)]
 
 
