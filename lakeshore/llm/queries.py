@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.llm import chosen_path, decontamination, language, mixing, planes, suffixes, tiff, warc
+from lakeshore.llm import chosen_path, decontamination, language, mixing, pii, planes, suffixes, tiff, toxicity, warc
 from lakeshore.registry import Registry
 from lakeshore.sources.tables import table
 
@@ -19,6 +19,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """The model of all labels outside the held-out third."""
+    return toxicity.fitted(documents, labels.filter(language.fold(F.col("doc_id"), 3) != 1))
+
+
+@REGISTRY.register("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    held_out = language.fold(F.col("doc_id"), 3) == 1
+    return toxicity.scored(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
 @REGISTRY.register("op3_tiff")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tiff.tiff_pages(tiff.with_tiff(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -102,6 +115,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def span_list(spans: str) -> Column:
+    """kind:start:end of each span, by kind as the operator lists them, then start; comma-joined."""
+    each = F.transform(F.col(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return F.concat_ws(",", each)
+
+
+@REGISTRY.register("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.found_in(docs, pii.fitted(docs))
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    order = F.create_map(*[x for k, kind in enumerate(pii.KINDS) for x in (F.lit(kind), F.lit(k))])
+    rank = lambda s: F.struct(order[s["kind"]].alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+    both = found.withColumn("both", F.array_sort(F.transform(F.concat("base", "added"), rank)))
+    return both.select("doc_id", *[of(k) for k in pii.KINDS], F.sha2(span_list("base").cast("binary"), 256).alias("base_sha256"), span_list("both").alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 @REGISTRY.register("op9_language")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
