@@ -5,9 +5,11 @@ selected minwise token; small nodes are compared exhaustively by sketches, large
 each, chosen by the node), and pairs that may be linked are confirmed on the full shingle sets of their texts. A pair at the
 threshold misses all trees with a chance of about (1 - 0.75) ** 10, one in a million, and a sketch with one in ten million.
 
-Groups of thousands of near copies never expand to all pairs: each large node first compares its classes with one pivot,
-each class's best candidate is confirmed, and what is connected already isn't compared again. The rest of a large node
-(classes apart from the pivot's component) is compared with the whole node, in blocks, where branching ends.
+Groups of thousands of near copies never expand to all pairs. Each large node first compares its classes with one
+pivot; what may link to pivots makes clusters, and each class's best candidate is confirmed, which joins most of a
+cluster. Only classes of a cluster that are still apart from its main part are compared with the whole cluster, by full
+shingle sets, in blocks of BLOCK_BYTES against chunks of CHUNK_BYTES; of what they find, only as many rows leave a task as it
+read. Branching goes on between clusters alone; where it ends, the rest of a node is compared with the node in blocks.
 
 Cases: texts without words have no shingles and no links; texts of fewer than five words have one shingle; null ids
 link with nothing (component null, kept); rows that repeat an id are one node; ties don't matter; an empty table
@@ -30,6 +32,8 @@ from lakeshore.llm.shared import staged
 SHINGLE, THRESHOLD = 5, 75  # words; percent
 TREES, BRANCHES, DEPTH, LEAF = 10, 3, 3, 64
 TOKENS = 64
+#: Text of a cluster's classes that is held, and that is streamed against it, in one task.
+BLOCK_BYTES, CHUNK_BYTES = 1 << 20, 16 << 20
 #: Equal sketch bytes, of TOKENS, below which a pair isn't confirmed: 48 are expected at the threshold, deviation 3.5.
 LEAST_EQUAL = 30
 _odd = np.random.default_rng(20).integers(0, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -197,42 +201,125 @@ def _counted(rows: DataFrame, extra: list[Column]) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), *extra).filter("n > 1 and lo != hi").drop("lo", "hi")
 
 
+def _labelled(x: DataFrame, labels: DataFrame, end: str, name: str) -> DataFrame:
+    """``x`` with the label of column ``end`` in column ``name``; what has no label is its own."""
+    known = labels.select(F.col("node").alias(end), F.col("label").alias("known"))
+    return x.join(known, end, "left").withColumn(name, F.coalesce("known", end)).drop("known")
+
+
+class _Block:
+    """Shingle sets of a block's classes, to be compared with one set at a time."""
+
+    def __init__(self, rows: list[tuple[int, int, str]]) -> None:
+        self.rep, self.label = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        sets = [shingles(r[2]) for r in rows]
+        self.size = np.array(list(map(len, sets)))
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        by = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[by], owner[by]
+
+    def links(self, own: np.ndarray, label: int) -> np.ndarray:
+        """Which of the block's classes with another label are linked with the set ``own``."""
+        lo, hi = np.searchsorted(self.flat, own, "left"), np.searchsorted(self.flat, own, "right")
+        many = hi - lo
+        at = np.repeat(lo - (np.cumsum(many) - many), many)
+        at += np.arange(len(at))
+        common = np.bincount(self.owner[at], minlength=len(self.size))
+        return (100 * common >= THRESHOLD * (self.size + len(own) - common)) & (self.label != label)
+
+
+def _forest(rep: np.ndarray, block: _Block, links: np.ndarray) -> pa.RecordBatch:
+    """As few pairs as connect what ``links`` (rows x block) connects."""
+    none = len(block.rep)
+    of_column = np.arange(none)
+    while True:
+        of_row = np.where(links, of_column, none).min(axis=1, initial=none)
+        new = np.minimum(of_column, np.where(links, of_row[:, None], none).min(axis=0, initial=none))
+        if (new == of_column).all():
+            break
+        of_column = new
+    row, column = np.flatnonzero(of_row < none), np.flatnonzero(of_column != np.arange(none))
+    a = np.concatenate((rep[row], block.rep[column]))
+    b = block.rep[np.concatenate((of_row[row], of_column[column]))]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def connected_in_clusters(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one component that join all linked classes of different labels inside each cluster.
+
+    ``members`` has (cluster, rep, label), ``texts`` (rep, text).
+    """
+    first = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("label").alias("label")))
+    mixed = members.groupBy("cluster").agg(first.alias("first"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("cluster", F.col("first.label").alias("main"))
+    x = staged(members.join(mixed, "cluster").join(texts, "rep").withColumn("apart", F.col("label") != F.col("main")), "cluster-rows")
+    bytes_ = F.octet_length("text")
+    sizes = x.groupBy("cluster").agg(F.ceil(F.sum(F.when(F.col("apart"), bytes_)) / BLOCK_BYTES).alias("blocks"), F.ceil(F.sum(bytes_) / CHUNK_BYTES).alias("chunks"))
+    x = x.join(sizes, "cluster")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(n).cast("long"), F.lit(1).cast("long")) - 1))
+    part = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.greatest(F.col(n).cast("long"), F.lit(1).cast("long")))
+    held = x.filter("apart").withColumn("block", part("blocks", 1)).withColumn("chunk", numbers("chunks")).withColumn("turn", F.lit(0))
+    streamed = x.withColumn("chunk", part("chunks", 2)).withColumn("block", numbers("blocks")).withColumn("turn", F.lit(1))
+    key = ["cluster", "block", "chunk"]
+    columns = [*key, "turn", "rep", "label", "text"]
+    both = held.select(*columns).unionByName(streamed.select(*columns)).repartition(*key).sortWithinPartitions(*key, "turn")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, block, reps, found = None, [], None, [], []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                *own, turn, rep, label, text = (batch.column(c)[k].as_py() for c in range(7))
+                if own != now or len(reps) == 500:
+                    if reps:
+                        yield _forest(np.array(reps), block, np.array(found))
+                    reps, found = [], []
+                if own != now:
+                    now, waiting, block = own, [], None
+                if turn == 0:
+                    waiting.append((rep, label, text))
+                    continue
+                if block is None and waiting:
+                    block, waiting = _Block(waiting), []
+                if block is not None:
+                    links = block.links(shingles(text), label)
+                    if links.any():
+                        reps.append(rep)
+                        found.append(links)
+        if reps:
+            yield _forest(np.array(reps), block, np.array(found))
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
 def linked_classes(classes: DataFrame, texts_of: DataFrame) -> DataFrame:
     """(node, label) of all classes (rep, size, mins) that have links; ``texts_of`` has (doc_id, text)."""
-    tree_rows = classes.select("rep", F.posexplode(F.slice("mins", 1, TREES)).alias("tree", "token")).select("rep", "tree", F.xxhash64("tree", "token").alias("key"), F.col("rep").alias("label"))
-    order = F.struct(F.xxhash64("rep", "tree").alias("h"), F.col("rep").alias("rep"))
-    nodes = _counted(tree_rows, [F.min(order).alias("first")]).select("key", "n", F.col("first.rep").alias("pivot"))
-    rows = staged(tree_rows.join(nodes, "key"), "tree-rows")
+    tree_rows = classes.select("rep", F.posexplode(F.slice("mins", 1, TREES)).alias("tree", "token")).select("rep", F.xxhash64("tree", "token").alias("key"), F.xxhash64("rep", "tree").alias("h"), F.col("rep").alias("label"))
+    nodes = _counted(tree_rows, [F.min(F.struct("h", "rep")).alias("first")]).select("key", "n", F.col("first.rep").alias("pivot"))
+    rows = staged(tree_rows.select("key", "rep", "label").join(nodes, "key"), "tree-rows")
     own = classes.select("rep", "size", "mins")
     small = compared_within(rows.filter(F.col("n") <= LEAF).join(own, "rep"))
     large = rows.filter(F.col("n") > LEAF)
     pivots = classes.select(F.col("rep").alias("pivot"), F.struct("rep", "size", "mins", F.col("rep").alias("label")).alias("other"))
     hubs = large.select("key", "pivot").distinct().join(pivots, "pivot").select("key", F.array("other").alias("others"))
-    star = compared_with(large.select("key", "rep", "label").join(own, "rep").join(hubs, "key"))
+    star = staged(compared_with(large.select("key", "rep", "label").join(own, "rep").join(hubs, "key")), "star")
     candidates = staged(small.unionByName(star).groupBy("a", "b").agg(F.max("equal").alias("equal")), "candidates")
 
     # the only texts that are read again: of classes in a candidate pair or a large node
     ends = candidates.select(F.col("a").alias("rep")).union(candidates.select("b")).union(large.select("rep")).distinct()
     texts = staged(texts_of.select(F.col("doc_id").alias("rep"), "text").join(ends, "rep", "left_semi"), "texts")
     tried = staged(_best(candidates), "tried")
-    sure = staged(confirmed(tried, texts), "sure")
-    labels = components(sure)
-
-    def labelled(x: DataFrame, end: str = "rep", name: str = "label") -> DataFrame:
-        known = labels.select(F.col("node").alias(end), F.col("label").alias("known"))
-        return x.join(known, end, "left").withColumn(name, F.coalesce("known", end)).drop("known")
+    labels = components(confirmed(tried, texts))
+    clusters = components(star)
 
-    found = [candidates]
-    rows = staged(labelled(large.select("key", "rep")), "large-rows")
+    found = [candidates.select("a", "b")]
+    rows = staged(_labelled(large.select("key", "rep"), clusters, "rep", "label"), "large-rows")  # labels: clusters
     for level in range(DEPTH + 1):
         if rows.isEmpty():
             break
-        # the pivot's label stands for its component; rows of other labels are the rest
+        # a row's cluster, picked by a hash, stands for the node; rows of other clusters are the rest
         first = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("label").alias("label")))
-        nodes = _counted(rows, [first.alias("first")]).select("key", "n", F.col("first.label").alias("main"))
-        x = rows.join(nodes, "key")
+        x = rows.join(_counted(rows, [first.alias("first")]).select("key", "n", F.col("first.label").alias("main")), "key")
         if level:
-            found.append(compared_within(x.filter(F.col("n") <= LEAF).join(own, "rep")))
+            found.append(compared_within(x.filter(F.col("n") <= LEAF).join(own, "rep")).select("a", "b"))
             x = x.filter(F.col("n") > LEAF)
         apart = F.col("label") != F.col("main")
         rest = x.groupBy("key").agg(F.count(F.when(apart, 1)).alias("n_rest"))
@@ -241,7 +328,7 @@ def linked_classes(classes: DataFrame, texts_of: DataFrame) -> DataFrame:
         block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n_rest") / LEAF))
         near = x if last else x.filter(F.col("n_rest") <= LEAF)
         blocks = near.filter(apart).join(own, "rep").groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("rep", "size", "mins", "label")).alias("others")).drop("block")
-        found.append(compared_with(near.select("key", "rep", "label").join(own, "rep").join(blocks, "key")))
+        found.append(compared_with(near.select("key", "rep", "label").join(own, "rep").join(blocks, "key")).select("a", "b"))
         if last:
             break
         far = x.filter(F.col("n_rest") > LEAF).join(own, "rep")
@@ -250,17 +337,20 @@ def linked_classes(classes: DataFrame, texts_of: DataFrame) -> DataFrame:
         far = far.withColumn("at", child).select(F.xxhash64("key", "at", F.get("mins", F.col("at"))).alias("key"), "rep", "label")
         rows = staged(far, "large-rows")
 
-    more = found[0].select("a", "b")
+    more = found[0]
     for x in found[1:]:
-        more = more.unionByName(x.select("a", "b"))
-    more = labelled(labelled(more.distinct(), "a", "label_a"), "b", "label_b").filter("label_a != label_b").select("a", "b")
-    more = staged(more.join(tried, ["a", "b"], "left_anti"), "more")
-    late = staged(confirmed(more, texts), "late")
+        more = more.unionByName(x)
+    more = more.distinct().join(tried, ["a", "b"], "left_anti")
+    for name, by in (("label", labels), ("cluster", clusters)):
+        more = _labelled(_labelled(more, by, "a", f"{name}_a"), by, "b", f"{name}_b").filter(f"{name}_a != {name}_b").select("a", "b")
+    across = confirmed(staged(more, "more"), texts)
+    members = _labelled(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), labels, "rep", "label")
+    late = staged(across.unionByName(connected_in_clusters(members, texts)), "late")
     if late.isEmpty():
         return labels
     # links between components, then the labels of those
-    across = labelled(labelled(late, "a", "label_a"), "b", "label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    joined = components(across)
+    between = _labelled(_labelled(late, labels, "a", "label_a"), labels, "b", "label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    joined = components(between)
     ends = labels.unionByName(joined.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
     return ends.join(joined.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left").select("node", F.coalesce("final", "label").alias("label"))
 
@@ -278,7 +368,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component (that of the smallest id; repeated rows of it are one)."""
+    """``docs`` with one document of each component (that of the smallest id; equal rows of it are one)."""
     keep = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.filter("doc_id is null"))

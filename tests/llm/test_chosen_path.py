@@ -37,6 +37,11 @@ def corpus():
         for _ in range(rng.randrange(9)):
             own[rng.randrange(90)] = word()
         texts.append(" ".join(own))
+    for k in range(40):  # further apart than the threshold, mostly
+        own = list(base)
+        for _ in range(rng.randrange(3, 30)):
+            own[rng.randrange(90)] = word()
+        texts.append(" ".join(own))
     for k in range(60):  # a passage that many share
         texts.append(" ".join([word() for _ in range(rng.randrange(5, 60))] + shared))
     chain = [word() for _ in range(60)]
@@ -51,6 +56,9 @@ def corpus():
 @pytest.mark.parametrize("leaf", [4, 64])
 def test_like_brute_force(spark, monkeypatch, leaf):
     monkeypatch.setattr(chosen_path, "LEAF", leaf)
+    if leaf == 4:
+        monkeypatch.setattr(chosen_path, "BLOCK_BYTES", 4000)
+        monkeypatch.setattr(chosen_path, "CHUNK_BYTES", 9000)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string, rep int")
     got = chosen_path.near_duplicates(docs).collect()
