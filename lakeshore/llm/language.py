@@ -111,7 +111,7 @@ class Model:
         self.lookup: list[Lookup] = []
         self.bits: list[np.ndarray] = []
         self.escapes: list[np.ndarray] = []
-        for size in range(1, ORDER + 2):
+        for size in range(1, ORDER + 2) if counts else ():
             each = []
             for lang in self.langs:
                 found, n = counts[lang]
