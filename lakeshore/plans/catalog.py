@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeshore.functions import scalars as S
+from lakeshore.operators import keyed_state, lookup
 from lakeshore.registry import Registry
+from lakeshore.sources import literals, sinks
 from lakeshore.sources.tables import table
 
 REGISTRY = Registry()
@@ -28,3 +31,271 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"),
         F.count("*").alias("n_lines"),
     )
+
+
+@REGISTRY.register("newest_n", "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 1")
+def newest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_state.newest(table(spark, sf_dir, "events"), "event_id").select("event_id", "user_id", "event_type")
+
+
+@REGISTRY.register(
+    "keyed_update",
+    """
+    SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'q' || l.quality ELSE d.source END AS source,
+           CASE WHEN l.doc_id IS NOT NULL AND l.toxic = 1 THEN NULL ELSE d.lang END AS lang
+    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+    """,
+)
+def keyed_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    toxic = F.col("toxic") == 1
+    updates = table(spark, sf_dir, "labels").select(
+        "doc_id", F.concat(F.lit("q"), F.col("quality")).alias("source"), F.lit(None).cast("string").alias("lang"),
+        F.when(toxic, F.array(F.lit("source"), F.lit("lang"))).otherwise(F.array(F.lit("source"))).alias("present"),
+    )
+    return keyed_state.updated(docs, updates, "doc_id", ["source", "lang"], "present")
+
+
+@REGISTRY.register("conditional_close", "SELECT o_orderkey, o_orderkey <> 7 AS one_open, false AS all_open FROM orders")
+def conditional_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(True).alias("one_open"), F.lit(True).alias("all_open"))
+    return keyed_state.closed(keyed_state.closed(orders, "o_orderkey", 7, "one_open"), "o_orderkey", None, "all_open")
+
+
+@REGISTRY.register("keyed_delete", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def keyed_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_state.deleted_keys(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@REGISTRY.register(
+    "first_request_expiry",
+    "SELECT user_id, min(ts) AS requested, min(ts) + INTERVAL 1000 SECONDS AS expires FROM events WHERE event_type = 'error' GROUP BY user_id",
+)
+def first_request_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_state.first_expiry(table(spark, sf_dir, "events").filter("event_type = 'error'"), "user_id", "ts")
+
+
+@REGISTRY.register("dense_string_id", "SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey))::VARCHAR AS id FROM customer")
+def dense_string_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    return keyed_state.dense_ids(customers, ["c_custkey"], F.floor(F.col("c_custkey") / 65536))
+
+
+@REGISTRY.register(
+    "action_dispatch",
+    """
+    SELECT event_id, CASE event_type WHEN 'signup' THEN 'add' WHEN 'click' THEN 'update' WHEN 'error' THEN 'dismiss' WHEN 'purchase' THEN 'remove'
+           ELSE 'none' END AS op FROM events
+    """,
+)
+def action_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = {"signup": F.lit("add"), "click": F.lit("update"), "error": F.lit("dismiss"), "purchase": F.lit("remove")}
+    return table(spark, sf_dir, "events").select("event_id", keyed_state.dispatched(F.col("event_type"), ops, F.lit("none")).alias("op"))
+
+
+@REGISTRY.register(
+    "change_log_replay",
+    """
+    WITH a AS (SELECT user_id AS store, event_id AS seq, CASE event_type WHEN 'signup' THEN 'add' WHEN 'click' THEN 'update' WHEN 'error' THEN 'dismiss'
+                      WHEN 'purchase' THEN 'remove' END AS type, value FROM events WHERE event_type <> 'view'),
+    l AS (SELECT store, max(seq) AS seq FROM a WHERE type = 'add' GROUP BY store),
+    x AS (SELECT a.* FROM a JOIN l ON l.store = a.store AND a.seq >= l.seq)
+    SELECT store, '1' AS toast_id, arg_max(round(value, 2)::VARCHAR, seq) FILTER (type IN ('add', 'update')) AS title,
+           arg_max(type <> 'dismiss', seq) FILTER (type IN ('add', 'dismiss')) AS open
+    FROM x GROUP BY store HAVING count(*) FILTER (type = 'remove') = 0
+    """,
+)
+def change_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = {"signup": F.lit("add"), "click": F.lit("update"), "error": F.lit("dismiss"), "purchase": F.lit("remove")}
+    log = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("store"), F.col("event_id").alias("seq"), keyed_state.dispatched(F.col("event_type"), ops).alias("type"), F.lit("1").alias("toast_id"),
+        F.round("value", 2).cast("string").alias("title"), F.lit(None).cast("boolean").alias("open"), F.array(F.lit("title")).alias("present"),
+    )
+    return keyed_state.replayed(log.filter("type is not null"), ["title", "open"])
+
+
+BANDS = [(0, "tiny", 210), (1, "small", 215), (2, "gone", None), (3, "middle", 225), (4, "low", 212), (5, "large", 240)]
+
+
+@REGISTRY.register(
+    "section_lookup",
+    """
+    WITH b(idx, id, top) AS (VALUES (0, 'tiny', 210), (1, 'small', 215), (2, 'gone', NULL), (3, 'middle', 225), (4, 'low', 212), (5, 'large', 240))
+    SELECT p_partkey, arg_max(id, idx) AS section FROM part LEFT JOIN b ON b.top <= p_size + 200 GROUP BY p_partkey
+    """,
+)
+def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = spark.createDataFrame(BANDS, "idx int, id string, offset_top int")
+    return lookup.last_section(table(spark, sf_dir, "part"), bands, "p_partkey", "p_size")
+
+
+@REGISTRY.register(
+    "carry_forward",
+    """
+    SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_purchase FROM events
+    """,
+)
+def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("last_purchase", F.when(F.col("event_type") == "purchase", F.col("value")))
+    return lookup.carried_forward(events, "user_id", ["ts", "event_id"], "last_purchase").select("event_id", "last_purchase")
+
+
+@REGISTRY.register("nullable_lookup", "SELECT d.doc_id, l.quality::VARCHAR AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def nullable_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.existing(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality")), "doc_id")
+
+
+@REGISTRY.register("scroll_target", "SELECT p_partkey, p_size - 80 AS target FROM part")
+def scroll_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", lookup.scroll_target(F.col("p_size")).alias("target"))
+
+
+@REGISTRY.register("active_style", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'muted' END AS style FROM orders")
+def active_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.when_equal(F.col("o_orderstatus"), "O", "active", "muted").alias("style"))
+
+
+@REGISTRY.register("cycling_counter", "SELECT event_id, event_id % 3 AS slide, ['a', 'b', 'c'][event_id % 3 + 1] AS image FROM events")
+def cycling_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slide = lookup.cycled(F.col("event_id"), 3)
+    return table(spark, sf_dir, "events").select("event_id", slide.alias("slide"), lookup.item(F.array(*map(F.lit, "abc")), slide.cast("int")).alias("image"))
+
+
+@REGISTRY.register(
+    "breakpoint_flag",
+    "SELECT doc_id, coalesce(n_chars < 768, false) AS mobile, CASE WHEN n_chars >= 1024 THEN 'scale(2.5)' ELSE 'scale(1.9)' END AS transform FROM documents",
+)
+def breakpoint_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width = F.col("n_chars")
+    return table(spark, sf_dir, "documents").select("doc_id", S.is_mobile(width).alias("mobile"), S.at_least(width, F.lit("scale(2.5)"), F.lit("scale(1.9)")).alias("transform"))
+
+
+@REGISTRY.register(
+    "path_dispatch",
+    "SELECT page_id, CASE regexp_replace(url, '^[a-z]+://[^/]+', '') WHEN '/' THEN 'home' WHEN '' THEN 'home' ELSE 'not-found' END AS route FROM pages",
+)
+def path_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace("url", "^[a-z]+://[^/]+", "")
+    return table(spark, sf_dir, "pages").select("page_id", S.routed(path, {"/": "home", "": "home"}, "not-found").alias("route"))
+
+
+@REGISTRY.register(
+    "format_block",
+    """
+    SELECT r.r_name AS chart, E'\\n [data-chart=' || r.r_name || E'] {\\n' || string_agg('  --color-' || n_name || ': c' || n_nationkey || ';', E'\\n' ORDER BY n_name)
+           || E'\\n}\\n\\n\\n.dark [data-chart=' || r.r_name || E'] {\\n' || string_agg('  --color-' || n_name || ': ' || CASE WHEN n_nationkey % 2 = 0 THEN 'dark' ELSE 'c' END || n_nationkey || ';', E'\\n' ORDER BY n_name) || E'\\n}\\n' AS css
+    FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name
+    """,
+)
+def format_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    theme = F.when(key % 2 == 0, F.create_map(F.lit("dark"), F.concat(F.lit("dark"), key)))
+    entry = F.struct(F.lit(None).cast("string").alias("label"), F.concat(F.lit("c"), key).alias("color"), theme.alias("theme"))
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    config = F.map_from_entries(F.array_sort(F.collect_list(F.struct("n_name", entry.alias("value"))), lambda a, b: F.when(a["n_name"] < b["n_name"], -1).otherwise(1)))
+    grouped = nations.groupBy(F.col("r_name").alias("chart")).agg(config.alias("config"))
+    return grouped.select("chart", S.style_text(F.col("config"), F.col("chart")).alias("css"))
+
+
+@REGISTRY.register(
+    "indirect_lookup",
+    """
+    SELECT event_id, CASE event_type WHEN 'click' THEN 'Clicks' WHEN 'view' THEN 'Views' ELSE 'Other' END AS label,
+           CASE event_type WHEN 'click' THEN 'Clicks' WHEN 'view' THEN 'Views' ELSE event_type END AS own_label FROM events
+    """,
+)
+def indirect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = lambda t: F.struct(F.lit(t).alias("label"))
+    config = F.create_map(F.lit("click"), entry("Clicks"), F.lit("view"), entry("Views"), F.lit("kind"), entry("Other"))
+    own = F.create_map(F.lit("kind"), F.col("event_type"))
+    none = F.lit(None).cast("map<string,string>")
+    found = S.payload_config(config, own, none, F.lit("kind"))["label"]
+    return table(spark, sf_dir, "events").select("event_id", found.alias("label"), S.own_label(config, F.col("event_type")).alias("own_label"))
+
+
+@REGISTRY.register(
+    "falsy_fallback",
+    """
+    SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END, ''), 'value') AS falsy,
+           coalesce(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END, 'value') AS nullish, 100 - coalesce(event_id % 5, 0) AS remaining FROM events
+    """,
+)
+def falsy_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", S.first_truthy(x, F.lit("value")).alias("falsy"), S.first_known(x, F.lit("value")).alias("nullish"), S.remaining(F.col("event_id") % 5).alias("remaining")
+    )
+
+
+@REGISTRY.register(
+    "grouped_numbers",
+    "SELECT o_orderkey, regexp_replace(regexp_replace(format('{:,.3f}', round(o_totalprice, 3)), '0+$', ''), '[.]$', '') AS total FROM orders WHERE o_totalprice <> 0",
+)
+def grouped_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").filter("o_totalprice <> 0").select("o_orderkey", S.grouped_number(F.col("o_totalprice")).alias("total"))
+
+
+@REGISTRY.register(
+    "class_merge",
+    "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'flex p-' || p_size ELSE 'p-2 flex' END AS classes FROM part",
+)
+def class_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("flex p-"), F.col("p_size"))).otherwise(F.lit("flex"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.class_names(F.array(F.lit("p-2"), F.lit(None).cast("string"), F.lit(""), own)).alias("classes"))
+
+
+@REGISTRY.register(
+    "list_helpers",
+    """
+    SELECT conv_id, min(turn) AS n_least, replace(first(role ORDER BY turn) || ':' || min(turn), ':', '') AS first_id, count(*) = 1 AS single, first(role ORDER BY turn) AS first_role,
+           string_agg(coalesce(nullif(CASE WHEN role = 'user' THEN '' ELSE upper(role) END, ''), role), ',' ORDER BY turn) AS names
+    FROM conversations GROUP BY conv_id
+    """,
+)
+def list_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.struct("turn", F.col("role").alias("name"), F.when(F.col("role") == "user", F.lit("")).otherwise(F.upper("role")).alias("label"))
+    lists = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.min("turn").alias("n_least"))
+    first = S.first_item(F.col("items"))
+    return lists.select(
+        "conv_id", "n_least", S.without(F.concat(first["name"], F.lit(":"), F.col("n_least"))).alias("first_id"), S.is_single(F.col("items")).alias("single"),
+        first["name"].alias("first_role"), F.array_join(S.projected(F.col("items"), "label", "name"), ",").alias("names"),
+    )
+
+
+@REGISTRY.register(
+    "variant_defaults",
+    """
+    SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'h-8' WHEN c_nationkey % 3 = 1 THEN 'h-7' END AS size_class, c_custkey || '-item' AS item_id,
+           CASE WHEN c_acctbal > 0 THEN 'expanded' ELSE 'collapsed' END AS state, NOT c_acctbal > 0 AS flipped, CASE WHEN c_nationkey = 1 THEN 'x' ELSE c_mktsegment END AS merged FROM customer
+    """,
+)
+def variant_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = F.create_map(F.lit("default"), F.lit("h-8"), F.lit("sm"), F.lit("h-7"))
+    asked = F.when(F.col("c_nationkey") % 3 == 1, F.lit("sm")).when(F.col("c_nationkey") % 3 == 2, F.lit("huge"))
+    is_open = F.col("c_acctbal") > 0
+    overrides = F.when(F.col("c_nationkey") == 1, F.create_map(F.lit("k"), F.lit("x")))
+    merged = S.overridden(F.create_map(F.lit("k"), F.col("c_mktsegment")), overrides)
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", S.variant(sizes, asked).alias("size_class"), S.derived_id(F.col("c_custkey").cast("string"), "-item").alias("item_id"),
+        S.open_state(is_open).alias("state"), S.toggled(is_open).alias("flipped"), F.try_element_at(merged, F.lit("k")).alias("merged"),
+    )
+
+
+@REGISTRY.register(
+    "key_value_sink",
+    "SELECT user_id::VARCHAR AS key, arg_max(event_type, event_id) AS value, max(ts) + INTERVAL 604800 SECONDS AS expires FROM events GROUP BY user_id",
+)
+def key_value_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), "ts", F.struct("event_id", "event_type").alias("what"))
+    return sinks.stored(events, "user", "what", "ts").select("key", F.col("value.event_type").alias("value"), "expires")
+
+
+@REGISTRY.register(
+    "literal_sections",
+    """
+    SELECT (row_number() OVER ())::INT - 1 AS idx, id, label FROM (VALUES ('meet-us', 'Meet Us'), ('cover-design', 'Cover Design'), ('layout-design', 'Layout Design'),
+           ('illustrations', 'Illustrations'), ('galore', 'Galore'), ('corporate-design', 'Corporate Design'), ('reach-us', 'Reach Us')) t(id, label)
+    """,
+)
+def literal_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literals.ordered(spark)
