@@ -8,7 +8,7 @@ can cross it.
 A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
 
 Cases: null or wordless texts have no words and no hits; null or wordless items have no windows; a null item id gives
-hits, but isn't counted or listed; equal items all count; repeated documents keep their rows; other columns stay.
+hits, but isn't counted or listed; equal items all count; repeated documents keep their rows; other columns stay, but for one named leak.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshore.llm.shared import new_folder, opened, publish, widened
+from lakeshore.llm.shared import new_folder, numbered, opened, publish, widened
 
 WINDOW = 10
 #: Words of items to an automaton: bounds what a worker holds at a time.
@@ -195,6 +195,7 @@ LEAK = f"leak struct<n_words:long,n_hit:long,items:array<string>,spans:{SPANS},k
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = 1, text_col: str = "text", keep_text: bool = True, **how) -> DataFrame:
     """``docs`` with struct ``leak``: n_words, n_hit, the items (sorted), the covered spans (word numbers, end
     exclusive) and, with ``keep_text``, the text without its spans of at least ``min_span`` words."""
+    docs = docs.drop("leak")
     uris = automata(benchmark, window, **how)
     names = docs.columns
 
@@ -247,12 +248,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, **how) -> DataFrame:
     """``docs`` without covered spans; documents of which more than ``max_coverage`` of the words are covered go whole."""
-    own = docs.columns
-    x = contamination(docs, benchmark, **how).filter(F.col("leak.n_hit") <= F.col("leak.n_words") * max_coverage)
-    hit = F.col("leak.n_hit") > 0
-    x = x.withColumn("text", F.col("leak.kept_text"))
-    if "n_chars" in own:
-        x = x.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return x.select(*own)
+    own = numbered(docs)
+    place = dict(zip(docs.columns, own.columns))
+    text, size = place["text"], place.get("n_chars")
+    x = contamination(own, benchmark, text_col=text, **how).filter(F.col("leak.n_hit") <= F.col("leak.n_words") * max_coverage)
+    x = x.withColumn(text, F.col("leak.kept_text"))
+    if size:
+        x = x.withColumn(size, F.when(F.col("leak.n_hit") > 0, F.char_length(text).cast(own.schema[size].dataType)).otherwise(F.col(size)))
+    return x.select(*own.columns).toDF(*docs.columns)
 
 

@@ -16,12 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeshore.llm.shared import staged
+from lakeshore.llm.shared import numbered, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 SEED = "mix-1"
+ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
 
 
 def word_count(text: Column) -> Column:
@@ -52,10 +53,14 @@ def targets(totals: DataFrame, share: float = SHARE, most: float = MOST) -> Data
 
 def mixed(docs: DataFrame, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (0, 1 or 2 for the default limits)."""
+    names = docs.columns
+    docs = numbered(docs)
     own = docs.columns
+    place = dict(zip(names, own))
+    docs = docs.withColumns({"doc_id": F.col(place["doc_id"]), "source": F.col(place["source"]), "mix_size": word_count(F.col(place["text"])), "mix_text": F.xxhash64(place["text"])})
     size_class = F.col("mix_size") - F.pmod(F.col("mix_size"), F.expr("shiftleft(1L, greatest(0, length(bin(mix_size)) - 5))"))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    x = docs.withColumn("mix_size", word_count(F.col("text"))).withColumns({"mix_class": size_class, "mix_key": key}).withColumn("mix_part", F.substring("mix_key", 1, 2))
+    x = docs.withColumns({"mix_class": size_class, "mix_key": key}).withColumn("mix_part", F.substring("mix_key", 1, 2))
     bucket = ["source", "mix_class", "mix_part"]
     counts = staged(x.groupBy(*bucket).agg(F.count("*").alias("mix_n"), F.sum("mix_size").alias("mix_words")), "mix-counts")
     goals = targets(counts.groupBy("source").agg(F.sum("mix_words").alias("source_size")), share, most)
@@ -68,14 +73,17 @@ def mixed(docs: DataFrame, share: float = SHARE, most: float = MOST, seed: str =
         .withColumn("mix_offset", offset)
         .select(*[F.col(c).alias(f"at_{c}") for c in bucket], "mix_before", "mix_rate", "mix_offset", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     )
-    inside = Window.partitionBy(*bucket).orderBy("mix_key", "mix_size", F.xxhash64("text"))
+    inside = Window.partitionBy(*bucket).orderBy("mix_key", "mix_size", "mix_text")
     x = x.withColumn("mix_at", F.row_number().over(inside)).join(places, [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in bucket])
     rank = F.col("mix_before") + F.col("mix_at")
     passed = lambda n: F.floor(n * F.col("mix_rate") + F.col("mix_offset"))
-    return x.withColumn("mix_copies", passed(rank) - passed(rank - 1)).select(*own, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    x = x.withColumn("mix_copies", passed(rank) - passed(rank - 1)).select(*own, *ADDED)
+    return x.toDF(*names, *ADDED)
 
 
 def emitted(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: a row of ``docs`` for each copy taken."""
-    x = mixed(docs, **how).filter(F.col("mix_copies") > 0)
-    return x.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    x = mixed(docs, **how)
+    own = [f"own_{k}" for k in range(len(docs.columns))]
+    x = x.toDF(*own, *ADDED).filter(F.col("mix_copies") > 0)
+    return x.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*own).toDF(*docs.columns)

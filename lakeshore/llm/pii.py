@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshore.llm.shared import widened
+from lakeshore.llm.shared import numbered, widened
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bound on the training sample: about so many texts with suspects, chosen by a hash of the text.
@@ -274,6 +274,7 @@ def spans_text(spans: list[Span]) -> str:
 
 def found_in(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with base (the patterns' spans) and added (the field's): arrays of (kind, start, end)."""
+    docs = docs.drop("base", "added")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -302,6 +303,9 @@ def redacted(docs: DataFrame, model: Model) -> DataFrame:
         F.struct(F.concat(s["text"], F.col("text").substr((s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit("<"), x["kind"], F.lit(">")).alias("text"), x["end"].alias("at"))
     )
     done = F.aggregate(cover, zero, step)
-    x = found_in(docs, model)
+    own = numbered(docs)
+    place = own.columns[docs.columns.index("text")]
+    x = found_in(own, model, place).withColumn("text", F.col(place))
     text = F.concat(done["text"], F.col("text").substr((done["at"] + 1).cast("int"), F.char_length("text")))
-    return x.withColumn("text", F.when(F.size(cover) > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+    x = x.withColumn(place, F.when(F.size(cover) > 0, text).otherwise(F.col("text")))
+    return x.select(*own.columns).toDF(*docs.columns)

@@ -22,9 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder name below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all folders made so far: for the end of a job, when no result of an operator is read any more."""
+    while _made:
+        dropped(spark, _made.pop())
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -42,7 +52,7 @@ def dropped(spark: SparkSession, uri: str) -> None:
 
 
 def unstaged(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`staged`."""
+    """Delete the files behind a table made by :func:`staged`, which nothing may read after this."""
     for uri in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         dropped(df.sparkSession, uri)
 
@@ -71,6 +81,11 @@ def opened(uri: str):
     return store.open_input_file(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns named by their places, so that no name clashes; ``toDF`` names them again."""
+    return df.toDF(*[f"own_{k}" for k in range(len(df.columns))])
+
+
 def widened(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of ``df`` with the fields of ``ddl`` after its own."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -4,7 +4,7 @@ Decodes uncompressed, LZW, deflate and PackBits data of 1 to 64 bits a sample (c
 both byte orders, classic and big files. :func:`stored` writes bytes as an 8-bit greyscale page that decodes to them.
 
 Cases: null, empty or broken media give one row with page null and the reason in ``error``, and pages before the break
-keep their rows; a directory that points back ends the walk; repeated rows are decoded each; other columns stay as they are.
+keep their rows; a directory that points back ends the walk; repeated rows are decoded each; other columns stay, but for those of the added names.
 """
 
 from __future__ import annotations
@@ -213,7 +213,7 @@ def feature(width: int, height: int, pixels: bytes) -> str:
 
 def with_tiff(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with n_bytes (its UTF-8 bytes) and ``media``: those, zeros up to a positive multiple of 64, as TIFF."""
-    keep = [c for c in docs.columns if c != text_col]
+    keep = [c for c in docs.columns if c not in (text_col, "n_bytes", "media", "raw")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,6 +234,8 @@ PAGE = "tiff struct<page:int,width:long,height:long,samples:int,bits:int,compres
 def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
     """A row for each page of each file, with the row's other columns and struct ``tiff`` of PAGE."""
 
+    df = df.drop("tiff")
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.schema.get_field_index(media_col)

@@ -7,7 +7,7 @@ their marks. A text's score is the logistic of weights, learned for each kind of
 
 Cases: null, empty and matchless texts get the base score; labels of null or unknown documents are ignored, repeated
 labels count once and conflicting ones as toxic; without labels the fixed lists and prior weights score; repeated rows are
-scored alike; an empty table gives an empty table; other columns stay.
+scored alike; an empty table gives an empty table; other columns stay, but for those that :func:`scored` adds.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshore.llm.shared import widened
+from lakeshore.llm.shared import numbered, widened
 
 #: Bound on the labelled texts that are learned from: about so many, chosen by a hash of the id.
 SAMPLE_ROWS = 30_000
@@ -251,6 +251,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with score and predicted (1 from REJECT on)."""
+    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -265,4 +266,6 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def cleaned(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without those that are rejected."""
-    return scored(docs, model).filter("predicted = 0").select(*docs.columns)
+    own = numbered(docs)
+    kept = scored(own, model, own.columns[docs.columns.index("text")]).filter("predicted = 0")
+    return kept.select(*own.columns).toDF(*docs.columns)

@@ -23,7 +23,7 @@ def filled(sizes, share=1.5, most=2.0):
 def test_targets_and_copies(spark):
     rows = [(i, " ".join(["w"] * (i % 17)), ["b", "a", None, "B", "é"][(i * i) % 5 if i % 3 else 0], 9) for i in range(400)]
     rows += [(None, "null id", "a", 1), (7, None, "a", 1), (7, "", None, 1), (8, "x y", "b", 1), (8, "x y", "b", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, target int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_class int")
     out = mixing.mixed(docs).collect()
     assert len(out) == len(rows)
     sizes = {}
