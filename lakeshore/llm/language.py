@@ -28,6 +28,8 @@ ORDER = 3
 #: Bound on the training sample: about so many texts of each language.
 SAMPLE_ROWS = 2000
 LETTER = re.compile(r"[^\W\d_]")
+#: Languages up to which their row counts are broadcast.
+BROADCAST_LANGS = 10_000
 #: Bytes scored at a time.
 SLICE = 1 << 19
 
@@ -49,8 +51,10 @@ def trained(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(lang, gram, n): counts of all ORDER + 1 byte strings in the sample of ``docs`` (text, lang)."""
     rows = docs.filter("text is not null and lang is not null").select("lang", "text")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    if sizes.count() <= BROADCAST_LANGS:
+        sizes = F.broadcast(sizes)
     hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(F.broadcast(sizes), "lang").filter(hashed * F.col("rows") < sample_rows).select("lang", "text")
+    sample = rows.join(sizes, "lang").filter(hashed * F.col("rows") < sample_rows).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
