@@ -28,7 +28,7 @@ from lakeshore.llm.shared import staged
 LENGTH = 400
 #: Lengths of the parts that are hashed; the next one is for anchors whose different pieces exceed ANCHOR_BYTES.
 GRAMS = (200, 320, 380, 400)
-ANCHOR_BYTES = 4 << 20
+ANCHOR_BYTES = 1 << 20
 #: Strings looked at together in a text, and bytes whose suffixes are sorted together (whole anchors).
 SEGMENT, SORTED_BYTES = 1 << 20, 1 << 20
 #: Bytes to a named block of text: three times the seven bytes that one number holds.
@@ -100,8 +100,10 @@ def _block_names(data: np.ndarray) -> np.ndarray:
 
 
 def _three(names: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-    """Three names, ``step`` apart, as one number (names have 21 bits)."""
-    return (names[at] << np.uint64(42)) | (names[at + step] << np.uint64(21)) | names[at + 2 * step]
+    """Three names, ``step`` apart, as one number; equal and ordered as they are, among what is asked for together."""
+    if not len(names) or names.max() < 1 << 21:
+        return (names[at] << np.uint64(42)) | (names[at + step] << np.uint64(21)) | names[at + 2 * step]
+    return (_names((names[at] << np.uint64(32)) | names[at + step]) << np.uint64(32)) | names[at + 2 * step]
 
 
 def smaller_than_next(data: np.ndarray) -> np.ndarray:
@@ -114,10 +116,7 @@ def smaller_than_next(data: np.ndarray) -> np.ndarray:
 
 
 def suffix_order(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(order, names): all suffixes in order of their first ``length`` bytes, and the names of their blocks.
-
-    At most 2 ** 21 - 2 bytes.
-    """
+    """(order, names): all suffixes in order of their first ``length`` bytes, and the names of their blocks."""
     n = len(data)
     small = smaller_than_next(data)
     names = _block_names(data)
@@ -224,14 +223,22 @@ def _piece_rows(anchor, digest, start, piece, weight) -> pa.RecordBatch:
 
 
 def _cut_again(rows: DataFrame, gram: int) -> DataFrame:
-    """Pieces of pieces, by longer parts."""
+    """Pieces of pieces, by longer parts.
+
+    By whole strings, a piece of several strings repeats one byte, so all of them recur: it gets an anchor of its own
+    length, and counts twice; its string also stands alone, for texts that hold it once.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 digest, start, piece, weight = (batch.column(c)[k].as_py() for c in range(4))
                 for anchor, first, many, _ in pieces(piece, gram):
-                    yield _piece_rows(anchor, [digest] * len(anchor), start + first, [piece[a : a + n + LENGTH - 1] for a, n in zip(first.tolist(), many.tolist())], [weight] * len(anchor))
+                    weights = np.full(len(anchor), weight)
+                    if gram == LENGTH and (runs := many > 1).any():
+                        yield _piece_rows(anchor[runs], [digest] * int(runs.sum()), start + first[runs], [piece[k : k + LENGTH] for k in first[runs].tolist()], [2] * int(runs.sum()))
+                        anchor, weights = np.where(runs, anchor ^ many * 0x5851F42D4C957F2D, anchor), np.where(runs, 2, weights)
+                    yield _piece_rows(anchor, [digest] * len(anchor), start + first, [piece[k : k + n + LENGTH - 1] for k, n in zip(first.tolist(), many.tolist())], weights)
 
     return rows.select("digest", "start", "piece", "weight").mapInArrow(cut, PIECES)
 

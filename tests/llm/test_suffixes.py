@@ -37,6 +37,13 @@ def test_suffix_order(seed):
     assert suffixes.smaller_than_next(data).tolist() == [raw[k:] < raw[k + 1 :] for k in range(len(raw))]
 
 
+def test_many_names(monkeypatch):
+    data = np.random.default_rng(9).integers(0, 5, 3000).astype(np.uint64) + np.uint64(1 << 21)
+    raw = [tuple(data[k : k + 3].tolist()) for k in range(2990)]
+    got = suffixes._three(data, np.arange(2990), 1)
+    assert np.array_equal(np.unique(got, return_inverse=True)[1], [sorted(set(raw)).index(r) for r in raw])
+
+
 def corpus():
     rng = random.Random(2)
     text = lambda n: "".join(rng.choice("abcdé fgh\n") for _ in range(n))
@@ -44,11 +51,11 @@ def corpus():
     texts = [None, "", "short", passage[:398], long, long[:1500] + "#" + long[1501:], long[5:2990], "ab" * 900, "z" * 2500, passage, passage]
     texts += [text(rng.randrange(700)) + passage[rng.randrange(60) : 700 + rng.randrange(200)] + text(rng.randrange(700)) for _ in range(40)]
     texts += [long[:1000] + str(k) + long[1000:] for k in range(12)]
-    texts += [text(500) for _ in range(20)]
+    texts += [text(500) for _ in range(20)] + ["z" * n for n in (400, 401, 450, 1500)] + ["q" * 399, "p" * 401, "ab" * 230]
     return [(k if k != 9 else None, t) for k, t in enumerate(texts)] + [(3, long[:450]), (60, text(800))]
 
 
-@pytest.mark.parametrize("heavy", [4 << 20, 3000])
+@pytest.mark.parametrize("heavy", [1 << 20, 3000, 10])
 def test_like_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(suffixes, "ANCHOR_BYTES", heavy)
     rows = corpus()
