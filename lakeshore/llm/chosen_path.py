@@ -30,7 +30,7 @@ from lakeshore.llm.components import components
 from lakeshore.llm.shared import staged
 
 SHINGLE, THRESHOLD = 5, 75  # words; percent
-TREES, BRANCHES, DEPTH, LEAF = 10, 3, 3, 64
+TREES, BRANCHES, DEPTH, LEAF = 10, 3, 6, 64
 TOKENS = 64
 #: Text of a cluster's classes that is held, and that is streamed against it, in one task.
 BLOCK_BYTES, CHUNK_BYTES = 1 << 20, 16 << 20
@@ -313,25 +313,24 @@ def linked_classes(classes: DataFrame, texts_of: DataFrame) -> DataFrame:
     found = [candidates.select("a", "b")]
     rows = staged(_labelled(large.select("key", "rep"), clusters, "rep", "label"), "large-rows")  # labels: clusters
     for level in range(DEPTH + 1):
-        if rows.isEmpty():
-            break
         # a row's cluster, picked by a hash, stands for the node; rows of other clusters are the rest
         first = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("label").alias("label")))
         x = rows.join(_counted(rows, [first.alias("first")]).select("key", "n", F.col("first.label").alias("main")), "key")
-        if level:
-            found.append(compared_within(x.filter(F.col("n") <= LEAF).join(own, "rep")).select("a", "b"))
-            x = x.filter(F.col("n") > LEAF)
         apart = F.col("label") != F.col("main")
         rest = x.groupBy("key").agg(F.count(F.when(apart, 1)).alias("n_rest"))
         x = staged(x.join(rest, "key"), "rest-rows")
-        last = level == DEPTH
-        block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n_rest") / LEAF))
-        near = x if last else x.filter(F.col("n_rest") <= LEAF)
-        blocks = near.filter(apart).join(own, "rep").groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("rep", "size", "mins", "label")).alias("others")).drop("block")
-        found.append(compared_with(near.select("key", "rep", "label").join(own, "rep").join(blocks, "key")).select("a", "b"))
-        if last:
+        few, last = F.col("n") <= (LEAF if level else 0), level == DEPTH
+        near = ~few & (F.lit(last) | (F.col("n_rest") <= LEAF))
+        n = x.agg(F.count_if(few).alias("few"), F.count_if(near).alias("near"), F.count_if(~few & ~near).alias("far")).first()
+        if n.few:
+            found.append(staged(compared_within(x.filter(few).join(own, "rep")).select("a", "b"), "found"))
+        if n.near:
+            block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n_rest") / LEAF))
+            blocks = x.filter(near & apart).join(own, "rep").groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("rep", "size", "mins", "label")).alias("others")).drop("block")
+            found.append(staged(compared_with(x.filter(near).select("key", "rep", "label").join(own, "rep").join(blocks, "key")).select("a", "b"), "found"))
+        if not n.far:
             break
-        far = x.filter(F.col("n_rest") > LEAF).join(own, "rep")
+        far = x.filter(~few & ~near).join(own, "rep")
         start = F.xxhash64("key")
         child = F.explode(F.array(*[F.pmod(start + k * 21, F.lit(TOKENS)).cast("int") for k in range(BRANCHES)]))
         far = far.withColumn("at", child).select(F.xxhash64("key", "at", F.get("mins", F.col("at"))).alias("key"), "rep", "label")

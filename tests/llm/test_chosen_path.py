@@ -32,20 +32,20 @@ def corpus():
     shared = [word() for _ in range(30)]
     base = [word() for _ in range(90)]
     texts = []
-    for k in range(70):  # near copies at many distances of a common text
+    for k in range(40):  # near copies at many distances of a common text
         own = list(base)
         for _ in range(rng.randrange(9)):
             own[rng.randrange(90)] = word()
         texts.append(" ".join(own))
-    for k in range(40):  # further apart than the threshold, mostly
+    for k in range(25):  # further apart than the threshold, mostly
         own = list(base)
         for _ in range(rng.randrange(3, 30)):
             own[rng.randrange(90)] = word()
         texts.append(" ".join(own))
-    for k in range(60):  # a passage that many share
+    for k in range(35):  # a passage that many share
         texts.append(" ".join([word() for _ in range(rng.randrange(5, 60))] + shared))
     chain = [word() for _ in range(60)]
-    for k in range(25):  # each a little further from the one before
+    for k in range(15):  # each a little further from the one before
         chain[(7 * k) % 60] = word()
         texts.append(" ".join(chain).upper() if k % 2 else " ".join(chain))
     texts += [None, "", " \n", "one two", "One  Two", "one two three", "x " * 400, "x " * 300, base and " ".join(base), " ".join(base)]
