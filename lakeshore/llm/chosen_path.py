@@ -2,14 +2,15 @@
 
 Documents with equal shingle sets become one class. Each of TREES independent trees deals the classes to nodes by a
 selected minwise token; small nodes are compared exhaustively by sketches, large ones branch on further tokens (BRANCHES
-each, chosen by the node), and pairs that may be linked are confirmed on the full shingle sets of their texts. A pair at the
-threshold misses all trees with a chance of about (1 - 0.75) ** 10, one in a million, and a sketch with one in ten million.
+each, chosen by the node). Pairs that may be linked make clusters, and links inside clusters are decided on the full shingle
+sets of texts. A pair at the threshold misses all trees with a chance of about (1 - 0.75) ** 10, one in a million, and a
+sketch with one in ten million.
 
-Groups of thousands of near copies never expand to all pairs. Each large node first compares its classes with one
-pivot; what may link to pivots makes clusters, and each class's best candidate is confirmed, which joins most of a
-cluster. Only classes of a cluster that are still apart from its main part are compared with the whole cluster, by full
-shingle sets, in blocks of BLOCK_BYTES against chunks of CHUNK_BYTES; of what they find, only as many rows leave a task as it
-read. Branching goes on between clusters alone; where it ends, the rest of a node is compared with the node in blocks.
+Groups of thousands of near copies never expand to all pairs. A node puts out a spanning forest of what may be linked in it;
+a large one first compares its classes with one pivot, and branches where its classes aren't of one cluster. Each class's best
+candidate is confirmed, which joins most of a cluster. Only classes of a cluster that are still apart from its main part are
+compared with the whole cluster, by full shingle sets, in blocks of BLOCK_BYTES against chunks of CHUNK_BYTES; of what they
+find, only as many rows leave a task as it read. Where branching ends, the rest of a node is compared with it in blocks.
 
 Cases: texts without words have no shingles and no links; texts of fewer than five words have one shingle; null ids
 link with nothing (component null, kept); rows that repeat an id are one node; ties don't matter; an empty table
@@ -108,8 +109,28 @@ def _pairs(a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(equal.astype(np.int32))], names=["a", "b", "equal"])
 
 
+def _tree_edges(a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> list[int]:
+    """Places of the pairs (row numbers ``a``, ``b``) that make a spanning forest, most equal bytes first."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = root[x]
+        return x
+
+    kept = []
+    for k in np.argsort(-equal, kind="stable").tolist():
+        x, y = find(int(a[k])), find(int(b[k]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(k)
+    return kept
+
+
 def compared_within(nodes: DataFrame) -> DataFrame:
-    """All pairs inside small nodes that may be linked: rows (key, rep, size, mins, label) of at most LEAF rows to a key."""
+    """Of all pairs inside small nodes that may be linked, a spanning forest of each node: rows (key, rep, size, mins, label) of
+    at most LEAF rows to a key."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -117,6 +138,7 @@ def compared_within(nodes: DataFrame) -> DataFrame:
         def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key, rep, size, label = (t[c].to_numpy() for c in ("key", "rep", "size", "label"))
             bytes_ = _sketch_bytes(t["mins"].combine_chunks())
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for step in range(1, len(key)):
                 at = np.flatnonzero(key[step:] == key[:-step])
                 if not len(at):
@@ -126,7 +148,11 @@ def compared_within(nodes: DataFrame) -> DataFrame:
                     x = at[k : k + 50_000]
                     good, equal = _may_link(bytes_[x], bytes_[x + step], size[x], size[x + step])
                     if good.any():
-                        yield _pairs(rep[x[good]], rep[x[good] + step], equal[good])
+                        found.append((x[good], x[good] + step, equal[good]))
+            if found:
+                a, b, equal = (np.concatenate(x) for x in zip(*found))
+                kept = _tree_edges(a, b, equal)  # a row is in one node, so this is done for all nodes at once
+                yield _pairs(rep[a[kept]], rep[b[kept]], equal[kept])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -300,18 +326,13 @@ def linked_classes(classes: DataFrame, texts_of: DataFrame) -> DataFrame:
     large = rows.filter(F.col("n") > LEAF)
     pivots = classes.select(F.col("rep").alias("pivot"), F.struct("rep", "size", "mins", F.col("rep").alias("label")).alias("other"))
     hubs = large.select("key", "pivot").distinct().join(pivots, "pivot").select("key", F.array("other").alias("others"))
-    star = staged(compared_with(large.select("key", "rep", "label").join(own, "rep").join(hubs, "key")), "star")
-    candidates = staged(small.unionByName(star).groupBy("a", "b").agg(F.max("equal").alias("equal")), "candidates")
-
-    # the only texts that are read again: of classes in a candidate pair or a large node
-    ends = candidates.select(F.col("a").alias("rep")).union(candidates.select("b")).union(large.select("rep")).distinct()
-    texts = staged(texts_of.select(F.col("doc_id").alias("rep"), "text").join(ends, "rep", "left_semi"), "texts")
-    tried = staged(_best(candidates), "tried")
-    labels = components(confirmed(tried, texts))
-    clusters = components(star)
-
-    found = [candidates.select("a", "b")]
-    rows = staged(_labelled(large.select("key", "rep"), clusters, "rep", "label"), "large-rows")  # labels: clusters
+    star = compared_with(large.select("key", "rep", "label").join(own, "rep").join(hubs, "key"))
+    edges = staged(small.unionByName(star), "edges")
+
+    # nodes whose rows aren't of one cluster go on: labels are clusters here
+    clusters = components(edges)
+    found = [edges]
+    rows = staged(_labelled(large.select("key", "rep"), clusters, "rep", "label"), "large-rows")
     for level in range(DEPTH + 1):
         # a row's cluster, picked by a hash, stands for the node; rows of other clusters are the rest
         first = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("label").alias("label")))
@@ -323,11 +344,11 @@ def linked_classes(classes: DataFrame, texts_of: DataFrame) -> DataFrame:
         near = ~few & (F.lit(last) | (F.col("n_rest") <= LEAF))
         n = x.agg(F.count_if(few).alias("few"), F.count_if(near).alias("near"), F.count_if(~few & ~near).alias("far")).first()
         if n.few:
-            found.append(staged(compared_within(x.filter(few).join(own, "rep")).select("a", "b"), "found"))
+            found.append(staged(compared_within(x.filter(few).join(own, "rep")), "found"))
         if n.near:
             block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n_rest") / LEAF))
             blocks = x.filter(near & apart).join(own, "rep").groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("rep", "size", "mins", "label")).alias("others")).drop("block")
-            found.append(staged(compared_with(x.filter(near).select("key", "rep", "label").join(own, "rep").join(blocks, "key")).select("a", "b"), "found"))
+            found.append(staged(compared_with(x.filter(near).select("key", "rep", "label").join(own, "rep").join(blocks, "key")), "found"))
         if not n.far:
             break
         far = x.filter(~few & ~near).join(own, "rep")
@@ -335,16 +356,18 @@ def linked_classes(classes: DataFrame, texts_of: DataFrame) -> DataFrame:
         child = F.explode(F.array(*[F.pmod(start + k * 21, F.lit(TOKENS)).cast("int") for k in range(BRANCHES)]))
         far = far.withColumn("at", child).select(F.xxhash64("key", "at", F.get("mins", F.col("at"))).alias("key"), "rep", "label")
         rows = staged(far, "large-rows")
-
-    more = found[0]
-    for x in found[1:]:
-        more = more.unionByName(x)
-    more = more.distinct().join(tried, ["a", "b"], "left_anti")
-    for name, by in (("label", labels), ("cluster", clusters)):
-        more = _labelled(_labelled(more, by, "a", f"{name}_a"), by, "b", f"{name}_b").filter(f"{name}_a != {name}_b").select("a", "b")
-    across = confirmed(staged(more, "more"), texts)
+    if len(found) > 1:
+        edges = found[0]
+        for x in found[1:]:
+            edges = edges.unionByName(x)
+        clusters = components(edges)
+
+    # every link lies inside a cluster; the only texts that are read again are the clusters'
+    names = clusters.select(F.col("node").alias("rep"))
+    texts = staged(texts_of.select(F.col("doc_id").alias("rep"), "text").join(names, "rep", "left_semi"), "texts")
+    labels = components(confirmed(_best(edges), texts))
     members = _labelled(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), labels, "rep", "label")
-    late = staged(across.unionByName(connected_in_clusters(members, texts)), "late")
+    late = staged(connected_in_clusters(members, texts), "late")
     if late.isEmpty():
         return labels
     # links between components, then the labels of those
