@@ -2,9 +2,11 @@
 
 Documents with equal shingle sets become one class. Each of TREES independent trees deals the classes to nodes by a
 selected minwise token; small nodes are compared exhaustively by sketches, large ones branch on further tokens (BRANCHES
-each, chosen by the node). Pairs that may be linked make clusters, and links inside clusters are decided on the full shingle
-sets of texts. A pair at the threshold misses all trees with a chance of about (1 - 0.75) ** 10, one in a million, and a
-sketch with one in ten million.
+each, chosen by the node, among those that no tree starts with). Pairs that may be linked make clusters, and links inside
+clusters are decided on the full shingle sets of texts. Of BRANCHES = 2 ways on, a pair at the threshold shares 1.5 and one half
+alike shares 1, so texts with one common passage don't multiply from level to level. Where all its nodes are large, a
+pair at the threshold stays together in one tree with a chance of about 0.67 and misses all trees with 0.33 ** 12, two in a
+million; a sketch misses one in ten million.
 
 Groups of thousands of near copies never expand to all pairs. A node puts out a spanning forest of what may be linked in it;
 a large one first compares its classes with one pivot, and branches where its classes aren't of one cluster. Each class's best
@@ -28,11 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeshore.llm.components import components
-from lakeshore.llm.shared import staged
+from lakeshore.llm.shared import compact, staged
 
 SHINGLE, THRESHOLD = 5, 75  # words; percent
-TREES, BRANCHES, DEPTH, LEAF = 10, 3, 6, 64
+TREES, BRANCHES, DEPTH, LEAF = 12, 2, 4, 64
 TOKENS = 64
+#: Rows with a block of others that are worth a task of their own (LEAF others each).
+BLOCK_ROWS = 1000
 #: Text of a cluster's classes that is held, and that is streamed against it, in one task.
 BLOCK_BYTES, CHUNK_BYTES = 1 << 20, 16 << 20
 #: Equal sketch bytes, of TOKENS, below which a pair isn't confirmed: 48 are expected at the threshold, deviation 3.5.
@@ -128,9 +132,9 @@ def _tree_edges(a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> list[int]:
     return kept
 
 
-def compared_within(nodes: DataFrame) -> DataFrame:
-    """Of all pairs inside small nodes that may be linked, a spanning forest of each node: rows (key, rep, size, mins, label) of
-    at most LEAF rows to a key."""
+def compared_within(nodes: DataFrame, rows: int) -> DataFrame:
+    """Of all pairs inside small nodes that may be linked, a spanning forest of each node: at most about ``rows`` rows (key,
+    rep, size, mins, label), at most LEAF of them to a key."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -167,7 +171,7 @@ def compared_within(nodes: DataFrame) -> DataFrame:
         if held is not None:
             yield from done(held)
 
-    own = nodes.select("key", "rep", "size", "mins", "label").repartition("key").sortWithinPartitions("key")
+    own = compact(nodes.select("key", "rep", "size", "mins", "label").repartition("key"), rows).sortWithinPartitions("key")
     return own.mapInArrow(compare, CANDIDATE)
 
 
@@ -320,42 +324,47 @@ def linked_classes(classes: DataFrame, texts_of: DataFrame) -> DataFrame:
     """(node, label) of all classes (rep, size, mins) that have links; ``texts_of`` has (doc_id, text)."""
     tree_rows = classes.select("rep", F.posexplode(F.slice("mins", 1, TREES)).alias("tree", "token")).select("rep", F.xxhash64("tree", "token").alias("key"), F.xxhash64("rep", "tree").alias("h"), F.col("rep").alias("label"))
     nodes = _counted(tree_rows, [F.min(F.struct("h", "rep")).alias("first")]).select("key", "n", F.col("first.rep").alias("pivot"))
-    rows = staged(tree_rows.select("key", "rep", "label").join(nodes, "key"), "tree-rows")
+    many = TREES * classes.count()
+    rows = staged(compact(tree_rows.select("key", "rep", "label").join(nodes, "key"), many), "tree-rows")
     own = classes.select("rep", "size", "mins")
-    small = compared_within(rows.filter(F.col("n") <= LEAF).join(own, "rep"))
+    small = compared_within(rows.filter(F.col("n") <= LEAF).join(own, "rep"), many)
     large = rows.filter(F.col("n") > LEAF)
     pivots = classes.select(F.col("rep").alias("pivot"), F.struct("rep", "size", "mins", F.col("rep").alias("label")).alias("other"))
     hubs = large.select("key", "pivot").distinct().join(pivots, "pivot").select("key", F.array("other").alias("others"))
-    star = compared_with(large.select("key", "rep", "label").join(own, "rep").join(hubs, "key"))
+    star = compared_with(compact(large.select("key", "rep", "label").join(own, "rep").join(hubs, "key"), many))
     edges = staged(small.unionByName(star), "edges")
 
     # nodes whose rows aren't of one cluster go on: labels are clusters here
     clusters = components(edges)
     found = [edges]
-    rows = staged(_labelled(large.select("key", "rep"), clusters, "rep", "label"), "large-rows")
+    rows = staged(compact(_labelled(large.select("key", "rep"), clusters, "rep", "label"), many), "large-rows")
     for level in range(DEPTH + 1):
+        many = rows.count()
         # a row's cluster, picked by a hash, stands for the node; rows of other clusters are the rest
         first = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("label").alias("label")))
         x = rows.join(_counted(rows, [first.alias("first")]).select("key", "n", F.col("first.label").alias("main")), "key")
         apart = F.col("label") != F.col("main")
         rest = x.groupBy("key").agg(F.count(F.when(apart, 1)).alias("n_rest"))
-        x = staged(x.join(rest, "key"), "rest-rows")
+        x = staged(compact(x.join(rest, "key"), many), "rest-rows")
         few, last = F.col("n") <= (LEAF if level else 0), level == DEPTH
         near = ~few & (F.lit(last) | (F.col("n_rest") <= LEAF))
-        n = x.agg(F.count_if(few).alias("few"), F.count_if(near).alias("near"), F.count_if(~few & ~near).alias("far")).first()
+        n_blocks = F.ceil(F.col("n_rest") / LEAF)
+        n = x.agg(F.count_if(few).alias("few"), F.coalesce(F.sum(F.when(near, n_blocks)), F.lit(0)).alias("near"), F.count_if(~few & ~near).alias("far")).first()
         if n.few:
-            found.append(staged(compared_within(x.filter(few).join(own, "rep")), "found"))
+            found.append(staged(compared_within(x.filter(few).join(own, "rep"), n.few), "found"))
         if n.near:
-            block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n_rest") / LEAF))
+            block = F.pmod(F.xxhash64("rep"), n_blocks)
             blocks = x.filter(near & apart).join(own, "rep").groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("rep", "size", "mins", "label")).alias("others")).drop("block")
-            found.append(staged(compared_with(x.filter(near).select("key", "rep", "label").join(own, "rep").join(blocks, "key")), "found"))
+            against = x.filter(near).select("key", "rep", "label").join(own, "rep").join(blocks, "key")
+            found.append(staged(compared_with(compact(against, n.near, BLOCK_ROWS)), "found"))
         if not n.far:
             break
         far = x.filter(~few & ~near).join(own, "rep")
         start = F.xxhash64("key")
-        child = F.explode(F.array(*[F.pmod(start + k * 21, F.lit(TOKENS)).cast("int") for k in range(BRANCHES)]))
+        others = TOKENS - TREES  # a tree's own token would not part its rows again
+        child = F.explode(F.array(*[(F.pmod(start + k * (others // BRANCHES), F.lit(others)) + TREES).cast("int") for k in range(BRANCHES)]))
         far = far.withColumn("at", child).select(F.xxhash64("key", "at", F.get("mins", F.col("at"))).alias("key"), "rep", "label")
-        rows = staged(far, "large-rows")
+        rows = staged(compact(far, n.far), "large-rows")
     if len(found) > 1:
         edges = found[0]
         for x in found[1:]:

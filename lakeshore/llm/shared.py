@@ -45,6 +45,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows that are worth a task of their own.
+TASK_ROWS = 20_000
+
+
+def compact(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df``, of at most about ``rows`` rows, in no more partitions than those fill: loops over shrinking tables don't pay
+    for empty tasks and files. Large tables keep the partitions they have."""
+    return df.coalesce(max(1, -(-rows // task_rows)))
+
+
 def dropped(spark: SparkSession, uri: str) -> None:
     """Delete a staged folder that nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
