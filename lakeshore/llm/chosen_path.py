@@ -37,6 +37,8 @@ TREES, BRANCHES, DEPTH, LEAF = 12, 2, 4, 64
 TOKENS = 64
 #: Rows with a block of others that are worth a task of their own (LEAF others each).
 BLOCK_ROWS = 1000
+#: Classes that a task remembers as joined.
+FOREST_ROWS = 500_000
 #: Text of a cluster's classes that is held, and that is streamed against it, in one task.
 BLOCK_BYTES, CHUNK_BYTES = 1 << 20, 16 << 20
 #: Equal sketch bytes, of TOKENS, below which a pair isn't confirmed: 48 are expected at the threshold, deviation 3.5.
@@ -113,9 +115,9 @@ def _pairs(a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(equal.astype(np.int32))], names=["a", "b", "equal"])
 
 
-def _tree_edges(a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> list[int]:
-    """Places of the pairs (row numbers ``a``, ``b``) that make a spanning forest, most equal bytes first."""
-    root: dict[int, int] = {}
+def _tree_edges(a: np.ndarray, b: np.ndarray, equal: np.ndarray, root: dict[int, int] | None = None) -> list[int]:
+    """Places of the pairs (``a``, ``b``) that make a spanning forest, most equal bytes first; ``root`` has what earlier calls joined."""
+    root = {} if root is None else root
 
     def find(x: int) -> int:
         while (up := root.get(x, x)) != x:
@@ -176,10 +178,14 @@ def compared_within(nodes: DataFrame, rows: int) -> DataFrame:
 
 
 def compared_with(rows: DataFrame) -> DataFrame:
-    """Pairs of a row (rep, size, mins, label) with each of ``others`` (array of the same) that may be linked."""
+    """Of all pairs of a row (rep, size, mins, label) with one of ``others`` (array of the same) that may be linked, a spanning
+    forest of each task."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
         for batch in batches:
+            if len(root) > FOREST_ROWS:
+                root.clear()  # bounded memory; pairs may repeat
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 others = part.column("others")
@@ -193,7 +199,9 @@ def compared_with(rows: DataFrame) -> DataFrame:
                 x = np.flatnonzero((rep != rep2) & (label != label2))
                 if len(x):
                     good, equal = _may_link(_sketch_bytes(part.column("mins"))[row[x]], _sketch_bytes(theirs["mins"])[x], size[x], size2[x])
-                    yield _pairs(rep[x[good]], rep2[x[good]], equal[good])
+                    x, equal = x[good], equal[good]
+                    kept = _tree_edges(rep[x], rep2[x], equal, root)
+                    yield _pairs(rep[x[kept]], rep2[x[kept]], equal[kept])
 
     return rows.select("rep", "size", "mins", "label", "others").mapInArrow(compare, CANDIDATE)
 
