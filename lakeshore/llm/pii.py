@@ -7,7 +7,8 @@ from the patterns' own matches, with the matches hidden from a part of the token
 label. A token adds a span where its best label is no plain text, has at least SURE marginal, and no pattern covers it.
 Tokens that aren't suspect have no feature that could label them, so they are left out of the field.
 
-Cases: a null text is empty; texts without suspects have no spans; without training texts only patterns find spans;
+Cases: a null text is empty; texts without suspects have no spans; texts without a pattern's match are searched by the field
+like all others; without training texts only patterns find spans;
 groups of more than LINKS equal tokens are linked as a ring plus a hub, never pair by pair; repeated rows are searched alike; an
 empty table gives an empty table; other columns stay.
 """
@@ -193,9 +194,11 @@ class Model:
 
     def added(self, text: str, spans: list[Span]) -> list[Span]:
         """Spans beside the patterns' ones: runs of neighbouring nodes of one sure label."""
-        if not self.trained or not spans:
+        if not self.trained:
             return []
         field = Field(text, spans)
+        if not field.nodes:
+            return []
         p = self.marginals(field)
         label = p.argmax(axis=1)
         out: list[Span] = []

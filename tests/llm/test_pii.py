@@ -88,6 +88,19 @@ def test_similar_tokens_share_labels():
     assert model.added("anna.b alone", []) == []
 
 
+def test_texts_without_matches_get_marginals():
+    model = pii.Model()
+    model.trained = True
+    model.node[0, 0], model.node[9, 1] = 1.0, 6.0
+    text = "ask user@localhost, not 99"
+    assert pii.base_spans(text) == []
+    assert model.added(text, []) == [(0, 4, 18)]
+    assert model.added(text + " or 10.0.0.7", pii.base_spans(text + " or 10.0.0.7")) == [(0, 4, 18)]
+    model.node[9, 1] = 3.0  # 0.71 at best: not sure
+    assert model.added(text, []) == []
+    assert model.added("", []) == model.added("no suspects", []) == []
+
+
 def test_redacted(spark):
     docs = spark.createDataFrame([(1, "write a@b.co or 1.2.3.4é", 5), (2, None, 1), (3, "plain", 1)], "doc_id long, text string, base int")
     assert [r.text for r in sorted(pii.redacted(docs.drop("base"), pii.Model()).collect())] == ["write <email> or <ip>é", None, "plain"]
