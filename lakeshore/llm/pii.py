@@ -1,15 +1,16 @@
 """Personal data: fixed patterns, then a skip-chain conditional random field that adds what their tokens imply.
 
 The field's nodes are a text's suspect tokens: those with a digit, an at sign or a plus sign, and those that repeat a part
-of such a token. Neighbouring nodes share a transition potential; equal or similar nodes, however distant, share a
-similarity potential, so one entity's labels agree all over a document. Potentials are learned by pseudo-likelihood
+of such a token. Neighbouring nodes share a transition potential; equal or similar nodes, however distant, are linked to one
+entity by a similarity potential, so one entity's labels agree all over a document. Potentials are learned by pseudo-likelihood
 from the patterns' own matches, with the matches hidden from a part of the tokens, and loopy message passing gives each node's marginal
-label. A token adds a span where its best label is no plain text, has at least SURE marginal, and no pattern covers it.
+label. An entity sums what the patterns' matches tell about each of its mentions, however many there are; how mentions and
+their neighbours look says the same of each, so that counts once, as its average. A token adds a span where its best label is no plain text, has at least SURE marginal, and no pattern covers it.
 Tokens that aren't suspect have no feature that could label them, so they are left out of the field.
 
 Cases: a null text is empty; texts without suspects have no spans; texts without a pattern's match are searched by the field
 like all others; without training texts only patterns find spans;
-groups of more than LINKS equal tokens are linked as a ring plus a hub, never pair by pair; repeated rows are searched alike; an
+groups of equal or similar tokens of any size share an entity, never pair by pair; repeated rows are searched alike; an
 empty table gives an empty table; other columns stay.
 """
 
@@ -78,7 +79,8 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-FEATURES = 24
+#: Features; those from HINTS on tell the covering pattern's kind.
+FEATURES, HINTS = 24, 20
 
 
 def _shape(token: str, hint: int) -> np.ndarray:
@@ -100,15 +102,12 @@ def _shape(token: str, hint: int) -> np.ndarray:
     x[18] = "-" in token
     x[19] = not d
     if hint >= 0:
-        x[20 + hint] = 4
+        x[HINTS + hint] = 4
     return x
 
 
 class Field:
-    """A text's graph: nodes (start, end, features) and links (i, j, kind: 0 neighbours, 1 similar)."""
-
-    #: Nodes of one text among which each pair of equal ones is linked; more are linked as a ring and to their first one.
-    LINKS = 8
+    """A text's graph: nodes (start, end), links (i, j) of neighbours and groups of equal or similar nodes, one for each entity."""
 
     def __init__(self, text: str, spans: list[Span]) -> None:
         self.nodes: list[tuple[int, int]] = []
@@ -121,21 +120,21 @@ class Field:
         order = sorted(taken)
         self.nodes = [tokens[k] for k in order]
         at = {k: i for i, k in enumerate(order)}
-        self.links = [(i, at[k + 1], 0) for i, k in enumerate(order) if k + 1 in at]
+        self.links = [(i, at[k + 1]) for i, k in enumerate(order) if k + 1 in at]
+        kinds: dict[str, int] = {}
+        forms: list[int] = []
         for i, (a, b) in enumerate(self.nodes):
             name = text[a:b].strip(".-()").lower()
             self.names.append(text[a:b])
+            forms.append(kinds.setdefault(name, len(kinds)))
             for key in {name, *_parts(name)}:
                 if len(key) >= 4:
                     keys.setdefault(key, []).append(i)
-        similar: set[tuple[int, int]] = set()
-        for group in keys.values():
-            if len(group) <= self.LINKS:
-                similar.update((i, j) for k, i in enumerate(group) for j in group[k + 1 :])
-            else:
-                similar.update(zip(group, group[1:]))
-                similar.update((group[0], j) for j in group[1:])
-        self.links += [(i, j, 1) for i, j in sorted(similar) if i != j]
+        #: Equal nodes have one form and the same groups; keys that the same nodes share are one entity.
+        self.forms = np.array(forms, dtype=int)
+        groups = sorted({tuple(group) for group in keys.values() if len(group) > 1})
+        self.member = np.array([i for group in groups for i in group], dtype=int)
+        self.group = np.repeat(np.arange(len(groups)), [len(group) for group in groups]).astype(int)
         self.hints = np.full(len(self.nodes), -1)
         starts = [a for a, _ in self.nodes]
         for kind, a, b in spans:
@@ -159,8 +158,48 @@ def _parts(token: str) -> list[str]:
     return [d] if len(d) >= 7 and d != token else []
 
 
+class _Entities:
+    """Messages between nodes and entities, with (0) and without (1) matches, in time linear in the number of memberships."""
+
+    def __init__(self, field: Field, link: np.ndarray, look: np.ndarray) -> None:
+        self.field, self.link = field, link
+        n_groups = int(field.group.max(initial=-1)) + 1
+        self.size = np.bincount(field.group, minlength=n_groups)
+        # the forms of each group: what one entity knows reaches another by each form that both have, not by each mention
+        pairs, self.pair = np.unique(np.stack((field.forms[field.member], field.group)), axis=1, return_inverse=True)
+        self.pair, (self.form, self.of) = self.pair.reshape(-1), pairs
+        self.look = np.zeros((len(field.nodes), len(link)))
+        self.look[field.forms] = look
+        self.relayed = np.zeros((len(self.form), len(link)))
+        self.told = np.zeros((2, len(field.nodes), len(link)))  # sum of the entities' messages to each node
+
+    def _to_entity(self, belief: np.ndarray) -> np.ndarray:
+        return _centred(_logsum(belief[..., None] + self.link, -2))
+
+    def _to_node(self, belief: np.ndarray) -> np.ndarray:
+        return _centred(_logsum(belief[..., None] + self.link.T, -2))
+
+    def step(self, belief: np.ndarray) -> None:
+        """One round; ``belief``: of each node, without its entities' messages."""
+        member, group, n = self.field.member, self.field.group, len(self.size)
+        if not n:
+            return
+        told, looks = self._to_entity(belief)[:, member]
+        proof = told - looks
+        looks_sum, of_pair = _summed(looks, group, n), _summed(proof, self.pair, len(self.form))
+        total = _summed(of_pair + self.relayed, self.of, n)
+        average = (looks_sum / self.size[:, None])[self.of]
+        heard = self._to_node(average + total[self.of] - of_pair - self.relayed) - self._to_node(average)
+        elsewhere = _summed(heard, self.form, len(self.look))[self.form] - heard
+        others = (looks_sum[group] - looks) / (self.size[group] - 1)[:, None]
+        new = self._to_node(np.stack((others + total[group] - proof - self.relayed[self.pair], others)))
+        relay = self._to_entity(self.look[self.form] + elsewhere) - self._to_entity(self.look[self.form])
+        self.relayed = DAMP * self.relayed + (1 - DAMP) * relay
+        self.told = DAMP * self.told + (1 - DAMP) * _summed(new, member, self.told.shape[1])
+
+
 class Model:
-    """Node weights (features x labels) and one label matrix for each kind of link; label 0 is plain text."""
+    """Node weights (features x labels) and a label matrix for neighbours (0) and for node and entity (1); label 0 is plain text."""
 
     def __init__(self) -> None:
         n = len(KINDS) + 1
@@ -168,29 +207,29 @@ class Model:
         self.trained = False
 
     def marginals(self, field: Field) -> np.ndarray:
-        """Loopy sum-product: messages along each link in both directions, damped, for ROUNDS rounds."""
-        local = field.features() @ self.node
-        if not field.links:
-            return _softmax(local)
-        source = np.array([i for i, j, _ in field.links] + [j for i, j, _ in field.links])
-        target = np.array([j for i, j, _ in field.links] + [i for i, j, _ in field.links])
-        kind = np.array([k for *_, k in field.links] * 2)
+        """Loopy sum-product: messages along each link in both directions and between nodes and their entities, damped, for
+        ROUNDS rounds. All messages are also computed without any pattern's match: what a node tells its entities is the
+        difference that matches make to it, summed over all nodes, and the average of what looks alone imply."""
+        x = field.features()
+        hinted = np.stack((x @ self.node, x[:, :HINTS] @ self.node[:HINTS]))  # with and without matches
+        if not field.links and not len(field.member):
+            return _softmax(hinted[0])
+        source = np.array([i for i, j in field.links] + [j for i, j in field.links], dtype=int)
+        target = np.array([j for i, j in field.links] + [i for i, j in field.links], dtype=int)
         half = len(field.links)
         back = np.concatenate((np.arange(half, 2 * half), np.arange(half)))
-        # a similarity link weighs less the more of them a node has
-        n_similar = np.maximum(1, np.bincount(target[kind == 1], minlength=len(local)))
-        scale = np.where(kind == 1, 1 / np.sqrt(n_similar[target] * n_similar[source]), 1.0)
-        potential = np.concatenate((self.link[kind[:half]], self.link[kind[half:]].transpose(0, 2, 1))) * scale[:, None, None]
-        message = np.zeros((2 * half, local.shape[1]))
+        potential = np.concatenate((np.repeat(self.link[:1], half, 0), np.repeat(self.link[:1].transpose(0, 2, 1), half, 0)))
+        message = np.zeros((2, 2 * half, hinted.shape[2]))
+        entities = _Entities(field, self.link[1], hinted[1])
         for _ in range(ROUNDS):
-            belief = local.copy()
-            np.add.at(belief, target, message)
-            sent = belief[source] - message[back]
-            new = _logsum(sent[:, :, None] + potential, 1)
-            new -= new.max(axis=1, keepdims=True)
+            near = _summed(message, target, len(field.nodes))
+            sent = (hinted + near + entities.told)[:, source] - message[:, back]
+            entities.step(hinted + near)
+            new = _logsum(sent[..., None] + potential, 2)
+            if half:
+                new -= new.max(axis=2, keepdims=True)
             message = DAMP * message + (1 - DAMP) * new
-        np.add.at(local, target, message)
-        return _softmax(local)
+        return _softmax((hinted + _summed(message, target, len(field.nodes)) + entities.told)[0])
 
     def added(self, text: str, spans: list[Span]) -> list[Span]:
         """Spans beside the patterns' ones: runs of neighbouring nodes of one sure label."""
@@ -213,6 +252,17 @@ class Model:
         return out
 
 
+def _summed(x: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``x`` (second axis from the end) summed by their place among ``n``."""
+    out = np.zeros((*x.shape[:-2], n, x.shape[-1]))
+    np.add.at(out, (..., place, slice(None)), x)
+    return out
+
+
+def _centred(x: np.ndarray) -> np.ndarray:
+    return x - x.max(axis=-1, keepdims=True, initial=-np.inf)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -239,12 +289,17 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 300, t
                 rng = np.random.default_rng(len(text))
                 x = field.features(rng.random(len(field.nodes)) < HIDDEN)
                 near = np.zeros((len(field.nodes), 2, labels))
-                similar = np.bincount([k for i, j, s in field.links if s for k in (i, j)], minlength=len(field.nodes))
                 y = field.hints + 1
-                for i, j, s in field.links:
-                    w = 1 / np.sqrt(similar[i] * similar[j]) if s else 1.0
-                    near[i, s, y[j]] += w
-                    near[j, s, y[i]] += w
+                for i, j in field.links:
+                    near[i, 0, y[j]] += 1
+                    near[j, 0, y[i]] += 1
+                # an entity is what most of its other nodes with a label are, plain text if none has one
+                seen = np.zeros((int(field.group.max(initial=-1)) + 1, labels))
+                np.add.at(seen, (field.group, y[field.member]), 1)
+                others = seen[field.group]
+                others[np.arange(len(others)), y[field.member]] -= 1
+                others[:, 0] = 0
+                np.add.at(near, (field.member, 1, others.argmax(axis=1)), 1)
                 rows += np.concatenate((x, near.reshape(len(x), -1)), axis=1).tolist()
                 truth += y.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(truth, pa.int32())], names=["x", "y"])

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lakeshore.llm import pii
@@ -101,6 +102,40 @@ def test_texts_without_matches_get_marginals():
     assert model.added("", []) == model.added("no suspects", []) == []
 
 
+def entity_model():
+    model = pii.Model()
+    model.trained = True
+    model.node[0, 0], model.node[20, 1] = 1.0, 3.0
+    model.link[1] = [[4, 0, 0, 0, 0], [0, 4, 0, 0, 0], *[[0] * 5] * 3]
+    return model
+
+
+@pytest.mark.parametrize("n", [5, 50, 5000])
+@pytest.mark.parametrize("between", [" and so on ", " 12, ", " "])
+def test_evidence_reaches_every_mention(n, between):
+    text = between.join(["anna.b"] * n) + " was anna.b@host.org"
+    field = pii.Field(text, pii.base_spans(text))
+    p = entity_model().marginals(field)
+    own = [i for i, name in enumerate(field.names) if name == "anna.b"]
+    assert len(own) == n
+    assert p[own, 1].min() > 0.6 and np.ptp(p[own, 1]) < 0.01
+    assert entity_model().marginals(pii.Field(text, []))[own, 0].min() > 0.8  # the match makes the difference
+
+
+def test_evidence_is_summed_and_bounded():
+    near = lambda n: "see anna.b now " + "anna.b@host.org and " * n
+    p = [entity_model().marginals(pii.Field(near(n), pii.base_spans(near(n))))[0, 1] for n in (1, 2, 50, 5000)]
+    assert p[0] < p[1] <= p[2] <= p[3] + 1e-9 < 1
+
+
+def test_entities_relay_by_forms():
+    model = entity_model()
+    text = "anna.b@host.org then anna.b@intra then carl.c@intra"
+    first, second, third = model.marginals(pii.Field(text, [(0, 0, 15)]))[:, 1]
+    alone = model.marginals(pii.Field(text, []))[2, 1]
+    assert first > second > third > alone + 0.05
+
+
 def test_redacted(spark):
     docs = spark.createDataFrame([(1, "write a@b.co or 1.2.3.4é", 5), (2, None, 1), (3, "plain", 1)], "doc_id long, text string, base int")
     assert [r.text for r in sorted(pii.redacted(docs.drop("base"), pii.Model()).collect())] == ["write <email> or <ip>é", None, "plain"]
