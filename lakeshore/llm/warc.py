@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +29,10 @@ REVISIT_BYTES = 100
 #: A dictionary frame's mark, as the .warc.zst convention fixes it.
 DICTIONARY_FRAME = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bounds: payload bytes of one file, bytes that its dictionary is trained on (spread over all of its records), dictionary bytes.
+#: Bounds: payload bytes of one file, bytes that its dictionary is trained on (the same share of each record), dictionary bytes.
 FILE_BYTES, TRAIN_BYTES, DICTIONARY_BYTES = 16 << 20, 2 << 20, 64 << 10
+#: Bytes of one piece of a record to train on.
+PIECE_BYTES = 1 << 10
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -55,12 +58,28 @@ def _record(page_id, url, payload: bytes, digest: str, refers_to, date: str) ->
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def training_pieces(records: list[bytes]) -> list[bytes]:
+    """All of ``records`` if they have TRAIN_BYTES at most; else the same share of each one, headers and payload alike: pieces
+    of PIECE_BYTES at most, each at a hash-chosen offset in its own part of the record."""
+    total = sum(map(len, records))
+    if total <= TRAIN_BYTES:
+        return records
+    pieces = []
+    for record in records:
+        share = max(1, len(record) * TRAIN_BYTES // total)
+        parts = -(-share // PIECE_BYTES)
+        chosen, size = zlib.crc32(record), share // parts
+        for k in range(parts):
+            start, end = len(record) * k // parts, len(record) * (k + 1) // parts
+            chosen = zlib.crc32(k.to_bytes(4, "little"), chosen)
+            at = start + chosen % (end - start - size + 1)
+            pieces.append(record[at : at + size])
+    return pieces
+
+
 def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from a byte-bounded spread over all ``records``; raw content where there are too few to train on."""
-    share = max(256, TRAIN_BYTES // len(records))
-    samples = [r[:share] for r in records]
-    step = -(-sum(map(len, samples)) // TRAIN_BYTES)
-    samples = samples[::step]
+    """A dictionary from pieces of all ``records``, TRAIN_BYTES in all; raw content where there are too few to train on."""
+    samples = training_pieces(records)
     if len(samples) >= 16 and sum(map(len, samples)) >= 20 * 1024:
         try:
             return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples, k=256, d=8)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from lakeshore.llm import warc
 
@@ -21,5 +22,19 @@ def test_archives_match_brute_force(spark):
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to), str(bytes(r.payload) if r.payload is not None else None)) for r in got) == sorted(expected)
 
 
+def test_dictionary_sees_whole_records():
+    rng = random.Random(2)
+    noise = lambda n: rng.randbytes(n).hex().encode()
+    late = noise(300)  # only at the end of each record
+    records = [b"headers " * 20 + noise(3500) + late + noise(300) for _ in range(1000)]
+    pieces = warc.training_pieces(records)
+    assert warc.TRAIN_BYTES * 0.99 < sum(map(len, pieces)) <= warc.TRAIN_BYTES
+    found = [next(r for r in (records[k // (len(pieces) // 1000)],) if p in r) for k, p in enumerate(pieces)]
+    assert found == [r for r in records for _ in range(len(pieces) // 1000)]
+    raw = warc.dictionary(records).as_bytes()
+    assert sum(late[k : k + 16] in raw for k in range(0, 584, 8)) > 60
+    assert warc.training_pieces(records[:10]) == records[:10]
+
+
 def test_no_pages(spark):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
