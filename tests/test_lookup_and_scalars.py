@@ -133,3 +133,14 @@ def test_sinks(spark, caplog):
         seen = []
         sinks.fanned_out([sinks.unmatched_logged(), lambda b, n: seen.append(b.count())])(spark.createDataFrame([("/x",), ("/x",)], "path string"), 3)
     assert seen == [2] and "no route for /x (2 times, batch 3)" in caplog.text
+
+
+def test_every_unmatched_path_is_kept(spark, caplog, tmp_path):
+    paths = [f"/p{k}" for k in range(50) for _ in range(k + 1)] + [None]
+    log = sinks.unmatched_logged(folder=f"file://{tmp_path}/unmatched")
+    for _ in range(2):  # a repeated batch replaces its own counts
+        log(spark.createDataFrame([(p,) for p in paths], "path string"), 7)
+    got = spark.read.parquet(f"file://{tmp_path}/unmatched/batch=7").collect()
+    assert {r.path: r["count"] for r in got} == {None: 1} | {f"/p{k}": k + 1 for k in range(50)} and len(got) == 51
+    assert "no route for /p49 (50 times, batch 7)" in caplog.text and "31 more paths (batch 7)" in caplog.text
+    sinks.unmatched_logged()(spark.createDataFrame([], "path string"), 1)
