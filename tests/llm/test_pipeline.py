@@ -1,3 +1,15 @@
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+from test_chosen_path import brute_force as near_copies
+from test_decontamination import naive_words
+from test_mixing import filled
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from lakeshore.sources.tables import table
 
@@ -26,3 +38,62 @@ def test_stages_follow_each_other(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def planted(spark, folder):
+    """Texts with insults (k % 5 == 0), near copies (from 1000 on) and benchmark passages (k % 7 == 3; 2000 is little else)."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["an", "er", "lo", "ti", "mu", "sa", "ko", "be"]) for _ in range(4))
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(5)]
+    texts = {}
+    for k in range(400):
+        t = [word() for _ in range(50)]
+        if k % 7 == 3:
+            t[25:25] = items[k % 5][1].split()[2:17]
+        if k % 5 == 0:
+            for at in rng.sample(range(20), 4):
+                t[at] = rng.choice(["vermin", "zork" + word()])
+        texts[k] = " ".join(t)
+        if k % 9 == 4 and k % 5:
+            texts[1000 + k] = " ".join([*t[:-1], word()])
+    texts[2000] = items[0][1] + " and more"
+    rows = [(k, t, "en", "abc"[k % 3], len(t)) for k, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k < 400 and k % 5 == 0)) for k in texts], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return items
+
+
+def test_each_stage_like_plain_python(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    items = planted(spark, folder)
+    docs, seen = table(spark, folder, "documents"), []
+    for _, stage in corpus_pipeline.STAGES:
+        seen.append([tuple(r) for r in docs.collect()])
+        docs = stage(spark, docs, folder).persist()
+    raw, clean, apart, free, mix = seen
+    assert sorted(clean) == sorted(r for r in raw if r[0] >= 400 or r[0] % 5)
+    heads = {int(r[0]) for r in near_copies(clean) if r[3]}
+    assert sorted(apart) == sorted(r for r in clean if r[0] in heads) and len(apart) < len(clean) - 20
+    windows = {tuple(w[k : k + 10]) for w in (naive_words(t) for _, t in items) for k in range(len(w) - 9)}
+    expected, leaks = {}, 0
+    for r in apart:
+        w = naive_words(r[1])
+        hit = {i for k in range(len(w) - 9) if tuple(w[k : k + 10]) in windows for i in range(k, k + 10)}
+        leaks += bool(hit)
+        if len(hit) <= len(w) * 0.5:
+            expected[r[0]] = [x for i, x in enumerate(w) if i not in hit]
+    assert {r[0]: naive_words(r[1]) for r in free} == expected and leaks > 20 and 2000 not in expected and len(free) == len(expected)
+    sizes = Counter()
+    for r in free:
+        sizes[r[3]] += len(r[1].split())
+    goal, copies = filled(sizes), Counter(mix)
+    assert set(copies) <= set(free)
+    for r in free:
+        share = goal[r[3]] / sizes[r[3]]
+        assert math.floor(share + 1e-9) <= copies[r] <= math.ceil(share - 1e-9)
+    for source in sizes:
+        assert abs(sum(len(r[1].split()) for r in mix if r[3] == source) - goal[source]) <= 70 + 0.02 * goal[source]
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = [(r[0], [*whole.encode(r[1], add_special_tokens=False).ids, 2]) for r in mix]
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in docs.collect()) == sorted((d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids)
