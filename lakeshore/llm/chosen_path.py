@@ -1,18 +1,22 @@
 """Near duplicates by a chosen-path set similarity join over word shingles.
 
-Documents with equal shingle sets become one class. Each of TREES independent trees deals the classes to nodes by a
-selected minwise token; small nodes are compared exhaustively by sketches, large ones branch on further tokens (BRANCHES
-each, chosen by the node, among those that no tree starts with). Pairs that may be linked make clusters, and links inside
-clusters are decided on the full shingle sets of texts. Of BRANCHES = 2 ways on, a pair at the threshold shares 1.5 and one half
-alike shares 1, so texts with one common passage don't multiply from level to level. Where all its nodes are large, a
-pair at the threshold stays together in one tree with a chance of about 0.67 and misses all trees with 0.33 ** 12, two in a
-million; a sketch misses one in ten million.
-
-Groups of thousands of near copies never expand to all pairs. A node puts out a spanning forest of what may be linked in it;
-a large one first compares its classes with one pivot, and branches where its classes aren't of one cluster. Each class's best
-candidate is confirmed, which joins most of a cluster. Only classes of a cluster that are still apart from its main part are
-compared with the whole cluster, by full shingle sets, in blocks of BLOCK_BYTES against chunks of CHUNK_BYTES; of what they
-find, only as many rows leave a task as it read. Where branching ends, the rest of a node is compared with it in blocks.
+Documents with equal shingle sets become one class. A sketch of a class holds the first shingle of each of BINS parts of the
+hash range, so it tells a similarity to about 0.03; a pair is looked at from five deviations below the threshold on, which misses one
+link in a few millions. Each of TREES independent trees deals the classes to nodes by a minwise shingle; nodes of at most LEAF
+classes are compared exhaustively by sketches, larger ones branch: each class goes on by a few minwise entries of its sketch, by
+hashes that the node chooses, as many as give a pair at the threshold SHARED = 1.3 ways in common on average. A pair half alike
+shares about 0.8, so texts with one common passage or template part from level to level, at a power of their number
+below two. However deep its nodes go, a pair at the threshold stays together in one tree with a chance of 0.5 or nearly so and misses
+all trees with about 0.5 ** 12, two in ten thousand; at 0.85 alike with two in a million.
+
+The search runs twice. The first one gathers a spanning forest of the pairs that may be linked, which are confirmed on full
+shingle sets; that joins most of each group of copies without all its pairs. The second one knows the groups: it only follows
+classes that the first one saw a pair of, looks only at pairs of different groups, branches only where a node holds several,
+and takes the larger group of a node along only to where others go. What it finds is compared by full sets, a leaf at a time.
+
+Nodes of at most NODE_ROWS classes are searched whole inside a task. Larger ones are cut into parts for the first search,
+each with the node's pivot; for the second they branch as rows of a table until they are small enough, or deal their main
+group over parts beside the few others.
 
 Cases: texts without words have no shingles and no links; texts of fewer than five words have one shingle; null ids
 link with nothing (component null, kept); rows that repeat an id are one node; ties don't matter; an empty table
@@ -21,29 +25,35 @@ gives an empty table; extra columns are kept by :func:`deduplicated` and ignored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeshore.llm.components import components
 from lakeshore.llm.shared import compact, staged
 
 SHINGLE, THRESHOLD = 5, 75  # words; percent
-TREES, BRANCHES, DEPTH, LEAF = 12, 2, 4, 64
-TOKENS = 64
-#: Rows with a block of others that are worth a task of their own (LEAF others each).
-BLOCK_ROWS = 1000
-#: Classes that a task remembers as joined.
-FOREST_ROWS = 500_000
-#: Text of a cluster's classes that is held, and that is streamed against it, in one task.
-BLOCK_BYTES, CHUNK_BYTES = 1 << 20, 16 << 20
-#: Equal sketch bytes, of TOKENS, below which a pair isn't confirmed: 48 are expected at the threshold, deviation 3.5.
-LEAST_EQUAL = 30
-_odd = np.random.default_rng(20).integers(0, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TREES, SHARED, DEPTH, LEAF = 12, 1.3, 40, 64
+BINS = 256
+#: Classes of a node that one task searches.
+NODE_ROWS = 20_000
+#: Classes of whole nodes that a task looks at together, and pairs compared at once.
+BATCH_ROWS, PAIRS = 20_000, 20_000
+#: Classes that others of an unlabelled node are compared with before it branches.
+PIVOTS = 8
+#: Deviations of a sketch below which a pair isn't looked at, and above which it is taken as linked until confirmed.
+BELOW, ABOVE = 5.0, 4.0
+LEAST = THRESHOLD / 100
+#: Bytes that differ in two of their bits, three in four of those that differ, at the threshold; as many deviations above.
+MOST_DIFFERENT = BINS * 0.75 * (1 - LEAST) + BELOW * math.sqrt(BINS * 0.75 * (1 - LEAST) * (1 - 0.75 * (1 - LEAST)))
+#: Shingles held at once when full sets are compared.
+HELD_SHINGLES = 1 << 21
+_odd = np.random.default_rng(20).integers(0, 1 << 63, TREES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _words: dict[bytes, int] = {}
 
 
@@ -77,141 +87,385 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= THRESHOLD * (len(a) + len(b) - common)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """A byte of the first shingle in each of BINS parts of the hash range; 0 where a part has none."""
+    out = np.zeros(BINS, np.uint8)
+    part = (own >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    out[part[first]] = (own[first] & np.uint64(0xFFFFFF)) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+SIGNED = "doc_id long, n_shingles long, digest binary, tokens array<int>, sketch binary"
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, mins): digest and minwise tokens are null without shingles."""
+    """SIGNED for each row: digest, minwise tokens and sketch are null without shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                counts, digests, mins = [], [], []
+                counts, digests, tokens, sketches = [], [], [], []
                 for text in part.column(1):
                     own = shingles(text.as_py())
+                    some = len(own) > 0
                     counts.append(len(own))
-                    digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                    mins.append(np.array([(own * a).min() for a in _odd]).astype(np.uint64) >> np.uint64(32) if len(own) else None)
-                tokens = pa.array([None if m is None else m.astype(np.uint32).view(np.int32) for m in mins], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), tokens], names=["doc_id", "n_shingles", "digest", "mins"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, mins array<int>")
-
+                    digests.append(xxhash.xxh3_128_digest(own.tobytes()) if some else None)
+                    tokens.append((np.array([(own * a).min() for a in _odd], np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32) if some else None)
+                    sketches.append(sketch(own).tobytes() if some else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "digest", "tokens", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNED)
+
+
+class Nodes:
+    """Rows of whole nodes and the pairs among them that may be linked, found by descending chosen paths."""
+
+    def __init__(self, table: pa.Table, labelled: bool, leaf: int) -> None:
+        rep, node = (table[c].to_numpy() for c in ("rep", "node"))
+        order = np.lexsort((_mixed(rep), node))  # by a hash: the same class is the pivot of most nodes it is in
+        self.rep, self.node = rep[order], node[order]
+        self.size, self.label = (table[c].to_numpy()[order] for c in ("size", "label"))
+        self.label = self.label.copy()
+        self.sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)[order]
+        #: Two bits of each byte, packed: what differs in them differs.
+        self.bits = [np.packbits(self.sketch >> k & 1, axis=1).view(np.uint64) for k in (0, 1)]
+        self.labelled, self.leaf = labelled, leaf
+        self.leaves: list[np.ndarray] = []
+        #: (rows a, rows b, sure) of pairs, and in a labelled search the leaves and (rest, all) blocks they were found in.
+        self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.groups: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def search(self) -> None:
+        """Fill ``pairs`` and ``groups``."""
+        cuts = np.flatnonzero(np.diff(self.node)) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.append(cuts, len(self.node))
+        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+            if b - a <= self.leaf:
+                self.leaves.append(np.arange(a, b))
+            else:
+                self._descend(np.arange(a, b), 0, int(self.node[a]), 1.0)
+            if len(self.leaves) > 5000:
+                self._compare_leaves()
+        self._compare_leaves()
+
+    def _may_link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of rows: may they be linked, and do they look sure to be?"""
+        may = (100 * np.minimum(self.size[a], self.size[b]) >= THRESHOLD * np.maximum(self.size[a], self.size[b])) & (self.rep[a] != self.rep[b])
+        sure = np.zeros(len(may), bool)
+        differ = np.bitwise_count((self.bits[0][a] ^ self.bits[0][b]) | (self.bits[1][a] ^ self.bits[1][b])).sum(axis=1)
+        at = np.flatnonzero(may & (differ <= MOST_DIFFERENT))
+        may[:] = False
+        for k in range(0, len(at), PAIRS):
+            own = at[k : k + PAIRS]
+            x, y = self.sketch[a[own]], self.sketch[b[own]]
+            used = np.count_nonzero(x | y, axis=1)
+            same = np.count_nonzero((x == y) & (x != 0), axis=1)
+            # the used parts draw that many of both texts' different shingles, of which so many there are at the threshold
+            both = np.maximum(used, (self.size[a[own]] + self.size[b[own]]) / (1 + LEAST))
+            mean, deviation = used * LEAST, np.sqrt(used * LEAST * (1 - LEAST) * (1 - used / (both + 1)))
+            may[own] = same >= mean - BELOW * deviation - 1
+            sure[own] = same >= np.minimum(used, mean + ABOVE * deviation)
+        return may, sure
+
+    def _descend(self, rows: np.ndarray, depth: int, seed: int, load: float) -> None:
+        """Compare the rows of a large node, or branch."""
+        if not self.labelled:
+            self._absorb(rows)
+        labels, of, many = np.unique(self.label[rows], return_inverse=True, return_counts=True)
+        apart = of != many.argmax()
+        rest = rows[apart]
+        if not len(rest):
+            return
+        if len(rest) <= self.leaf or depth >= DEPTH:
+            self._compare_block(rest, rows)
+            return
+        children: list[tuple[np.ndarray, int]] = []
+        for k, (own, token) in enumerate(_ways(self.sketch[rows], self.size[rows], seed)):
+            goes = np.isin(token, token[apart[own]])  # the main group goes along only to where others go
+            own, token = own[goes], token[goes]
+            by = np.argsort(token, kind="stable")
+            for child in np.split(by, np.flatnonzero(np.diff(token[by])) + 1):
+                below = rows[own[child]]
+                if len(below) > 1 and (self.label[below] != self.label[below[0]]).any():
+                    children.append((below, _child(seed, k, int(token[child[0]]))))
+        load *= sum(len(below) ** 2 for below, _ in children) / (len(rest) * len(rows))
+        if load > 2:
+            self._compare_block(rest, rows)  # pairs multiply on the way down instead of parting
+            return
+        for below, name in children:
+            if len(below) <= self.leaf:
+                self.leaves.append(below)
+            else:
+                self._descend(below, depth + 1, name, load)
+            if len(self.leaves) > 5000:
+                self._compare_leaves()
+
+    def _absorb(self, rows: np.ndarray) -> None:
+        """Compare all rows with a few pivots; what looks sure to be linked with one takes its label."""
+        free = np.ones(len(rows), bool)
+        for _ in range(PIVOTS):
+            if not free.any():
+                break
+            pivot = rows[np.argmax(free)]
+            free[np.argmax(free)] = False
+            may, sure = self._may_link(np.full(len(rows), pivot), rows)
+            self.pairs.append((np.full(int(may.sum()), pivot), rows[may], sure[may]))
+            joined = np.isin(self.label[rows], self.label[rows[sure]])
+            self.label[rows[joined]] = self.label[pivot]
+            free &= ~sure
+
+    def _compare_block(self, rest: np.ndarray, rows: np.ndarray) -> None:
+        held, partners = [], []
+        free = np.ones(len(rows), bool)
+        place = np.argsort(rows)[np.searchsorted(np.sort(rows), rest)]
+        for x, k in zip(rest.tolist(), place.tolist()):
+            free[k] = False
+            others = rows[free & (self.label[rows] != self.label[x])]
+            may, sure = self._may_link(np.full(len(others), x), others)
+            if may.any():
+                self.pairs.append((np.full(int(may.sum()), x), others[may], sure[may]))
+                held.append(x)
+                partners.append(others[may])
+        if self.labelled:
+            for at in range(0, len(held), self.leaf):
+                self.groups.append((np.array(held[at : at + self.leaf]), np.unique(np.concatenate(partners[at : at + self.leaf]))))
+
+    def _compare_leaves(self) -> None:
+        if not self.leaves:
+            return
+        row, leaf = np.concatenate(self.leaves), np.repeat(np.arange(len(self.leaves)), list(map(len, self.leaves)))
+        self.leaves = []
+        found = []
+        for step in range(1, len(row)):
+            at = np.flatnonzero(leaf[step:] == leaf[:-step])
+            if not len(at):
+                break
+            at = at[self.label[row[at]] != self.label[row[at + step]]]
+            for k in range(0, len(at), PAIRS):
+                x = at[k : k + PAIRS]
+                may, sure = self._may_link(row[x], row[x + step])
+                x = x[may]
+                if len(x):
+                    self.pairs.append((row[x], row[x + step], sure[may]))
+                    found.append((x, x + step))
+        if self.labelled and found:  # pairs, the same ones in most trees; where there are many, all that they connect in a leaf
+            a, b = (np.concatenate(x) for x in zip(*found))
+            root = spanning(a, b, len(row))[1]
+            own = np.unique(np.concatenate((a, b)))
+            own = own[np.argsort(root[own], kind="stable")]
+            dense = np.bincount(root[a], minlength=len(row)) > 2 * np.bincount(root[own], minlength=len(row))
+            for held in np.split(own, np.flatnonzero(np.diff(root[own])) + 1):
+                if dense[root[held[0]]]:
+                    self.groups.append((row[held], row[:0]))
+            some = ~dense[root[a]]
+            self.groups += [(pair, row[:0]) for pair in np.stack((row[a[some]], row[b[some]]), axis=1)]
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """As few of the pairs, sure ones first, as connect the classes that all of them connect."""
+        if not self.pairs:
+            return self.rep[:0], self.rep[:0]
+        a, b, sure = (np.concatenate(x) for x in zip(*self.pairs))
+        reps, of = np.unique(self.rep, return_inverse=True)
+        rank = np.argsort(np.argsort(_mixed(reps)))
+        u, v = rank[of[a]], rank[of[b]]
+        by_rank = reps[np.argsort(rank)]
+        kept, root = spanning(u[sure], v[sure], len(reps))
+        first = np.flatnonzero(sure)[kept]
+        kept, _ = spanning(root[u], root[v], len(reps))
+        chosen = np.concatenate((first, kept))
+        return by_rank[u[chosen]], by_rank[v[chosen]]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
 
-def _sketch_bytes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """The lowest bytes of the tokens, a row of TOKENS for each class."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return (flat & 0xFF).astype(np.uint8).reshape(-1, TOKENS)
 
+_entries = np.random.default_rng(21).integers(0, 1 << 63, (BINS, 256), dtype=np.uint64)
+_entries[:, 0] = 0
 
-def _may_link(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of two aligned tables may be linked, and their equal sketch bytes."""
-    equal = (left == right).sum(axis=1)
-    return (equal >= LEAST_EQUAL) & (100 * np.minimum(n_left, n_right) >= THRESHOLD * np.maximum(n_left, n_right)), equal
 
+def _ways(sketches: np.ndarray, sizes: np.ndarray, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their tokens) of each way that a node branches: the least of a class's sketch entries by a hash of the node's."""
+    # entries that two sets of this size, as alike as the threshold, share of all entries of both
+    used, both = (1 - np.exp(-sizes * k / BINS) for k in (1.0, 2 / (1 + LEAST)))
+    ways = SHARED * (2 * used - LEAST * both) / (LEAST * both)
+    part = _child(seed, -1, 0) % 4096 / 4096
+    for k in range(1 + int(ways.max() + part)):
+        own = np.flatnonzero(k + part < ways)
+        if not len(own):
+            return
+        hashed = _entries * np.uint64(_child(seed, k, 0) | 1) >> np.uint64(32)
+        hashed[:, 0] = 1 << 32
+        yield own, hashed[np.arange(BINS), sketches[own]].min(axis=1)
 
-CANDIDATE = "a long, b long, equal int"
 
+def _child(seed: int, way: int, token: int) -> int:
+    """The name of the node behind a token, an unsigned number of 64 bits."""
+    return xxhash.xxh3_64_intdigest(f"{seed}|{way}|{token}")
 
-def _pairs(a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(equal.astype(np.int32))], names=["a", "b", "equal"])
 
+def spanning(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of pairs that make a spanning forest, the smallest node that each of ``n`` nodes is connected with).
 
-def _tree_edges(a: np.ndarray, b: np.ndarray, equal: np.ndarray, root: dict[int, int] | None = None) -> list[int]:
-    """Places of the pairs (``a``, ``b``) that make a spanning forest, most equal bytes first; ``root`` has what earlier calls joined."""
-    root = {} if root is None else root
+    Each round every node hooks on to its smallest smaller neighbour, and pairs are rewritten to where their ends hang."""
+    root, kept = np.arange(n), []
+    lo, hi, place = np.minimum(u, v), np.maximum(u, v), np.arange(len(u))
+    while True:
+        some = lo != hi
+        lo, hi, place = lo[some], hi[some], place[some]
+        if not len(place):
+            return np.concatenate(kept) if kept else place, root
+        by = np.lexsort((lo, hi))
+        first = by[np.flatnonzero(np.diff(hi[by], prepend=-1))]
+        kept.append(place[first])
+        hook = np.arange(n)
+        hook[hi[first]] = lo[first]
+        while (further := hook[hook] != hook).any():
+            hook = hook[hook]
+        root = hook[root]
+        lo, hi = np.minimum(hook[lo], hook[hi]), np.maximum(hook[lo], hook[hi])
+
+
+NODE_COLUMNS = ["node", "rep", "size", "label", "sketch"]
+
+
+def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole nodes, from batches sorted by node."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < BATCH_ROWS:
+            continue
+        t = pa.Table.from_batches(held)
+        node = t["node"].to_numpy()
+        cut = int(np.searchsorted(node, node[-1]))  # the last node may go on
+        if cut:
+            yield t.slice(0, cut)
+        held, rows = t.slice(cut).to_batches(), len(node) - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt(nodes: DataFrame) -> DataFrame:
+    return nodes.select(*NODE_COLUMNS).repartition("node").sortWithinPartitions("node")
+
+
+def forest_within(nodes: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of what may be linked inside nodes (NODE_COLUMNS, labels all different)."""
+    leaf = LEAF
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_nodes(batches):
+            x = Nodes(t, False, leaf)
+            x.search()
+            a, b = x.forest()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _dealt(nodes).mapInArrow(search, "a long, b long")
+
+
+GROUPS = "grp long, turn int, rep long, label long"
+
+
+def groups_within(nodes: DataFrame) -> DataFrame:
+    """GROUPS: inside nodes (NODE_COLUMNS), classes (turn 0) to be compared with each other and with those of turn 1, as each
+    may be linked with one of another label. The same group has the same ``grp`` wherever it is found."""
+    leaf, most = LEAF, HELD_SHINGLES
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_nodes(batches):
+            x = Nodes(t, True, leaf)
+            x.search()
+            for held, others in x.groups:
+                cut = np.cumsum(x.size[held]) // most
+                for k in np.unique(cut).tolist():  # very long texts: fewer at a time, against all that follow
+                    own, later = held[cut == k], np.setdiff1d(np.concatenate((held[cut > k], others)), held[cut == k])
+                    rows = np.concatenate((own, later))
+                    turn = np.repeat([0, 1], [len(own), len(later)])
+                    name = xxhash.xxh3_64_intdigest(np.sort(x.rep[own]).tobytes() + b"|" + np.sort(x.rep[later]).tobytes()) - (1 << 63)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), name)), pa.array(turn.astype(np.int32)), pa.array(x.rep[rows]), pa.array(x.label[rows])], names=["grp", "turn", "rep", "label"])
+
+    return _dealt(nodes).mapInArrow(search, GROUPS).dropDuplicates(["grp", "rep"])
+
+
+def branched(nodes: DataFrame) -> DataFrame:
+    """The children of large nodes (NODE_COLUMNS), as rows."""
+
+    def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, size = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            sketches = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BINS)
+            for seed in np.unique(node).tolist():
+                rows = np.flatnonzero(node == seed)
+                for k, (own, token) in enumerate(_ways(sketches[rows], size[rows], seed)):
+                    names = {t: _child(seed, k, t) - (1 << 63) for t in np.unique(token).tolist()}
+                    below = batch.take(pa.array(rows[own]))
+                    yield pa.RecordBatch.from_arrays([pa.array([names[t] for t in token.tolist()], pa.int64()), *below.columns[1:]], names=NODE_COLUMNS)
 
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = root[x]
-        return x
+    return nodes.select(*NODE_COLUMNS).mapInArrow(branch, "node long, rep long, size long, label long, sketch binary")
 
-    kept = []
-    for k in np.argsort(-equal, kind="stable").tolist():
-        x, y = find(int(a[k])), find(int(b[k]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append(k)
-    return kept
 
+def _parts(n: str, rows: int):
+    return F.ceil(F.col(n) / rows).cast("int")
 
-def compared_within(nodes: DataFrame, rows: int) -> DataFrame:
-    """Of all pairs inside small nodes that may be linked, a spanning forest of each node: at most about ``rows`` rows (key,
-    rep, size, mins, label), at most LEAF of them to a key."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, rep, size, label = (t[c].to_numpy() for c in ("key", "rep", "size", "label"))
-            bytes_ = _sketch_bytes(t["mins"].combine_chunks())
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for step in range(1, len(key)):
-                at = np.flatnonzero(key[step:] == key[:-step])
-                if not len(at):
-                    break
-                at = at[(label[at] != label[at + step]) & (rep[at] != rep[at + step])]
-                for k in range(0, len(at), 50_000):
-                    x = at[k : k + 50_000]
-                    good, equal = _may_link(bytes_[x], bytes_[x + step], size[x], size[x + step])
-                    if good.any():
-                        found.append((x[good], x[good] + step, equal[good]))
-            if found:
-                a, b, equal = (np.concatenate(x) for x in zip(*found))
-                kept = _tree_edges(a, b, equal)  # a row is in one node, so this is done for all nodes at once
-                yield _pairs(rep[a[kept]], rep[b[kept]], equal[kept])
+def _part_node(*of) -> F.Column:
+    return F.xxhash64("node", *of)
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            keys = t["key"].to_numpy()
-            if not len(keys):
-                continue
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
-            held = t.slice(cut)
-            if cut:
-                yield from done(t.slice(0, cut))
-        if held is not None:
-            yield from done(held)
-
-    own = compact(nodes.select("key", "rep", "size", "mins", "label").repartition("key"), rows).sortWithinPartitions("key")
-    return own.mapInArrow(compare, CANDIDATE)
-
-
-def compared_with(rows: DataFrame) -> DataFrame:
-    """Of all pairs of a row (rep, size, mins, label) with one of ``others`` (array of the same) that may be linked, a spanning
-    forest of each task."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}
-        for batch in batches:
-            if len(root) > FOREST_ROWS:
-                root.clear()  # bounded memory; pairs may repeat
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                others = part.column("others")
-                many = np.diff(others.offsets.to_numpy())
-                flat = others.flatten()
-                names = [flat.type.field(k).name for k in range(flat.type.num_fields)]
-                theirs = dict(zip(names, flat.flatten()))
-                row = np.repeat(np.arange(part.num_rows), many)
-                rep, size, label = (part.column(c).to_numpy()[row] for c in ("rep", "size", "label"))
-                rep2, size2, label2 = (theirs[c].to_numpy() for c in ("rep", "size", "label"))
-                x = np.flatnonzero((rep != rep2) & (label != label2))
-                if len(x):
-                    good, equal = _may_link(_sketch_bytes(part.column("mins"))[row[x]], _sketch_bytes(theirs["mins"])[x], size[x], size2[x])
-                    x, equal = x[good], equal[good]
-                    kept = _tree_edges(rep[x], rep2[x], equal, root)
-                    yield _pairs(rep[x[kept]], rep2[x[kept]], equal[kept])
+def in_parts(hot: DataFrame) -> DataFrame:
+    """Nodes of over NODE_ROWS classes as nodes of about NODE_ROWS: by a hash, each with the node's pivot."""
+    pivots = hot.groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "size", "label", "sketch")).alias("first"))
+    pivots = pivots.select("node", "first.*", F.explode(F.sequence(F.lit(0), _parts("n", NODE_ROWS) - 1)).alias("part"))
+    own = hot.select("node", "rep", "size", "label", "sketch", F.pmod(F.xxhash64("rep"), _parts("n", NODE_ROWS)).cast("int").alias("part"))
+    both = own.unionByName(pivots.select(*own.columns))
+    return both.withColumn("node", _part_node("part")).select(*NODE_COLUMNS).distinct()
 
-    return rows.select("rep", "size", "mins", "label", "others").mapInArrow(compare, CANDIDATE)
 
+def narrowed(hot: DataFrame) -> DataFrame:
+    """Labelled nodes of over NODE_ROWS classes as smaller ones, which hold each pair of different labels that the paths keep.
 
-def _best(candidates: DataFrame) -> DataFrame:
-    """The candidate with the most equal sketch bytes of each class."""
-    both = candidates.select(F.col("a").alias("rep"), F.col("b").alias("other"), "equal").unionByName(candidates.select(F.col("b").alias("rep"), F.col("a").alias("other"), "equal"))
-    best = both.groupBy("rep").agg(F.max(F.struct("equal", (-F.col("other")).alias("minus"))).alias("best"))
-    other = -F.col("best.minus")
-    return best.select(F.least("rep", other).alias("a"), F.greatest("rep", other).alias("b")).distinct()
+    A node with few classes outside its main group deals that group over parts, each beside all the others; else it branches.
+    What is as large after DEPTH levels, or multiplies, is compared part by part.
+    """
+    done: list[DataFrame] = []
+    most = 0
+    rows = hot.select(*NODE_COLUMNS)
+    for level in range(DEPTH + 1):
+        main = F.min(F.struct(F.xxhash64("rep").alias("h"), "label"))
+        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), main.alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("n > 1 and lo != hi")
+        x = rows.join(nodes.select("node", "n", F.col("main.label").alias("main")).hint("merge"), "node")
+        others = x.groupBy("node").agg(F.count_if(F.col("label") != F.col("main")).alias("n_rest"))
+        x = staged(x.join(others.hint("merge"), "node"), "large-nodes")
+        small = F.col("n") <= NODE_ROWS
+        few = ~small & (F.col("n_rest") <= NODE_ROWS // 4)
+        k = _parts("n", max(1, NODE_ROWS // 2))
+        own = F.pmod(F.xxhash64("rep"), k).cast("int")
+        every = F.sequence(F.lit(0), k - 1)
+        parts = x.filter(few).withColumn("part", F.explode(F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(every)))
+        done += [x.filter(small).select(*NODE_COLUMNS), parts.withColumn("node", _part_node("part")).select(*NODE_COLUMNS)]
+        far = x.filter(~small & ~few)
+        many = far.count()
+        most = most or 4 * many
+        if not many:
+            break
+        if level == DEPTH or many > most:
+            both = far.withColumn("own", own).withColumn("part", F.explode(every))
+            done.append(both.withColumn("node", _part_node(F.least("own", "part"), F.greatest("own", "part"))).select(*NODE_COLUMNS))
+            break
+        rows = branched(far)
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -222,186 +476,135 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             kept = []
             for k in range(batch.num_rows):
-                text = batch.column(3)[k].as_py()
+                text = batch.column(2)[k].as_py()
                 if text != last[0]:
                     last = (text, shingles(text))
-                if linked(shingles(batch.column(2)[k].as_py()), last[1]):
+                if linked(shingles(batch.column(3)[k].as_py()), last[1]):
                     kept.append(k)
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
-    side = lambda end: texts.select(F.col("rep").alias(end), F.col("text").alias(f"text_{end}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    side = lambda end: texts.select(F.col("rep").alias(end), F.col("text").alias(f"text_{end}")).hint("merge")
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(confirm, "a long, b long")
 
 
-def _counted(rows: DataFrame, extra: list[Column]) -> DataFrame:
-    """Nodes with at least two rows of two labels: (key, n, ...)."""
-    return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), *extra).filter("n > 1 and lo != hi").drop("lo", "hi")
-
-
-def _labelled(x: DataFrame, labels: DataFrame, end: str, name: str) -> DataFrame:
-    """``x`` with the label of column ``end`` in column ``name``; what has no label is its own."""
-    known = labels.select(F.col("node").alias(end), F.col("label").alias("known"))
-    return x.join(known, end, "left").withColumn(name, F.coalesce("known", end)).drop("known")
-
-
-class _Block:
-    """Shingle sets of a block's classes, to be compared with one set at a time."""
+class _Held:
+    """Shingle sets of a group's held classes, to be compared with one set at a time."""
 
     def __init__(self, rows: list[tuple[int, int, str]]) -> None:
         self.rep, self.label = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-        sets = [shingles(r[2]) for r in rows]
-        self.size = np.array(list(map(len, sets)))
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        self.sets = [shingles(r[2]) for r in rows]
+        self.size = np.array(list(map(len, self.sets)))
+        flat, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.size)
         by = np.argsort(flat, kind="stable")
         self.flat, self.owner = flat[by], owner[by]
 
     def links(self, own: np.ndarray, label: int) -> np.ndarray:
-        """Which of the block's classes with another label are linked with the set ``own``."""
+        """Places of the held classes with another label that are linked with the set ``own``."""
         lo, hi = np.searchsorted(self.flat, own, "left"), np.searchsorted(self.flat, own, "right")
         many = hi - lo
         at = np.repeat(lo - (np.cumsum(many) - many), many)
         at += np.arange(len(at))
         common = np.bincount(self.owner[at], minlength=len(self.size))
-        return (100 * common >= THRESHOLD * (self.size + len(own) - common)) & (self.label != label)
-
+        return np.flatnonzero((100 * common >= THRESHOLD * (self.size + len(own) - common)) & (self.label != label))
 
-def _forest(rep: np.ndarray, block: _Block, links: np.ndarray) -> pa.RecordBatch:
-    """As few pairs as connect what ``links`` (rows x block) connects."""
-    none = len(block.rep)
-    of_column = np.arange(none)
-    while True:
-        of_row = np.where(links, of_column, none).min(axis=1, initial=none)
-        new = np.minimum(of_column, np.where(links, of_row[:, None], none).min(axis=0, initial=none))
-        if (new == of_column).all():
-            break
-        of_column = new
-    row, column = np.flatnonzero(of_row < none), np.flatnonzero(of_column != np.arange(none))
-    a = np.concatenate((rep[row], block.rep[column]))
-    b = block.rep[np.concatenate((of_row[row], of_column[column]))]
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def connected_in_clusters(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one component that join all linked classes of different labels inside each cluster.
 
-    ``members`` has (cluster, rep, label), ``texts`` (rep, text).
-    """
-    first = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("label").alias("label")))
-    mixed = members.groupBy("cluster").agg(first.alias("first"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("cluster", F.col("first.label").alias("main"))
-    x = staged(members.join(mixed, "cluster").join(texts, "rep").withColumn("apart", F.col("label") != F.col("main")), "cluster-rows")
-    bytes_ = F.octet_length("text")
-    sizes = x.groupBy("cluster").agg(F.ceil(F.sum(F.when(F.col("apart"), bytes_)) / BLOCK_BYTES).alias("blocks"), F.ceil(F.sum(bytes_) / CHUNK_BYTES).alias("chunks"))
-    x = x.join(sizes, "cluster")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(n).cast("long"), F.lit(1).cast("long")) - 1))
-    part = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.greatest(F.col(n).cast("long"), F.lit(1).cast("long")))
-    held = x.filter("apart").withColumn("block", part("blocks", 1)).withColumn("chunk", numbers("chunks")).withColumn("turn", F.lit(0))
-    streamed = x.withColumn("chunk", part("chunks", 2)).withColumn("block", numbers("blocks")).withColumn("turn", F.lit(1))
-    key = ["cluster", "block", "chunk"]
-    columns = [*key, "turn", "rep", "label", "text"]
-    both = held.select(*columns).unionByName(streamed.select(*columns)).repartition(*key).sortWithinPartitions(*key, "turn")
+def linked_in_groups(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between labels, by full shingle sets, that connect what all links inside the GROUPS connect."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, waiting, block, reps, found = None, [], None, [], []
+        now, waiting, held, root = None, [], None, {}
+        a: list[int] = []
+        b: list[int] = []
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                x = up
+            return x
+
+        def look(label: int, own: np.ndarray) -> None:
+            for k in held.links(own, label).tolist():
+                x, y = find(label), find(int(held.label[k]))
+                if x != y:  # labels are groups that are known to be connected
+                    root[max(x, y)] = min(x, y)
+                    a.append(label)
+                    b.append(int(held.label[k]))
+
+        def hold() -> _Held:
+            nonlocal held
+            held = _Held(waiting)
+            for label, own in zip(held.label.tolist(), held.sets):
+                look(label, own)
+            return held
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a.clear()
+            b.clear()
+            return made
+
         for batch in batches:
             for k in range(batch.num_rows):
-                *own, turn, rep, label, text = (batch.column(c)[k].as_py() for c in range(7))
-                if own != now or len(reps) == 500:
-                    if reps:
-                        yield _forest(np.array(reps), block, np.array(found))
-                    reps, found = [], []
-                if own != now:
-                    now, waiting, block = own, [], None
+                grp, turn, rep, label, text = (batch.column(c)[k].as_py() for c in range(5))
+                if grp != now:
+                    if waiting and held is None:
+                        hold()
+                    now, waiting, held, root = grp, [], None, {}
                 if turn == 0:
                     waiting.append((rep, label, text))
                     continue
-                if block is None and waiting:
-                    block, waiting = _Block(waiting), []
-                if block is not None:
-                    links = block.links(shingles(text), label)
-                    if links.any():
-                        reps.append(rep)
-                        found.append(links)
-        if reps:
-            yield _forest(np.array(reps), block, np.array(found))
+                if held is None:
+                    hold()
+                look(label, shingles(text))
+            yield out()
+        if waiting and held is None:
+            hold()
+        yield out()
 
-    return both.mapInArrow(compare, "a long, b long")
+    own = groups.join(texts.hint("merge"), "rep").select("grp", "turn", "rep", "label", "text")
+    return own.repartition("grp").sortWithinPartitions("grp", "turn", "rep").mapInArrow(compare, "a long, b long")
 
 
 def linked_classes(classes: DataFrame, texts_of: DataFrame) -> DataFrame:
-    """(node, label) of all classes (rep, size, mins) that have links; ``texts_of`` has (doc_id, text)."""
-    tree_rows = classes.select("rep", F.posexplode(F.slice("mins", 1, TREES)).alias("tree", "token")).select("rep", F.xxhash64("tree", "token").alias("key"), F.xxhash64("rep", "tree").alias("h"), F.col("rep").alias("label"))
-    nodes = _counted(tree_rows, [F.min(F.struct("h", "rep")).alias("first")]).select("key", "n", F.col("first.rep").alias("pivot"))
-    many = TREES * classes.count()
-    rows = staged(compact(tree_rows.select("key", "rep", "label").join(nodes, "key"), many), "tree-rows")
-    own = classes.select("rep", "size", "mins")
-    small = compared_within(rows.filter(F.col("n") <= LEAF).join(own, "rep"), many)
-    large = rows.filter(F.col("n") > LEAF)
-    pivots = classes.select(F.col("rep").alias("pivot"), F.struct("rep", "size", "mins", F.col("rep").alias("label")).alias("other"))
-    hubs = large.select("key", "pivot").distinct().join(pivots, "pivot").select("key", F.array("other").alias("others"))
-    star = compared_with(compact(large.select("key", "rep", "label").join(own, "rep").join(hubs, "key"), many))
-    edges = staged(small.unionByName(star), "edges")
-
-    # nodes whose rows aren't of one cluster go on: labels are clusters here
-    clusters = components(edges)
-    found = [edges]
-    rows = staged(compact(_labelled(large.select("key", "rep"), clusters, "rep", "label"), many), "large-rows")
-    for level in range(DEPTH + 1):
-        many = rows.count()
-        # a row's cluster, picked by a hash, stands for the node; rows of other clusters are the rest
-        first = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("label").alias("label")))
-        x = rows.join(_counted(rows, [first.alias("first")]).select("key", "n", F.col("first.label").alias("main")), "key")
-        apart = F.col("label") != F.col("main")
-        rest = x.groupBy("key").agg(F.count(F.when(apart, 1)).alias("n_rest"))
-        x = staged(compact(x.join(rest, "key"), many), "rest-rows")
-        few, last = F.col("n") <= (LEAF if level else 0), level == DEPTH
-        near = ~few & (F.lit(last) | (F.col("n_rest") <= LEAF))
-        n_blocks = F.ceil(F.col("n_rest") / LEAF)
-        n = x.agg(F.count_if(few).alias("few"), F.coalesce(F.sum(F.when(near, n_blocks)), F.lit(0)).alias("near"), F.count_if(~few & ~near).alias("far")).first()
-        if n.few:
-            found.append(staged(compared_within(x.filter(few).join(own, "rep"), n.few), "found"))
-        if n.near:
-            block = F.pmod(F.xxhash64("rep"), n_blocks)
-            blocks = x.filter(near & apart).join(own, "rep").groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("rep", "size", "mins", "label")).alias("others")).drop("block")
-            against = x.filter(near).select("key", "rep", "label").join(own, "rep").join(blocks, "key")
-            found.append(staged(compared_with(compact(against, n.near, BLOCK_ROWS)), "found"))
-        if not n.far:
-            break
-        far = x.filter(~few & ~near).join(own, "rep")
-        start = F.xxhash64("key")
-        others = TOKENS - TREES  # a tree's own token would not part its rows again
-        child = F.explode(F.array(*[(F.pmod(start + k * (others // BRANCHES), F.lit(others)) + TREES).cast("int") for k in range(BRANCHES)]))
-        far = far.withColumn("at", child).select(F.xxhash64("key", "at", F.get("mins", F.col("at"))).alias("key"), "rep", "label")
-        rows = staged(compact(far, n.far), "large-rows")
-    if len(found) > 1:
-        edges = found[0]
-        for x in found[1:]:
-            edges = edges.unionByName(x)
-        clusters = components(edges)
-
-    # every link lies inside a cluster; the only texts that are read again are the clusters'
-    names = clusters.select(F.col("node").alias("rep"))
-    texts = staged(texts_of.select(F.col("doc_id").alias("rep"), "text").join(names, "rep", "left_semi"), "texts")
-    labels = components(confirmed(_best(edges), texts))
-    members = _labelled(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), labels, "rep", "label")
-    late = staged(connected_in_clusters(members, texts), "late")
+    """(node, label) of all classes (rep, size, tokens, sketch) that have links; ``texts_of`` has (doc_id, text)."""
+    tree_rows = classes.select("rep", F.posexplode("tokens").alias("tree", "token")).select("rep", F.xxhash64("tree", "token").alias("node"))
+    shared = tree_rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = tree_rows.join(shared.hint("merge"), "node")
+    rows = staged(rows.join(classes.select("rep", "size", "sketch").hint("merge"), "rep").withColumn("label", F.col("rep")), "tree-rows")
+    small, hot = rows.filter(F.col("n") <= NODE_ROWS), rows.filter(F.col("n") > NODE_ROWS)
+    any_hot = not hot.isEmpty()
+
+    # the first search: a forest of what may be linked, confirmed on full sets
+    first = small.select(*NODE_COLUMNS)
+    edges = staged(forest_within(first.unionByName(in_parts(hot)) if any_hot else first).distinct(), "edges")
+    ends = edges.select(F.col("a").alias("rep")).union(edges.select(F.col("b").alias("rep"))).distinct()
+    names = ends.union(hot.select("rep")).distinct() if any_hot else ends
+    texts = staged(texts_of.select(F.col("doc_id").alias("rep"), "text").join(names.hint("merge"), "rep", "left_semi"), "texts")
+    labels = components(confirmed(edges, texts))
+
+    # the second search: what is left between groups
+    known = labels.select(F.col("node").alias("rep"), F.col("label").alias("known")).hint("merge")
+    labelled = lambda x: x.join(known, "rep", "left").withColumn("label", F.coalesce("known", "rep")).select(*NODE_COLUMNS)
+    again = labelled(small.join(ends.hint("merge"), "rep", "left_semi"))
+    if any_hot:
+        again = again.unionByName(narrowed(labelled(hot)))
+    groups = staged(groups_within(again), "groups")
+    late = staged(linked_in_groups(groups, texts), "late")
     if late.isEmpty():
         return labels
-    # links between components, then the labels of those
-    between = _labelled(_labelled(late, labels, "a", "label_a"), labels, "b", "label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    joined = components(between)
-    ends = labels.unionByName(joined.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
-    return ends.join(joined.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+    joined = components(late)  # of labels
+    ends = labels.unionByName(joined.select("node", F.col("node").alias("label")).join(labels.select("node").hint("merge"), "node", "left_anti"))
+    return ends.join(joined.select(F.col("node").alias("label"), F.col("label").alias("final")).hint("merge"), "label", "left").select("node", F.coalesce("final", "label").alias("label"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     signed = staged(signatures(docs), "signatures")
-    of = signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("mins").alias("mins"))
+    of = signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = staged(of, "classes")
     labels = linked_classes(classes, docs)
-    named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
+    out = signed.select("doc_id", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakeshore.llm import chosen_path
@@ -53,18 +55,98 @@ def corpus():
     return [(3 * k + 1, t, "s", 1) for k, t in enumerate(texts)] + [(4, texts[1], "s", 2), (None, texts[0], "s", 3)]
 
 
-@pytest.mark.parametrize("leaf", [4, 64])
-def test_like_brute_force(spark, monkeypatch, leaf):
-    monkeypatch.setattr(chosen_path, "LEAF", leaf)
-    if leaf == 4:
-        monkeypatch.setattr(chosen_path, "BLOCK_BYTES", 4000)
-        monkeypatch.setattr(chosen_path, "CHUNK_BYTES", 9000)
+@pytest.mark.parametrize("leaf, node_rows, held", [(64, 20_000, 1 << 21), (4, 20_000, 300), (4, 12, 1 << 21)])
+def test_like_brute_force(spark, monkeypatch, leaf, node_rows, held):
+    """Also with leaves, nodes and held sets so small that all ways are taken."""
+    for name, value in (("LEAF", leaf), ("NODE_ROWS", node_rows), ("HELD_SHINGLES", held)):
+        monkeypatch.setattr(chosen_path, name, value)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string, rep int")
     got = chosen_path.near_duplicates(docs).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute_force(rows)
 
 
+def node_table(sets, labels=None, node=0):
+    """One node of the classes with these shingle sets."""
+    n = len(sets)
+    columns = [np.full(n, node), np.arange(n), np.array(list(map(len, sets))), np.arange(n) if labels is None else labels]
+    return pa.table(dict(zip(chosen_path.NODE_COLUMNS, [*map(pa.array, columns), pa.array([chosen_path.sketch(np.sort(s)).tobytes() for s in sets])])))
+
+
+def drawn(rng, n):
+    return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+
+
+def test_sketches_find_links_and_part_the_rest():
+    rng = np.random.default_rng(3)
+    for n in (6, 40, 400, 4000):
+        common = drawn(rng, n * 6 // 7)
+        sets = [np.concatenate((common, drawn(rng, n - len(common)))) for _ in range(60)]  # 0.75 alike
+        x = chosen_path.Nodes(node_table(sets), False, 64)
+        x.search()
+        assert sum(len(a) for a, _, _ in x.pairs) == 60 * 59 // 2
+    common = drawn(rng, 280)
+    sets = [np.concatenate((common, drawn(rng, 120))) for _ in range(60)]  # 0.54 alike
+    x = chosen_path.Nodes(node_table(sets), False, 64)
+    x.search()
+    assert sum(len(a) for a, _, _ in x.pairs) < 60
+
+
+def test_templates_cost_no_square(spark, monkeypatch):
+    """Documents of one template, 0.52 alike: nothing links them, and rows grow with their number only."""
+    rng = np.random.default_rng(4)
+    common = drawn(rng, 274)
+    compared = {500: 0, 2000: 0}
+    for n in compared:
+        sets = [np.concatenate((common, drawn(rng, 126))) for _ in range(n)]
+        for node in range(6):
+            x = chosen_path.Nodes(node_table(sets, np.arange(n), node), True, 64)
+            inner = x._may_link
+
+            def counted(a, b, n=n, inner=inner):
+                compared[n] += len(a)
+                return inner(a, b)
+
+            x._may_link = counted
+            x.search()
+            assert sum(len(a) for a, _, _ in x.pairs) < n // 4
+    assert compared[2000] < 12 * compared[500] and compared[2000] < 6 * 2000 * 1999 // 4
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    template = [word() for _ in range(68)]
+    texts = [" ".join([*template, *(word() for _ in range(32))]) for _ in range(2000)]  # 64 of 128 shingles shared
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = []
+    group = chosen_path.groups_within
+    monkeypatch.setattr(chosen_path, "groups_within", lambda nodes: rows.append(group(nodes)) or rows[-1])
+    assert chosen_path.near_duplicates(docs).filter("kept").count() == 2000
+    assert rows[0].count() < 2000
+
+
+def test_links_across_a_large_group():
+    """One text is linked only with some members of a group of thousands, which all have one label already."""
+    rng = np.random.default_rng(6)
+    base = drawn(rng, 400)
+    sets = [np.concatenate((base[:380], drawn(rng, 20))) for _ in range(3000)]
+    far = [np.concatenate((s[40:], drawn(rng, 40))) for s in sets[:100]]  # 0.82 like its own one, less like the others
+    labels = np.concatenate((np.zeros(3000, np.int64), np.arange(3000, 3100)))
+    x = chosen_path.Nodes(node_table(sets + far, labels), True, 64)
+    x.search()
+    found = {(min(a, b), max(a, b)) for i, j, _ in x.pairs for a, b in zip(x.rep[i].tolist(), x.rep[j].tolist())}
+    assert sum((k, 3000 + k) in found for k in range(100)) >= 60  # of one tree, whose chance is 0.89 a pair at the threshold
+
+
+def test_spanning_connects_what_pairs_connect():
+    rng = np.random.default_rng(8)
+    for n in (2, 30, 300):
+        u, v = rng.integers(0, n, 2 * n), rng.integers(0, n, 2 * n)
+        kept, root = chosen_path.spanning(u, v, n)
+        least = np.arange(n)
+        for _ in range(n):
+            np.minimum.at(least, u, least[v])
+            np.minimum.at(least, v, least[u])
+        assert (root == least).all() and len(kept) == n - len(set(least.tolist()))
+
+
 def test_deduplicated_keeps_one_each(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string, rep int")
