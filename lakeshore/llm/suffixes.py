@@ -222,8 +222,8 @@ def _piece_rows(anchor, digest, start, piece, weight) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(digest, pa.binary()), pa.array(start, pa.int64()), pa.array(keys, pa.binary()), pa.array(piece, pa.binary()), pa.array(weight, pa.int64())], names=["anchor", "digest", "start", "piece_key", "piece", "weight"])
 
 
-def _cut_again(rows: DataFrame, gram: int) -> DataFrame:
-    """Pieces of pieces, by longer parts.
+def _cut_again(distinct: DataFrame, gram: int) -> DataFrame:
+    """Pieces of the different pieces (piece_key, piece, weight), by longer parts: digest is the parent's key, start the place in it.
 
     By whole strings, a piece of several strings repeats one byte, so all of them recur: it gets an anchor of its own
     length, and counts twice; its string also stands alone, for texts that hold it once.
@@ -232,15 +232,15 @@ def _cut_again(rows: DataFrame, gram: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                digest, start, piece, weight = (batch.column(c)[k].as_py() for c in range(4))
+                parent, piece, weight = (batch.column(c)[k].as_py() for c in range(3))
                 for anchor, first, many, _ in pieces(piece, gram):
                     weights = np.full(len(anchor), weight)
                     if gram == LENGTH and (runs := many > 1).any():
-                        yield _piece_rows(anchor[runs], [digest] * int(runs.sum()), start + first[runs], [piece[k : k + LENGTH] for k in first[runs].tolist()], [2] * int(runs.sum()))
+                        yield _piece_rows(anchor[runs], [parent] * int(runs.sum()), first[runs], [piece[k : k + LENGTH] for k in first[runs].tolist()], [2] * int(runs.sum()))
                         anchor, weights = np.where(runs, anchor ^ many * 0x5851F42D4C957F2D, anchor), np.where(runs, 2, weights)
-                    yield _piece_rows(anchor, [digest] * len(anchor), start + first, [piece[k : k + n + LENGTH - 1] for k, n in zip(first.tolist(), many.tolist())], weights)
+                    yield _piece_rows(anchor, [parent] * len(anchor), first, [piece[k : k + n + LENGTH - 1] for k, n in zip(first.tolist(), many.tolist())], weights)
 
-    return rows.select("digest", "start", "piece", "weight").mapInArrow(cut, PIECES)
+    return distinct.select("piece_key", "piece", "weight").mapInArrow(cut, PIECES)
 
 
 def _repeats(distinct: DataFrame) -> DataFrame:
@@ -312,25 +312,31 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     held = found.select("digest", "weight", "anchors", "raw")
     held = staged(held.mapInArrow(same, held.schema), "shared-texts")
 
-    marks = None
-    rest = staged(_cut(held), "pieces")
+    # down: pieces of texts, then of the different pieces of anchors that have too many; no occurrence is cut twice
+    cut = staged(_cut(held), "pieces")
+    levels: list[tuple[DataFrame, DataFrame]] = []  # (places of pieces in what they were cut from, spans of pieces sorted at this level)
     for gram in [*GRAMS[1:], None]:
-        distinct = staged(rest.groupBy("anchor", "piece_key", "piece").agg(F.sum("weight").alias("weight")), "different-pieces")
-        if gram is None:
-            cold, hot = rest, None
-        else:
+        distinct = staged(cut.groupBy("anchor", "piece_key", "piece").agg(F.sum("weight").alias("weight")), "different-pieces")
+        places = cut.select("digest", "start", "piece_key")
+        hot = None
+        if gram is not None:
             heavy = distinct.groupBy("anchor").agg(F.sum(F.octet_length("piece")).alias("bytes")).filter(F.col("bytes") > ANCHOR_BYTES).select("anchor")
             heavy = staged(heavy, "heavy-anchors")
-            hot = None if heavy.isEmpty() else rest.join(heavy, "anchor", "left_semi")
-            cold = rest if hot is None else rest.join(heavy, "anchor", "left_anti")
-            distinct = distinct if hot is None else distinct.join(heavy, "anchor", "left_anti")
-        spans = _repeats(distinct)
-        own = cold.select("digest", "start", "piece_key").join(spans, "piece_key").select("digest", F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end"))).alias("spans"))
-        marks = own if marks is None else marks.unionByName(own)
+            if not heavy.isEmpty():
+                hot = distinct.join(heavy, "anchor", "left_semi")
+                distinct = distinct.join(heavy, "anchor", "left_anti")
+        levels.append((places, _repeats(distinct)))
         if hot is None:
             break
-        rest = staged(_cut_again(hot, gram), "pieces")
-    spans = marks.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        cut = staged(_cut_again(hot, gram), "pieces")
+
+    # up: spans of pieces become spans of what holds them, level by level; only the last join meets occurrences
+    spans = None
+    for places, sorted_ in reversed(levels):
+        below = sorted_ if spans is None else sorted_.unionByName(spans.withColumnRenamed("digest", "piece_key"))
+        moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end")))
+        own = places.join(below, "piece_key").select("digest", moved.alias("spans"))
+        spans = own.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     partly = held.filter("weight = 1").select("digest", "raw").join(spans, "digest")
     return rows.drop("anchors"), texts.select("digest", "copies"), partly
 

@@ -64,5 +64,32 @@ def test_like_brute_force(spark, monkeypatch, heavy):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_force(rows)
 
 
+def test_copies_of_hot_pieces_are_cut_once(spark, monkeypatch):
+    """Anchors that are hot at every length: what is cut again grows with the different pieces, not with their copies."""
+    monkeypatch.setattr(suffixes, "ANCHOR_BYTES", 10)
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, inner = suffixes._cut_again, []
+    shared = text(1500)
+    cut = []
+    monkeypatch.setattr(suffixes, "_cut_again", lambda x, gram: cut.append(x.count()) or passage(x, gram))
+    for n in (5, 50):
+        rows = [(k, text(30) + shared + text(30)) for k in range(n)]
+        got = suffixes.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_force(rows)
+        inner.append(sum(cut))
+        cut.clear()
+    assert inner[1] < 4 * inner[0] + 4 * 50 * 4  # the ends differ from copy to copy
+
+
+def test_segments_of_long_texts(monkeypatch):
+    raw = corpus()[4][1].encode() + b"z" * 900
+    whole = [x for part in suffixes.pieces(raw, 200) for x in zip(*(v.tolist() for v in part))]
+    monkeypatch.setattr(suffixes, "SEGMENT", 700)
+    cut = [x for part in suffixes.pieces(raw, 200) for x in zip(*(v.tolist() for v in part))]
+    of = lambda rows: {first + k: anchor for anchor, first, many, _ in rows for k in range(many)}
+    assert of(cut) == of(whole) and sorted(of(cut)) == list(range(len(raw) - 399)) and len(cut) > len(whole)
+
+
 def test_empty(spark):
     assert suffixes.deduplicated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
