@@ -1,10 +1,11 @@
 """TIFF media columns: walk the image directories, decode strips and tiles, undo predictors, one row for each page.
 
 Decodes uncompressed, LZW, deflate and PackBits data of 1 to 64 bits a sample (chunky or planar), predictors 2 and 3,
-both byte orders, classic and big files. :func:`stored` writes bytes as an 8-bit greyscale page that decodes to them.
+both byte orders, classic and big files. :func:`stored` writes bytes as an 8-bit greyscale page that decodes to them, in one of
+FORMS, which a hash of the bytes picks: each compression, in strips and tiles, with and without a predictor.
 
-Cases: null, empty or broken media give one row with page null and the reason in ``error``, and pages before the break
-keep their rows; a directory that points back ends the walk; repeated rows are decoded each; other columns stay, but for those of the added names.
+Cases: null, empty or broken media (fields of wrong types, sizes that the strips can't hold) give one row with page null and the reason
+in ``error``, and pages before the break keep their rows; a directory that points back ends the walk; repeated rows are decoded each; other columns stay, but for those of the added names.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ from lakeshore.llm.shared import widened
 FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 #: Compression numbers.
 COMPRESSION = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
-#: Row width and rows to a strip of what :func:`stored` writes.
-WIDTH, STRIP_ROWS = 64, 256
+#: About the most bytes that one byte of each compression can become.
+MOST = {"none": 1, "lzw": 2730, "deflate": 1032, "packbits": 64}
+#: Row width, rows to a strip and size of a tile of what :func:`stored` writes.
+WIDTH, STRIP_ROWS, TILE = 64, 256, 32
+#: (compression, tiled?, predictor) of what :func:`with_tiff` writes, by a hash of the payload.
+FORMS = [(c, tiled, predictor) for c in (8, 5, 32773) for tiled in (False, True) for predictor in (1, 2)]
 
 
 def unpackbits(data: bytes, size: int) -> bytes:
@@ -44,6 +49,56 @@ def unpackbits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def packbits(data: bytes) -> bytes:
+    """Runs of three and more equal bytes as such, all else as literals."""
+    x = np.frombuffer(data, np.uint8)
+    out, literal = bytearray(), 0
+    starts = np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1))
+    many = np.diff(np.append(starts, len(x)))
+
+    def put_literal(end: int) -> None:
+        for at in range(literal, end, 128):
+            out.append(min(128, end - at) - 1)
+            out.extend(data[at : min(end, at + 128)])
+
+    for at, n in zip(starts[many > 2].tolist(), many[many > 2].tolist()):
+        put_literal(at)
+        literal = at + n
+        for k in range(at, at + n, 128):
+            run = min(128, at + n - k)
+            out += bytes((257 - run, data[k])) if run > 1 else bytes((0, data[k]))
+    put_literal(len(data))
+    return bytes(out)
+
+
+def lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes that :func:`unlzw` reads; the table is cleared before it is full."""
+    codes, table, free, key = [256], {}, 258, -1
+    for byte in data:
+        pair = key << 8 | byte
+        if key < 0:
+            key = byte
+        elif (known := table.get(pair)) is not None:
+            key = known
+        else:
+            codes.append(key)
+            table[pair] = free
+            free, key = free + 1, byte
+            if free == 4094:
+                codes.append(256)
+                table, free = {}, 258
+    if key >= 0:
+        codes.append(key)
+    x = np.array([*codes, 257], np.uint16)
+    # a reader's table has 258 entries at a clear code's next two codes, then one more at each; widths follow that
+    clears = np.flatnonzero(x == 256)
+    since = np.arange(len(x)) - clears[np.searchsorted(clears, np.arange(len(x)), "left") - 1] - 1
+    width = np.clip(np.ceil(np.log2(259 + np.maximum(since, 1))).astype(int), 9, 12)
+    width[0] = 9
+    bits = np.unpackbits(x.astype(">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - width[:, None]]).tobytes()
+
+
 def unlzw(data: bytes, size: int) -> bytes:
     """TIFF's LZW: codes of 9 to 12 bits from the high bit on, each width one code early, 256 clears, 257 ends."""
     fresh = [bytes([k]) for k in range(256)] + [b"", b""]
@@ -113,7 +168,10 @@ def _block(raw: bytes, scheme: str, size: int) -> bytes:
 
 
 def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
-    first = lambda tag, default: tags.get(tag, (default,))[0]
+    for tag in (256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325):
+        if not all(isinstance(v, int) and v >= 0 for v in tags.get(tag, ())):
+            raise ValueError(f"type of field {tag}")
+    first = lambda tag, default: (*tags.get(tag, ()), default)[0]
     width, height = first(256, 0), first(257, 0)
     bits, samples = tags.get(258, (1,)), first(277, 1)
     scheme = COMPRESSION.get(first(259, 1))
@@ -132,6 +190,8 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
     columns, rows = -(-width // across), -(-height // down)
     if len(offsets) < columns * rows * planes or len(counts) < columns * rows * planes:
         raise ValueError("strips or tiles missing")
+    if columns * rows * planes * down * row_bytes > 2 * MOST[scheme] * sum(counts[: columns * rows * planes]) + row_bytes * down:
+        raise ValueError("strips or tiles can't hold the page")
     out = np.zeros((planes, height, (width * each * depth + 7) // 8), np.uint8)
     for k in range(columns * rows * planes):
         plane, inner = divmod(k, columns * rows)
@@ -173,28 +233,45 @@ def pages_of(data: bytes | None) -> Iterator[dict]:
             tags, following = _fields(data, at, order, magic == 43)
             yield {"page": len(seen) - 1} | _page(data, tags, order)
             at = following
-    except (ValueError, KeyError, struct.error, zlib.error, IndexError) as broken:
+    except (ValueError, KeyError, IndexError, TypeError, OverflowError, MemoryError, struct.error, zlib.error) as broken:
         yield {"error": f"{type(broken).__name__}: {broken}"}
 
 
-def stored(payload: bytes, compression: int = 8, level: int = 4) -> bytes:
-    """``payload`` (a multiple of WIDTH bytes) as one greyscale page of strips, little-endian."""
-    step = WIDTH * STRIP_ROWS
-    strips = [payload[k : k + step] for k in range(0, len(payload), step)]
-    if compression == 8:
-        strips = [zlib.compress(x, level) for x in strips]
-    n, at = len(strips), 8
+def _differences(rows: np.ndarray) -> np.ndarray:
+    """Predictor 2: each sample less the one before it in its row."""
+    return np.diff(rows, axis=1, prepend=np.zeros((len(rows), 1), np.uint8))
+
+
+def form_of(payload: bytes) -> tuple[int, bool, int]:
+    """The one of FORMS that a hash of the bytes picks."""
+    return FORMS[zlib.crc32(payload) % len(FORMS)]
+
+
+def stored(payload: bytes, compression: int = 8, tiled: bool = False, predictor: int = 1, level: int = 4) -> bytes:
+    """``payload`` (a multiple of WIDTH bytes) as one greyscale page of strips or tiles, little-endian."""
+    pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    rows = len(pixels)
+    if tiled:
+        padded = np.pad(pixels, ((0, -rows % TILE), (0, 0)))
+        cells = [padded[y : y + TILE, x : x + TILE] for y in range(0, rows, TILE) for x in range(0, WIDTH, TILE)]
+    else:
+        cells = [pixels[y : y + STRIP_ROWS] for y in range(0, rows, STRIP_ROWS)]
+    if predictor == 2:
+        cells = [_differences(c) for c in cells]
+    packed = {1: bytes, 5: lzw, 8: lambda raw: zlib.compress(raw, level), 32773: packbits}[compression]
+    blocks = [packed(c.tobytes()) for c in cells]
+    n, at = len(blocks), 8
     offsets = []
-    for x in strips:
+    for x in blocks:
         offsets.append(at)
         at += len(x)
     at += at % 2
-    tables = b"" if n == 1 else struct.pack(f"<{2 * n}I", *offsets, *map(len, strips))
-    places = (offsets[0], len(strips[0])) if n == 1 else (at, at + 4 * n)
-    rows = len(payload) // WIDTH
-    entries = [(256, 4, 1, WIDTH), (257, 4, 1, rows), (258, 3, 1, 8), (259, 3, 1, compression), (262, 3, 1, 1), (273, 4, n, places[0]), (277, 3, 1, 1), (278, 4, 1, STRIP_ROWS), (279, 4, n, places[1])]
-    directory = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + bytes(4)
-    body = b"".join(strips)
+    tables = b"" if n == 1 else struct.pack(f"<{2 * n}I", *offsets, *map(len, blocks))
+    places = (offsets[0], len(blocks[0])) if n == 1 else (at, at + 4 * n)
+    entries = [(256, 4, 1, WIDTH), (257, 4, 1, rows), (258, 3, 1, 8), (259, 3, 1, compression), (262, 3, 1, 1), (277, 3, 1, 1), (317, 3, 1, predictor)]
+    entries += [(322, 3, 1, TILE), (323, 3, 1, TILE), (324, 4, n, places[0]), (325, 4, n, places[1])] if tiled else [(273, 4, n, places[0]), (278, 4, 1, STRIP_ROWS), (279, 4, n, places[1])]
+    directory = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in sorted(entries)) + bytes(4)
+    body = b"".join(blocks)
     return struct.pack("<2sHI", b"II", 42, at + len(tables)) + body + bytes(len(body) % 2) + tables + directory
 
 
@@ -220,7 +297,8 @@ def with_tiff(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 raw = [x or b"" for x in part.column(part.num_columns - 1).to_pylist()]
-                media = [stored(x + bytes(-len(x) % WIDTH or (0 if x else WIDTH))) for x in raw]
+                padded = [x + bytes(-len(x) % WIDTH or (0 if x else WIDTH)) for x in raw]
+                media = [stored(x, *form_of(x)) for x in padded]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
 
     rows = docs.select(*keep, F.col(text_col).cast("binary").alias("raw"))

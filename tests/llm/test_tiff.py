@@ -111,6 +111,45 @@ def test_lzw_long():
     assert tiff.unlzw(lzw(data), len(data)) == data
 
 
+@pytest.mark.parametrize("form", tiff.FORMS)
+def test_stored_forms_come_back(form):
+    rng = np.random.default_rng(5)
+    for data in (bytes(64), b"ab" * 32 * 700, rng.integers(0, 256, 64 * 300).astype(np.uint8).tobytes(), rng.integers(97, 101, 64 * 2000).astype(np.uint8).tobytes(), b"z" * 64 * 129):
+        (page,) = tiff.pages_of(tiff.stored(data, *form))
+        assert page["pixels"] == data and page["predictor"] == form[2] and page["compression"] == tiff.COMPRESSION[form[0]]
+        assert tiff.unlzw(tiff.lzw(data), len(data)) == data and tiff.unpackbits(tiff.packbits(data), len(data)) == data
+    assert {tiff.form_of(str(k).encode()) for k in range(200)} == set(tiff.FORMS)
+
+
+def test_broken_directories_never_raise():
+    rng = np.random.default_rng(7)
+    good = [tiff.stored(rng.integers(97, 101, 64 * 40).astype(np.uint8).tobytes(), *form) for form in tiff.FORMS]
+    for k in range(3000):
+        data = bytearray(good[k % len(good)])
+        (at,) = struct.unpack_from("<I", data, 4)
+        for _ in range(1 + k % 3):
+            entry = at + 2 + 12 * int(rng.integers(0, 10))
+            field = int(rng.integers(0, 3))
+            value = int(rng.choice([0, 1, 2, 3, 11, 12, 16, 255, 65535, 2_000_000, 1 << 31, (1 << 32) - 1]))
+            if entry + 12 <= len(data):
+                if field == 0:
+                    struct.pack_into("<H", data, entry + 2, value & 0xFFFF)
+                else:
+                    struct.pack_into("<I", data, entry + 4 * field, value)
+        assert all(("error" in p) != ("pixels" in p) for p in tiff.pages_of(bytes(data)))
+
+
+@pytest.mark.parametrize("kind, value", [(2, b"ab\x00\x00"), (11, struct.pack("<f", 64.0)), (4, struct.pack("<I", 2_000_000))])
+def test_width_of_a_wrong_kind_is_an_error(kind, value):
+    data = bytearray(tiff.stored(b"z" * 64))
+    (at,) = struct.unpack_from("<I", data, 4)
+    assert struct.unpack_from("<H", data, at + 2) == (256,)
+    struct.pack_into("<HHI", data, at + 2, 256, kind, 4 if kind == 2 else 1)
+    data[at + 10 : at + 14] = value
+    (page,) = tiff.pages_of(bytes(data))
+    assert page["error"]
+
+
 def test_texts_round_trip(spark):
     texts = ["", None, "a" * 64, "é" * 500, "word " * 9000, "a" * 64]
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, tiff_note string")
