@@ -6,7 +6,9 @@ entity by a similarity potential, so one entity's labels agree all over a docume
 from the patterns' own matches, with the matches hidden from a part of the tokens, and loopy message passing gives each node's marginal
 label. An entity sums what the patterns' matches tell about each of its mentions, however many there are; how mentions and
 their neighbours look says the same of each, so that counts once, as its average. A token adds a span where its best label is no plain text, has at least SURE marginal, and no pattern covers it.
-Tokens that aren't suspect have no feature that could label them, so they are left out of the field.
+Secrets have no pattern: they are learned from long mixed tokens assigned to a
+secret's name, and found by how they look and where they are repeated. Tokens that aren't suspect have no feature that could label
+them, so they are left out of the field.
 
 Cases: a null text is empty; texts without suspects have no spans; texts without a pattern's match are searched by the field
 like all others; without training texts only patterns find spans;
@@ -17,6 +19,7 @@ empty table gives an empty table; other columns stay.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from lakeshore.llm.shared import numbered, widened
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the field can label: the patterns' kinds, and secrets, which no pattern finds. Plain text is 0, these from 1 on.
+LABELLED = (*KINDS, "secret")
 #: Bound on the training sample: about so many texts with suspects, chosen by a hash of the text.
 SAMPLE_ROWS = 3000
 SURE, ROUNDS, DAMP = 0.9, 8, 0.3
@@ -40,6 +45,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SUSPECT = re.compile(r"[0-9@+]")
 TOKEN = re.compile(r"[^\s,;:!?\"'<>|=]+")
+#: What stands before a value that is assigned to a name, and words in names of secrets.
+ASSIGNED = re.compile(r"""([A-Za-z][A-Za-z0-9_.-]*)["']?\s{0,3}[=:]\s{0,3}["']?$""")
+SECRET_NAMES = ("token", "secret", "key", "passw", "pwd", "auth", "credential")
 
 Span = tuple[int, int, int]
 
@@ -80,11 +88,12 @@ def base_spans(text: str) -> list[Span]:
 
 
 #: Features; those from HINTS on tell the covering pattern's kind.
-FEATURES, HINTS = 24, 20
+FEATURES, HINTS = 29, 25
 
 
-def _shape(token: str, hint: int) -> np.ndarray:
-    """Features of one token; ``hint``: the kind of the pattern that covers it, -1 if none is known."""
+def _shape(token: str, assigned: int, hint: int) -> np.ndarray:
+    """Features of one token; ``assigned``: 1 to a name, 2 to a secret's name; ``hint``: the kind of the pattern that covers it, -1
+    if none is known."""
     d = _digits(token)
     x = np.zeros(FEATURES)
     x[0] = 1
@@ -101,6 +110,11 @@ def _shape(token: str, hint: int) -> np.ndarray:
     x[17] = len(d) == len(token)
     x[18] = "-" in token
     x[19] = not d
+    x[20] = len(token) >= 16 and 0 < len(d) < len(token)
+    x[21] = x[20] and all(c in "0123456789abcdefABCDEF" for c in token)
+    x[22] = x[20] and sum((a in "0123456789") != (b in "0123456789") for a, b in zip(token, token[1:])) >= 4
+    x[23] = assigned > 0
+    x[24] = assigned > 1
     if hint >= 0:
         x[HINTS + hint] = 4
     return x
@@ -115,6 +129,7 @@ class Field:
         suspect = [k for k, (a, b) in enumerate(tokens) if SUSPECT.search(text, a, b)]
         keys: dict[str, list[int]] = {}
         self.names: list[str] = []
+        self.assigned: list[int] = []
         wanted = {p for k in suspect for p in _parts(text[slice(*tokens[k])])}
         taken = set(suspect) | ({k for k, (a, b) in enumerate(tokens) if b - a >= 4 and text[a:b].strip(".-()").lower() in wanted} if wanted else set())
         order = sorted(taken)
@@ -126,6 +141,8 @@ class Field:
         for i, (a, b) in enumerate(self.nodes):
             name = text[a:b].strip(".-()").lower()
             self.names.append(text[a:b])
+            before = ASSIGNED.search(text, max(0, a - 48), a)
+            self.assigned.append(0 if before is None else 1 + any(w in before[1].lower() for w in SECRET_NAMES))
             forms.append(kinds.setdefault(name, len(kinds)))
             for key in {name, *_parts(name)}:
                 if len(key) >= 4:
@@ -146,7 +163,12 @@ class Field:
 
     def features(self, hidden: np.ndarray | None = None) -> np.ndarray:
         hints = self.hints if hidden is None else np.where(hidden, -1, self.hints)
-        return np.array([_shape(n, h) for n, h in zip(self.names, hints)]).reshape(-1, FEATURES)
+        return np.array([_shape(n, a, h) for n, a, h in zip(self.names, self.assigned, hints)]).reshape(-1, FEATURES)
+
+    def truth(self) -> np.ndarray:
+        """Labels to learn from: the patterns' kinds; long mixed tokens assigned to a secret's name."""
+        seed = [a == 2 and len(n) >= 16 and 0 < len(_digits(n)) < len(n) for n, a in zip(self.names, self.assigned)]
+        return np.where(self.hints >= 0, self.hints + 1, np.where(np.array(seed, dtype=bool), len(LABELLED), 0))
 
 
 def _parts(token: str) -> list[str]:
@@ -202,7 +224,7 @@ class Model:
     """Node weights (features x labels) and a label matrix for neighbours (0) and for node and entity (1); label 0 is plain text."""
 
     def __init__(self) -> None:
-        n = len(KINDS) + 1
+        n = len(LABELLED) + 1
         self.node, self.link = np.zeros((FEATURES, n)), np.zeros((2, n, n))
         self.trained = False
 
@@ -245,7 +267,8 @@ class Model:
             kind = int(label[i]) - 1
             if kind < 0 or p[i, label[i]] < SURE or any(x < b and y > a for _, x, y in spans):
                 continue
-            if out and out[-1][0] == kind and not text[out[-1][2] : a].strip():
+            whole = len(_digits(text[a:b])) >= 13 or label[i] == len(LABELLED)  # a card or a secret of its own
+            if out and out[-1][0] == kind and not whole and not text[out[-1][2] : a].strip():
                 out[-1] = (kind, out[-1][1], b)
             else:
                 out.append((kind, a, b))
@@ -281,15 +304,15 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 300, t
     sample = found.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = len(KINDS) + 1
+        labels = len(LABELLED) + 1
         for batch in batches:
             rows, truth = [], []
             for text in batch.column(0).to_pylist():
                 field = Field(text, base_spans(text))
-                rng = np.random.default_rng(len(text))
+                rng = np.random.default_rng(zlib.crc32(text.encode()))
                 x = field.features(rng.random(len(field.nodes)) < HIDDEN)
                 near = np.zeros((len(field.nodes), 2, labels))
-                y = field.hints + 1
+                y = field.truth()
                 for i, j in field.links:
                     near[i, 0, y[j]] += 1
                     near[j, 0, y[i]] += 1
@@ -309,16 +332,24 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 300, t
     model = Model()
     if not table.num_rows:
         return model
-    labels = len(KINDS) + 1
+    labels = len(LABELLED) + 1
     x, y = np.array(table["x"].to_pylist()), table["y"].to_numpy()
     weight = table["count"].to_numpy().astype(float)
     weight /= weight.sum()
-    w, speed, size = np.zeros((x.shape[1], labels)), np.zeros((x.shape[1], labels)), np.full((x.shape[1], labels), 1e-8)
     wanted = np.eye(labels)[y]
-    for _ in range(rounds):  # Adam-like steps on the weighted likelihood
-        slope = x.T @ ((wanted - _softmax(x @ w)) * weight[:, None]) - 1e-4 * w
-        speed, size = 0.9 * speed + 0.1 * slope, 0.99 * size + 0.01 * slope**2
-        w += 0.1 * speed / np.sqrt(size + 1e-10)
+
+    def steps(x: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Weights that add to what is ``given``: Adam-like steps on the weighted likelihood."""
+        w, speed, size = np.zeros((x.shape[1], labels)), np.zeros((x.shape[1], labels)), np.full((x.shape[1], labels), 1e-8)
+        for _ in range(rounds):
+            slope = x.T @ ((wanted - _softmax(given + x @ w)) * weight[:, None]) - 1e-4 * w
+            speed, size = 0.9 * speed + 0.1 * slope, 0.99 * size + 0.01 * slope**2
+            w += 0.1 * speed / np.sqrt(size + 1e-10)
+        return w
+
+    # looks first, then what links add: else links, which know true labels here, would take the place of looks
+    looks = steps(x[:, :FEATURES], np.zeros((len(x), labels)))
+    w = np.concatenate((looks, steps(x[:, FEATURES:], x[:, :FEATURES] @ looks)))
     model.node = w[:FEATURES]
     near = w[FEATURES:].reshape(2, labels, labels)
     model.link = (near + near.transpose(0, 2, 1)) / 2
@@ -327,7 +358,7 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 300, t
 
 
 def spans_text(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
+    return ",".join(f"{LABELLED[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
 def found_in(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -346,7 +377,7 @@ def found_in(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 own = base_spans(text)
                 base.append(own)
                 added.append(model.added(text, own))
-            as_rows = lambda x: pa.array([[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in s] for s in x], kind)
+            as_rows = lambda x: pa.array([[{"kind": LABELLED[k], "start": a, "end": b} for k, a, b in s] for s in x], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, as_rows(base), as_rows(added)], names=[*names, "base", "added"])
 
     span = "array<struct<kind:string,start:long,end:long>>"

@@ -126,7 +126,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.found_in(docs, pii.fitted(docs))
     of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    order = F.create_map(*[x for k, kind in enumerate(pii.KINDS) for x in (F.lit(kind), F.lit(k))])
+    order = F.create_map(*[x for k, kind in enumerate(pii.LABELLED) for x in (F.lit(kind), F.lit(k))])
     rank = lambda s: F.struct(order[s["kind"]].alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     both = found.withColumn("both", F.array_sort(F.transform(F.concat("base", "added"), rank)))
     return both.select("doc_id", *[of(k) for k in pii.KINDS], F.sha2(span_list("base").cast("binary"), 256).alias("base_sha256"), span_list("both").alias("spans"), F.size("added").cast("long").alias("n_added"))

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -81,8 +82,8 @@ def test_base_spans_stay_and_repeats_run(spark, docs):
 def test_similar_tokens_share_labels():
     model = pii.Model()
     model.trained = True
-    model.node[0, 0], model.node[20, 1] = 1.0, 3.0
-    model.link[1] = [[2, -2, 0, 0, 0], [-2, 6, 0, 0, 0], *[[0] * 5] * 3]
+    model.node[0, 0], model.node[pii.HINTS, 1] = 1.0, 3.0
+    model.link[1][:2, :2] = [[2, -2], [-2, 6]]
     text = "mail anna.b@host.org now; later anna.b answered and bob did not"
     (span,) = model.added(text, pii.base_spans(text))
     assert text[span[1] : span[2]] == "anna.b" and span[0] == 0
@@ -105,8 +106,8 @@ def test_texts_without_matches_get_marginals():
 def entity_model():
     model = pii.Model()
     model.trained = True
-    model.node[0, 0], model.node[20, 1] = 1.0, 3.0
-    model.link[1] = [[4, 0, 0, 0, 0], [0, 4, 0, 0, 0], *[[0] * 5] * 3]
+    model.node[0, 0], model.node[pii.HINTS, 1] = 1.0, 3.0
+    model.link[1][:2, :2] = [[4, 0], [0, 4]]
     return model
 
 
@@ -149,3 +150,50 @@ def test_empty(spark):
 def test_digest_form():
     assert pii.spans_text([(2, 4, 9), (0, 1, 3)]) == "email:1:3,card:4:9"
     assert hashlib.sha256(pii.spans_text([]).encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def small_model(seed):
+    rng = np.random.default_rng(seed)
+    model = pii.Model()
+    model.node, model.link, model.trained = rng.normal(0, 0.5, model.node.shape), rng.normal(0, 0.5, model.link.shape), True
+    model.link = (model.link + model.link.transpose(0, 2, 1)) / 2
+    return model
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("text", ["a1", "a1 b22", "a1 b22 c333 plain d4 +e5", "1 2 3 4 5 6 7", "mail x@y.org now 12-34 (5)"])
+def test_marginals_of_chains_are_exact(seed, text):
+    """Without repeats the graph is a forest: messages give what summing over all labellings gives."""
+    model, field = small_model(seed), pii.Field(text, pii.base_spans(text))
+    assert not len(field.member) and 0 < len(field.nodes) < 8
+    score = field.features() @ model.node
+    n, labels = score.shape
+    total = np.zeros((n, labels))
+    for y in itertools.product(range(labels), repeat=n):
+        p = np.exp(sum(score[i, k] for i, k in enumerate(y)) + sum(model.link[0][y[i], y[j]] for i, j in field.links))
+        for i, k in enumerate(y):
+            total[i, k] += p
+    assert np.abs(model.marginals(field) - total / total.sum(axis=1, keepdims=True)).max() < 2e-2
+
+
+def test_adds_what_patterns_drop(spark):
+    """A phone number that runs into an address, two cards in a row, secrets and their repeats; not numbers that fail the check."""
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    card = lambda: next(c for c in iter(lambda: digits(16), "") if pii.luhn(c))
+    fails = lambda: next(c for c in iter(lambda: digits(16), "") if not pii.luhn(c))
+    rows = []
+    for k in range(300):
+        rows.append(f"text {k} of +1 ({digits(3)}) 555-{digits(4)} and mail{k}@host.org at 10.{k % 200}.7.9 with {card()} or {fails()} version {k % 9}. ok")
+        rows.append(f'set token = "{hexes()}" then {fails()} item {k}, no. {k % 7} end')
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    model = pii.fitted(docs)
+    added = lambda text: pii.spans_text(model.added(text, pii.base_spans(text)))
+    assert added("call +1 (826) 555-4081 190.137.223.204 now") == "phone:5:22"
+    secret = hexes()
+    text = f'api_key: "{secret}" and again {secret} here'
+    assert added(text) == f"secret:{text.index(secret)}:{text.index(secret) + 40},secret:{text.rindex(secret)}:{text.rindex(secret) + 40}"
+    a, b = card(), card()
+    assert added(f"pay {a} {b} soon") == "card:4:20,card:21:37"
+    assert added(f"number {fails()} is no card, version 2.0. and 7") == ""
