@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeshore.llm.shared import staged
@@ -290,6 +290,17 @@ def _repeats(distinct: DataFrame) -> DataFrame:
     return own.mapInArrow(sort, "piece_key binary, spans array<struct<start:long,end:long>>")
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans, those that overlap or touch as one: what is pushed up grows with the runs, not with the strings in them."""
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    done = lambda s: F.when(s["end"] >= 0, F.concat(s["done"], F.array(span(s["start"], s["end"])))).otherwise(s["done"])
+    zero = F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("done"), F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
+    step = lambda s, x: F.when(x["start"] <= s["end"], F.struct(s["done"].alias("done"), s["start"].alias("start"), F.greatest(s["end"], x["end"]).alias("end"))).otherwise(
+        F.struct(done(s).alias("done"), x["start"].alias("start"), x["end"].alias("end"))
+    )
+    return F.aggregate(F.array_sort(spans), zero, step, done)
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, texts, partly): (doc_id, digest, n_bytes, sha256) of each row; (digest, copies) of the different texts of at
     least LENGTH bytes; and (digest, raw, spans) of those without copies that have bytes to remove."""
@@ -336,7 +347,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         below = sorted_ if spans is None else sorted_.unionByName(spans.withColumnRenamed("digest", "piece_key"))
         moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end")))
         own = places.join(below, "piece_key").select("digest", moved.alias("spans"))
-        spans = own.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        spans = own.groupBy("digest").agg(_merged(F.flatten(F.collect_list("spans"))).alias("spans"))
     partly = held.filter("weight = 1").select("digest", "raw").join(spans, "digest")
     return rows.drop("anchors"), texts.select("digest", "copies"), partly
 
