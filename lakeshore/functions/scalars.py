@@ -55,18 +55,6 @@ def routed(path: Column, routes: Mapping[str, str], otherwise: str) -> Column:
     return out.otherwise(F.lit(otherwise))
 
 
-def class_names(parts: Column) -> Column:
-    """Falsy parts dropped, the rest split at white space and joined; of utilities of one group the last wins.
-
-    A group is a name's text up to its last hyphen, with any prefix that ends in a colon; names without a hyphen are their own group.
-    """
-    names = F.filter(F.split(F.array_join(F.filter(parts, lambda p: F.coalesce(p != "", F.lit(False))), " "), r"\s+"), lambda n: n != "")
-    group = lambda n: F.regexp_replace(n, "-[^-:]*$", "")
-    groups = F.transform(names, group)
-    last = lambda n, i: ~F.array_contains(F.slice(groups, i + 2, F.greatest(F.size(groups) - i - 1, F.lit(0))), group(n))
-    return F.array_join(F.filter(names, last), " ")
-
-
 def themed_colour(theme: Column, name: str, colour: Column) -> Column:
     """A theme's colour or the common one; null if neither is set."""
     return F.coalesce(truthy(F.try_element_at(theme, F.lit(name))), truthy(colour))

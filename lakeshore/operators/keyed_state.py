@@ -80,22 +80,27 @@ def replayed(actions: DataFrame, fields: Sequence[str] = ("title", "description"
     """The record each store shows after its change log, with one record to a store.
 
     ``actions`` has (store, seq, type, toast_id, ``fields``, present): ``add`` puts a new record in place, ``update``
-    changes the present fields of its id, ``dismiss`` closes and ``remove`` deletes an id or, with a null id, whatever is there.
-    Only what follows a store's last add matters, so the fold is an aggregate: it is combined before the shuffle.
+    changes the present fields of its id, ``dismiss`` closes and ``remove`` deletes an id or, with a null id, whatever is there; an
+    ``add`` without an id is ignored. Only what follows a store's last add matters, so the fold is two aggregates, by id
+    and by store, both combined before their shuffles: a hot store is no hot task.
     """
-    adds = actions.filter("type = 'add'").groupBy("store").agg(F.max(F.struct("seq", "toast_id")).alias("last")).select(F.col("store").alias("_store"), F.col("last.seq").alias("_seq"), F.col("last.toast_id").alias("_id"))
-    x = actions.join(adds, F.col("store") == F.col("_store")).filter(F.col("seq") >= F.col("_seq"))
-    same = F.coalesce(F.col("toast_id") == F.col("_id"), F.lit(False))
-    every = F.col("toast_id").isNull() & F.col("type").isin("dismiss", "remove")
-    x = x.filter(same | every)
+    kind = F.col("type")
 
     def last(field: str) -> Column:
-        given = F.col("type").isin("add", "update") & (F.array_contains("present", field) | (F.col("type") == "add"))
+        given = kind.isin("add", "update") & (F.array_contains("present", field) | (kind == "add"))
         value = F.col(field)
         if field == "open":
-            given = given | (F.col("type") == "dismiss")
-            value = F.when(F.col("type") == "dismiss", F.lit(False)).otherwise(F.when(F.col("type") == "add", F.lit(True)).otherwise(value))
-        return F.max(F.when(given, F.struct("seq", value.alias("value"))))["value"].alias(field)
-
-    shown = x.groupBy("store", F.col("_id").alias("toast_id")).agg(*[last(f) for f in fields], F.count_if(F.col("type") == "remove").alias("_removed"))
-    return shown.filter("_removed = 0").drop("_removed")
+            given = given | (kind == "dismiss")
+            value = F.when(kind == "dismiss", F.lit(False)).otherwise(F.when(kind == "add", F.lit(True)).otherwise(value))
+        return F.max(F.when(given, F.struct("seq", value.alias("value")))).alias(field)
+
+    # an add gives every field, so the last value of each id that was added is of its last add or later
+    at = lambda name: F.max(F.when(kind == name, F.col("seq"))).alias(f"_{name}")
+    each = actions.groupBy("store", "toast_id").agg(at("add"), at("remove"), at("dismiss"), *[last(f) for f in fields])
+    own = F.when(F.col("toast_id").isNotNull() & F.col("_add").isNotNull(), F.struct("_add", "toast_id", "_remove", *fields))
+    every = lambda name: F.max(F.when(F.col("toast_id").isNull(), F.col(f"_{name}"))).alias(f"_all_{name}")
+    x = each.groupBy("store").agg(F.max(own).alias("_shown"), every("dismiss"), every("remove")).filter("_shown is not null")
+    x = x.filter(~F.coalesce(F.greatest("_shown._remove", "_all_remove") > F.col("_shown._add"), F.lit(False)))
+    closed_ = lambda f: F.coalesce(F.col("_all_dismiss") > F.col(f"_shown.{f}.seq"), F.lit(False))
+    value = lambda f: F.when(closed_(f), F.lit(False)).otherwise(F.col(f"_shown.{f}.value")) if f == "open" else F.col(f"_shown.{f}.value")
+    return x.select("store", F.col("_shown.toast_id").alias("toast_id"), *[value(f).alias(f) for f in fields])

@@ -7,37 +7,60 @@ from pyspark.sql import functions as F
 
 #: Pixels added to a scroll position, taken off a scroll target, and the first section.
 AHEAD, OFFSET, FIRST_SECTION = 200, 80, "meet-us"
-#: Sections that are still compared by a broadcast: more are looked up by ranges.
-BROADCAST_SECTIONS = 10_000
+#: Sections that are still compared by a broadcast; ranges of offsets that more are dealt to.
+BROADCAST_SECTIONS, RANGES = 10_000, 200
 
 
 def last_section(positions: DataFrame, sections: DataFrame, key: str, position: str, ahead: float = AHEAD) -> DataFrame:
     """(key, section): of sections (idx, id, offset_top) that start at most ``ahead`` beyond the position, that of the
     largest idx, whatever its offset; null if there is none. Sections without an offset don't exist yet and are passed over.
 
-    A section that a later one of no larger offset hides can never win; what is left rises in both idx and offset,
-    so each position meets one interval of offsets: an array search for few sections, an interval join otherwise.
+    Few sections are an array that each row searches. Many are dealt with the positions to RANGES ranges of offsets: the largest
+    idx so far runs along each range, from the largest of all ranges below.
     """
     real = sections.filter("offset_top is not null and idx is not null")
-    later = Window.orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    seen = real.withColumn("_least", F.min("offset_top").over(later)).filter(F.col("_least").isNull() | (F.col("offset_top") < F.col("_least")))
     where = F.col(position) + F.lit(ahead)
-    n = seen.count()
-    if n <= BROADCAST_SECTIONS:
-        steps = seen.agg(F.array_sort(F.collect_list(F.struct("offset_top", "idx", "id"))).alias("_steps"))
-        x = positions.crossJoin(F.broadcast(steps))  # one row
-        reached = F.filter("_steps", lambda s: s["offset_top"] <= where)
-        return x.select(key, F.try_element_at(reached, F.lit(-1))["id"].alias("section"))
-    follow = Window.orderBy("offset_top")
-    steps = seen.withColumn("_next", F.lead("offset_top").over(follow)).select(F.col("offset_top").alias("_from"), "_next", F.col("id").alias("section"))
-    return positions.join(steps, (F.col("_from") <= where) & (F.col("_next").isNull() | (F.col("_next") > where)), "left").select(key, "section")
-
-
-def carried_forward(rows: DataFrame, by: str, order: list[str], value: str, initial: object | None = None) -> DataFrame:
-    """``value`` with gaps filled by the last one before, or ``initial``; ordered within each ``by``."""
-    past = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if real.count() <= BROADCAST_SECTIONS:
+        steps = real.agg(F.collect_list(F.struct("idx", "id", "offset_top")).alias("_steps"))
+        x = positions.crossJoin(F.broadcast(steps))  # one row of at most BROADCAST_SECTIONS items
+        reached = F.array_max(F.filter("_steps", lambda s: s["offset_top"] <= where))
+        return x.select(key, reached["id"].alias("section"))
+    step = F.struct("idx", "id")
+    none = F.lit(None).cast(real.select(step.alias("s")).schema["s"].dataType)
+    asked = positions.select(where.cast("double").alias("_at"), F.lit(1).alias("_turn"), none.alias("_step"), F.col(key).alias("_key"))
+    known = real.select(F.col("offset_top").cast("double").alias("_at"), F.lit(0).alias("_turn"), step.alias("_step"), F.lit(None).cast(positions.schema[key].dataType).alias("_key"))
+    both = known.unionByName(asked)
+    bounds = sorted(set(both.approxQuantile("_at", [k / RANGES for k in range(1, RANGES)], 0.5 / RANGES)))
+    ranged = lambda x: x.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_at"))))
+    below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    first = ranged(known).groupBy("_range").agg(F.max("_step").alias("_most"))
+    every = both.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("_range"))
+    first = every.join(first, "_range", "left").select("_range", F.max("_most").over(below).alias("_before"))
+    along = Window.partitionBy("_range").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    x = ranged(both).withColumn("_so_far", F.max("_step").over(along)).filter("_turn = 1").join(F.broadcast(first), "_range", "left")
+    best = F.when(F.col("_at").isNotNull(), F.greatest("_so_far", "_before"))
+    return x.select(F.col("_key").alias(key), best["id"].alias("section"))
+
+
+def carried_forward(rows: DataFrame, by: str, order: list[str], value: str, initial: object | None = None, bucket: Column | None = None) -> DataFrame:
+    """``value`` with gaps filled by the last one before, or ``initial``; ordered within each ``by``.
+
+    With ``bucket``, which must rise with ``order``, rows are filled inside the buckets of a key and from its buckets before, so that a
+    key with very many rows is not one task.
+    """
+    parts = [by] if bucket is None else [by, "_bucket"]
+    x = rows if bucket is None else rows.withColumn("_bucket", bucket)
+    past = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     filled = F.last(value, ignorenulls=True).over(past)
-    return rows.withColumn(value, filled if initial is None else F.coalesce(filled, F.lit(initial)))
+    if bucket is not None:
+        last = F.max(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_value"))))["_value"]
+        before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+        ends = x.groupBy(*parts).agg(last.alias("_last")).withColumn("_before", F.last("_last", ignorenulls=True).over(before))
+        ends = ends.select(F.col(by).alias("_by"), F.col("_bucket").alias("_b"), "_before")
+        x = x.withColumn("_own", filled).join(ends, F.col(by).eqNullSafe(F.col("_by")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+        filled = F.coalesce("_own", "_before")
+    filled = filled if initial is None else F.coalesce(filled, F.lit(initial))
+    return x.withColumn(value, filled).select(*rows.columns)
 
 
 def existing(ids: DataFrame, found: DataFrame, key: str) -> DataFrame:

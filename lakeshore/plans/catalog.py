@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeshore.functions import scalars as S
+from lakeshore.functions.classes import class_names
 from lakeshore.operators import keyed_state, lookup
 from lakeshore.registry import Registry
 from lakeshore.sources import literals, sinks
 from lakeshore.sources.tables import table
+from lakeshore.streaming import store
 
 REGISTRY = Registry()
 
@@ -67,6 +71,14 @@ def keyed_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_state.deleted_keys(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
+@REGISTRY.register("keyed_delete_one", "SELECT o_orderkey, count(*) OVER () AS n_left FROM orders WHERE o_orderkey <> 7")
+def keyed_delete_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    left = keyed_state.deleted(orders, "o_orderkey", 7)
+    none = keyed_state.deleted(orders, "o_orderkey", None)
+    return left.unionByName(none).crossJoin(F.broadcast(left.agg(F.count("*").alias("n_left"))))  # one row
+
+
 @REGISTRY.register(
     "first_request_expiry",
     "SELECT user_id, min(ts) AS requested, min(ts) + INTERVAL 1000 SECONDS AS expires FROM events WHERE event_type = 'error' GROUP BY user_id",
@@ -137,7 +149,7 @@ def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("last_purchase", F.when(F.col("event_type") == "purchase", F.col("value")))
-    return lookup.carried_forward(events, "user_id", ["ts", "event_id"], "last_purchase").select("event_id", "last_purchase")
+    return lookup.carried_forward(events, "user_id", ["ts", "event_id"], "last_purchase", bucket=F.to_date("ts")).select("event_id", "last_purchase")
 
 
 @REGISTRY.register("nullable_lookup", "SELECT d.doc_id, l.quality::VARCHAR AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
@@ -201,6 +213,7 @@ def format_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     "indirect_lookup",
     """
     SELECT event_id, CASE event_type WHEN 'click' THEN 'Clicks' WHEN 'view' THEN 'Views' ELSE 'Other' END AS label,
+           CASE event_type WHEN 'click' THEN 'Clicks' WHEN 'view' THEN 'Views' ELSE 'Other' END AS nested_label,
            CASE event_type WHEN 'click' THEN 'Clicks' WHEN 'view' THEN 'Views' ELSE event_type END AS own_label FROM events
     """,
 )
@@ -210,7 +223,8 @@ def indirect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.create_map(F.lit("kind"), F.col("event_type"))
     none = F.lit(None).cast("map<string,string>")
     found = S.payload_config(config, own, none, F.lit("kind"))["label"]
-    return table(spark, sf_dir, "events").select("event_id", found.alias("label"), S.own_label(config, F.col("event_type")).alias("own_label"))
+    inner = S.payload_config(config, F.create_map(F.lit("other"), F.lit("x")), own, F.lit("kind"))["label"]
+    return table(spark, sf_dir, "events").select("event_id", found.alias("label"), inner.alias("nested_label"), S.own_label(config, F.col("event_type")).alias("own_label"))
 
 
 @REGISTRY.register(
@@ -229,19 +243,27 @@ def falsy_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.register(
     "grouped_numbers",
-    "SELECT o_orderkey, regexp_replace(regexp_replace(format('{:,.3f}', round(o_totalprice, 3)), '0+$', ''), '[.]$', '') AS total FROM orders WHERE o_totalprice <> 0",
+    """
+    SELECT o_orderkey, CASE WHEN x <> 0 THEN regexp_replace(regexp_replace(format('{:,.3f}', round(x, 3)), '0+$', ''), '[.]$', '') END AS total
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_totalprice END AS x FROM orders)
+    """,
 )
 def grouped_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").filter("o_totalprice <> 0").select("o_orderkey", S.grouped_number(F.col("o_totalprice")).alias("total"))
+    x = F.when(F.col("o_orderkey") % 5 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.grouped_number(x).alias("total"))
+
+
+MERGED = [("bg-red-500 bg-blue-600", "bg-blue-600"), ("px-2 p-4", "p-4"), ("flex hidden", "hidden"), ("text-sm text-center", "text-sm text-center"), ("p-4 px-2 hover:p-1", "p-4 px-2 hover:p-1"), ("own own w-1 size-2", "own own size-2")]
 
 
 @REGISTRY.register(
     "class_merge",
-    "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'flex p-' || p_size ELSE 'p-2 flex' END AS classes FROM part",
+    "SELECT p_partkey, CASE p_size % 6 " + " ".join(f"WHEN {k} THEN '{merged}'" for k, (_, merged) in enumerate(MERGED)) + " END || ' m-' || p_size AS classes FROM part",
 )
 def class_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("flex p-"), F.col("p_size"))).otherwise(F.lit("flex"))
-    return table(spark, sf_dir, "part").select("p_partkey", S.class_names(F.array(F.lit("p-2"), F.lit(None).cast("string"), F.lit(""), own)).alias("classes"))
+    given = F.get(F.array(*[F.lit(x) for x, _ in MERGED]), F.col("p_size") % 6)
+    parts = F.array(F.lit("mt-2"), F.lit(None).cast("string"), F.lit(""), given, F.concat(F.lit("m-"), F.col("p_size")))
+    return table(spark, sf_dir, "part").select("p_partkey", class_names(parts).alias("classes"))
 
 
 @REGISTRY.register(
@@ -299,3 +321,105 @@ def key_value_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def literal_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literals.ordered(spark)
+
+
+@REGISTRY.register("random_width", "SELECT event_id, true AS inside FROM events")
+def random_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "events").select("event_id", S.random_width(7).alias("width"))
+    return x.select("event_id", F.col("width").between(50, 89).alias("inside"))
+
+
+@REGISTRY.register(
+    "key_predicates",
+    """
+    SELECT event_id, (CASE event_id % 3 WHEN 0 THEN 'b' WHEN 1 THEN 'ArrowLeft' ELSE 'ArrowRight' END) = 'b' AND event_id % 2 = 0 AS shortcut,
+           CASE event_id % 3 WHEN 1 THEN -1 WHEN 2 THEN 1 END::INT AS step FROM events
+    """,
+)
+def key_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.get(F.array(F.lit("b"), F.lit("ArrowLeft"), F.lit("ArrowRight")), (F.col("event_id") % 3).cast("int"))
+    ctrl = F.when(F.col("event_id") % 2 == 0, F.lit(True))
+    return table(spark, sf_dir, "events").select("event_id", S.is_shortcut(key, F.lit(None).cast("boolean"), ctrl).alias("shortcut"), S.arrow_step(key).alias("step"))
+
+
+@REGISTRY.register(
+    "messages",
+    """
+    SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed ' || event_id WHEN event_type = 'view' THEN 'undefined' WHEN event_type = 'click' THEN NULL ELSE event_type END AS message,
+           CASE WHEN event_type <> 'click' THEN event_type END AS children FROM events
+    """,
+)
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    text = F.when(kind == "error", F.concat(F.lit("failed "), F.col("event_id")))
+    error = F.when(kind.isin("error", "view"), F.struct(text.alias("message")))
+    children = F.when(kind != "click", kind).otherwise(F.lit(""))
+    return table(spark, sf_dir, "events").select("event_id", S.message(error, children).alias("message"), S.as_record(S.truthy(children))["children"].alias("children"))
+
+
+@REGISTRY.register(
+    "without_falsy",
+    "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'dev,' ELSE '' END || event_type AS kept, event_id % 2 = 1 AS empty FROM events",
+)
+def without_falsy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.when(F.col("event_id") % 2 == 0, F.lit("dev"))
+    kept = S.without_falsy(F.array(first, F.lit(""), F.col("event_type")))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(kept, ",").alias("kept"), S.is_empty(S.without_falsy(F.array(first))).alias("empty"))
+
+
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a bounded file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+
+
+def _own_folder(spark: SparkSession, name: str) -> str:
+    return f"{sinks.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@REGISTRY.register(
+    "store_stream",
+    """
+    WITH a AS (SELECT user_id AS store, event_id AS seq, ts, event_type FROM events WHERE event_type IN ('signup', 'error')),
+    l AS (SELECT store, max(seq) FILTER (event_type = 'signup') AS seq, max(ts) AS last FROM a GROUP BY store),
+    d AS (SELECT a.store, min(a.ts) AS first FROM a JOIN l ON a.store = l.store AND a.seq > l.seq GROUP BY a.store)
+    SELECT l.store::VARCHAR AS store, l.seq::VARCHAR AS toast_id, d.first IS NULL AS open, 2 AS listeners FROM l LEFT JOIN d ON d.store = l.store
+    WHERE l.seq IS NOT NULL AND (d.first IS NULL OR d.first + INTERVAL 1000 SECONDS > greatest(l.last, (SELECT max(ts) FROM a) - INTERVAL 600 SECONDS))
+    """,
+)
+def store_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adds and dismissals of all, folded as a stream to its end; two listeners get each batch. Dismissed records go when their timer is due."""
+    kind = F.col("event_type")
+    none = F.lit(None).cast("string")
+    actions = streamed(spark, sf_dir, "events").filter(kind.isin("signup", "error")).select(
+        F.col("user_id").cast("string").alias("store"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.when(kind == "signup", F.lit("add")).otherwise(F.lit("dismiss")).alias("type"),
+        F.when(kind == "signup", F.col("event_id").cast("string")).alias("toast_id"), none.alias("title"), none.alias("description"), F.lit(None).cast("boolean").alias("open"), F.array().cast("array<string>").alias("present"),
+    )
+    folder = _own_folder(spark, "store-stream")
+    lists = [f"{folder}/first", f"{folder}/second"]
+    store.run_to_end(store.store_stream(actions.withWatermark("at", "600 seconds")), folder, [store.batches_to(x) for x in lists])
+    found = [spark.read.schema(f"{store.OUT}, batch int").option("basePath", x).parquet(x) for x in lists]
+    seen = found[0].withColumn("listener", F.lit(1)).unionByName(found[1].withColumn("listener", F.lit(2)))
+    last = seen.groupBy("store").agg(F.max(F.struct("batch", "toast_id", "open")).alias("last"), F.count_distinct("listener").cast("int").alias("listeners"))
+    return last.filter("last.toast_id is not null").select("store", "last.toast_id", "last.open", "listeners")
+
+
+@REGISTRY.register("slideshow_stream", "SELECT event_id, (event_id % 6)::INT AS main, (event_id % 3)::INT AS side FROM events")
+def slideshow_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticks = store.ticker(streamed(spark, sf_dir, "events").select("event_id"), {"main": 6, "side": 3}, "event_id")
+    folder = _own_folder(spark, "slideshow")
+    store.run_to_end(ticks, folder, [store.batches_to(f"{folder}/ticks")], "append")
+    return spark.read.schema("event_id long, main int, side int").parquet(f"{folder}/ticks").select("event_id", "main", "side")
+
+
+@REGISTRY.register(
+    "unmatched_paths",
+    "SELECT regexp_replace(url, '^[a-z]+://[^/]+', '') AS path, count(*) AS n FROM pages WHERE regexp_replace(url, '^[a-z]+://[^/]+', '') NOT IN ('/', '') GROUP BY ALL",
+)
+def unmatched_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace("url", "^[a-z]+://[^/]+", "")
+    pages = streamed(spark, sf_dir, "pages").select(path.alias("path"))
+    folder = _own_folder(spark, "unmatched")
+    unmatched = pages.filter(S.routed(F.col("path"), {"/": "home", "": "home"}, "not-found") == "not-found")
+    store.run_to_end(unmatched, folder, [sinks.unmatched_logged(folder=f"{folder}/paths")], "append")
+    return spark.read.schema("path string, count long").parquet(f"{folder}/paths").groupBy("path").agg(F.sum("count").alias("n"))

@@ -33,7 +33,7 @@ def unmatched_logged(name: str = "lakeshore.routes", folder: str | None = None)
     def log(batch: DataFrame, number: int) -> None:
         spark, logger = batch.sparkSession, logging.getLogger(name)
         counts = batch.groupBy("path").count()
-        path = f"{folder or f'{_shared(spark)}/{own}'}/batch={number}"
+        path = f"{folder or f'{shared_folder(spark)}/{own}'}/batch={number}"
         counts.write.mode("overwrite").parquet(path)
         kept = spark.read.schema(counts.schema).parquet(path)
         for r in kept.orderBy(F.desc("count"), "path").limit(LOGGED).collect():
@@ -44,10 +44,12 @@ def unmatched_logged(name: str = "lakeshore.routes", folder: str | None = None)
     return log
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests), a new local one is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; where unset, a new local one is set if the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lakeshore-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

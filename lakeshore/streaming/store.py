@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lakeshore.operators.keyed_state import EXPIRY_MS, LIMIT
+from lakeshore.sources.sinks import fanned_out
 
 STATE = "records string, expiries string"
 OUT = "store string, toast_id string, title string, description string, open boolean"
@@ -49,7 +50,6 @@ def store_stream(actions: DataFrame, limit: int = LIMIT, delay_ms: int = EXPIRY_
         clean = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v
         for row in sorted(rows, key=lambda r: r["seq"]):
             action = {k: (list(v) if k == "present" and v is not None else v if k == "present" else clean(v)) for k, v in row.items()}
-            action["at_ms"] = int(row["at"].timestamp() * 1000)
             records, expiries = due_removed(records, expiries, action["at_ms"])
             records, expiries = folded(records, expiries, action, limit, delay_ms)
         if state.hasTimedOut:
@@ -60,7 +60,8 @@ def store_stream(actions: DataFrame, limit: int = LIMIT, delay_ms: int = EXPIRY_
         out = records or [{"toast_id": None, "title": None, "description": None, "open": None}]
         yield pd.DataFrame([{"store": key[0]} | r for r in out], columns=["store", "toast_id", "title", "description", "open"])
 
-    return actions.groupBy("store").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    timed = actions.withColumn("at_ms", F.unix_millis("at"))
+    return timed.groupBy("store").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def due_removed(records: list[dict], expiries: dict[str, int], now_ms: int) -> tuple[list[dict], dict[str, int]]:
@@ -69,6 +70,21 @@ def due_removed(records: list[dict], expiries: dict[str, int], now_ms: int) -> t
     return [r for r in records if r["toast_id"] not in due], {i: at for i, at in expiries.items() if i not in due}
 
 
+def run_to_end(stream: DataFrame, folder: str, listeners: Sequence[Callable[[DataFrame, int], None]], mode: str = "update") -> None:
+    """Everything that ``stream`` has by now, batch by batch, to each of ``listeners``; the state is kept below ``folder``."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(fanned_out(listeners))
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def batches_to(folder: str) -> Callable[[DataFrame, int], None]:
+    """A listener that writes each batch to ``folder``/batch=number; a repeated batch replaces its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return write
+
+
 def ticker(ticks: DataFrame, lengths: dict[str, int], tick: str = "value") -> DataFrame:
     """A row for each tick (such as of the ``rate`` source, triggered every 3 s): the position of each slideshow."""
     return ticks.select(tick, *[F.pmod(F.col(tick), F.lit(n)).cast("int").alias(name) for name, n in lengths.items()])

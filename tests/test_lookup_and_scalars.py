@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeshore.functions import scalars as S
+from lakeshore.functions.classes import class_names
 from lakeshore.operators import lookup
 from lakeshore.sources import literals, sinks
 from lakeshore.streaming.store import ticker
@@ -60,10 +61,30 @@ def test_breakpoints_and_routes(spark):
     assert value(spark, S.when_equal(F.lit(None).cast("string"), "a", "y", "n")) == "n"
 
 
-def test_class_names(spark):
-    parts = F.array(F.lit("p-2 flex"), F.lit(None).cast("string"), F.lit(""), F.lit("hover:p-1 p-4  flex"))
-    assert value(spark, S.class_names(parts)) == "hover:p-1 p-4 flex"
-    assert value(spark, S.class_names(F.array().cast("array<string>"))) == ""
+@pytest.mark.parametrize(
+    "given, merged",
+    [
+        ("p-2 flex|hover:p-1 p-4  flex", "hover:p-1 p-4 flex"),
+        ("bg-red-500 bg-blue-600", "bg-blue-600"),
+        ("px-2 p-4", "p-4"),
+        ("p-4 px-2", "p-4 px-2"),
+        ("flex hidden", "hidden"),
+        ("text-sm text-center", "text-sm text-center"),
+        ("text-sm text-primary text-lg", "text-primary text-lg"),
+        ("my-own other my-own", "other my-own"),  # my- is a margin
+        ("card card", "card card"),
+        ("md:hover:px-1 hover:md:px-2 md:hover:p-3", "hover:md:px-2 md:hover:p-3"),
+        ("-mt-2 mt-4 !mt-1", "mt-4 !mt-1"),
+        ("w-4 h-4 size-6 h-2", "size-6 h-2"),
+        ("border border-t-2 border-input border-0", "border-input border-0"),
+        ("[&>svg]:size-4 data-[state=open]:flex [&>svg]:size-3 data-[state=open]:hidden", "[&>svg]:size-3 data-[state=open]:hidden"),
+        ("leading-6 text-base", "text-base"),
+        ("", ""),
+    ],
+)
+def test_class_names(spark, given, merged):
+    parts = F.concat(F.split(F.lit(given), r"\|"), F.array(F.lit(None).cast("string"), F.lit("")))
+    assert value(spark, class_names(parts)) == merged
 
 
 CONFIG = """map('a', named_struct('label', 'A', 'color', 'red', 'theme', CAST(NULL AS map<string,string>)),
