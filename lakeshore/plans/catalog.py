@@ -333,13 +333,13 @@ def random_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     "key_predicates",
     """
     SELECT event_id, (CASE event_id % 3 WHEN 0 THEN 'b' WHEN 1 THEN 'ArrowLeft' ELSE 'ArrowRight' END) = 'b' AND event_id % 2 = 0 AS shortcut,
-           CASE event_id % 3 WHEN 1 THEN -1 WHEN 2 THEN 1 END::INT AS step FROM events
+           coalesce((CASE event_id % 3 WHEN 1 THEN -1 WHEN 2 THEN 1 END)::VARCHAR, '') AS step FROM events
     """,
 )
 def key_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.get(F.array(F.lit("b"), F.lit("ArrowLeft"), F.lit("ArrowRight")), (F.col("event_id") % 3).cast("int"))
     ctrl = F.when(F.col("event_id") % 2 == 0, F.lit(True))
-    return table(spark, sf_dir, "events").select("event_id", S.is_shortcut(key, F.lit(None).cast("boolean"), ctrl).alias("shortcut"), S.arrow_step(key).alias("step"))
+    return table(spark, sf_dir, "events").select("event_id", S.is_shortcut(key, F.lit(None).cast("boolean"), ctrl).alias("shortcut"), F.coalesce(S.arrow_step(key).cast("string"), F.lit("")).alias("step"))
 
 
 @REGISTRY.register(
