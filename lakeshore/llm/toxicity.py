@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are mapped to symbols (insult, threat, target, negation, reported speech); insult stems and their weights are
-learned from labelled texts, the other word lists are fixed. Three transducers mark what stands in a negation's scope,
-near a target, and in reported speech; their composition reads each clause once and puts out matched words with
-their marks. A text's score is the logistic of weights, learned for each kind of match, times the log of the matched weight.
+Words are mapped to symbols (insult, threat verb, target, negation, reported speech, intent, booster); insult stems and their weights
+are learned from labelled texts, the other word lists are fixed. Five transducers are composed into one that reads each clause once: three
+mark what stands in a negation's scope, near a target and in reported speech; one matches insults, marked strong in a run or after a
+booster; one matches threats, which are an intent and a verb, or a verb and its target, never a verb alone. A clause's score for each kind
+of match is the log of its matched weight; a text's features are the logs of the sums of those over its clauses, and its strongest clause;
+its score is their logistic, with weights learned for each kind.
 
 Cases: null, empty and matchless texts get the base score; labels of null or unknown documents are ignored, repeated
 labels count once and conflicting ones as toxic; without labels the fixed lists and prior weights score; repeated rows are
@@ -15,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -38,6 +40,8 @@ SAME = 0.9
 THREATS = "kill murder hurt shoot stab strangle destroy töte töten umbringen erschießen tuer tuerai frapper matar mataré matarte".split()
 TARGETS = "you your yours he him she they them du dich dein deine ihr euch tu te toi vous votre tú ti usted ustedes vosotros".split()
 NEGATIONS = "not never no nobody isn't aren't don't nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún ninguna".split()
+INTENTS = "will going gonna i'll we'll shall want werde werden will wollen vais va allons veux voy vamos quiero".split()
+BOOSTERS = "such so very total totally absolute absolutely utter complete fucking damn real so sehr total völlig absolut très tellement complètement muy tan completamente".split()
 REPORTS = "said says told wrote claimed called quoted sagte sagt schrieb behauptete dit disait écrivit dijo dice escribió".split()
 
 WORDS = re.compile(r"[.!?;:|\n]|[^\W_]+(?:'[^\W_]+)?")
@@ -77,11 +81,14 @@ class Transducer:
         return 0, arcs
 
 
+MATCHED = ("insult", "threat")
+
+
 def scope(trigger: str, mark: str, reach: int | None) -> Transducer:
-    """Marks matches at most ``reach`` words after a trigger (None: up to the clause's end)."""
+    """Marks insults and threat verbs at most ``reach`` words after a trigger (None: up to the clause's end)."""
 
     def step(left: int, symbol: Symbol) -> tuple[int, Symbol]:
-        out = (*symbol, mark) if left and symbol[0] in ("insult", "threat") else symbol
+        out = (*symbol, mark) if left and symbol[0] in MATCHED else symbol
         if symbol[0] == trigger:
             return reach or 1, out
         return (left if reach is None else max(0, left - 1)), out
@@ -89,12 +96,41 @@ def scope(trigger: str, mark: str, reach: int | None) -> Transducer:
     return Transducer(0, step)
 
 
-ALPHABET: list[Symbol] = [("other",), ("insult",), ("threat",), ("target",), ("negation",), ("report",)]
-GRAMMAR = scope("negation", "negated", 3).then(scope("target", "aimed", 4)).then(scope("report", "reported", None))
+def insults() -> Transducer:
+    """Insults, strong after a booster or another insult."""
+
+    def step(strong: bool, symbol: Symbol) -> tuple[bool, Symbol]:
+        if symbol[0] == "insult":
+            return True, (*symbol, "strong") if strong else symbol
+        return symbol[0] == "booster", symbol
+
+    return Transducer(False, step)
+
+
+def threats(before: int, after: int) -> Transducer:
+    """Threats: a verb at most ``before`` words after an intent, or, strong, a target at most ``after`` words after a verb; the
+    target puts the match out, with the verb's marks. Any other verb becomes a plain word."""
+
+    def step(state: tuple[int, int, Symbol], symbol: Symbol) -> tuple[tuple[int, int, Symbol], Symbol]:
+        intent, left, marks = state
+        less = (max(0, intent - 1), max(0, left - 1), marks if left > 1 else ())
+        if symbol[0] == "intent":
+            return (before, *less[1:]), symbol
+        if symbol[0] == "threat":
+            return (less[0], after, symbol[1:]), symbol if intent else ("other",)
+        if symbol[0] == "target" and left:
+            return (less[0], 0, ()), ("threat", *marks, "strong")
+        return less, symbol
+
+    return Transducer((0, 0, ()), step)
+
+
+ALPHABET: list[Symbol] = [("other",), ("insult",), ("threat",), ("target",), ("negation",), ("report",), ("intent",), ("booster",)]
+GRAMMAR = scope("negation", "negated", 3).then(scope("target", "aimed", 4)).then(scope("report", "reported", None)).then(insults()).then(threats(4, 3))
 START, ARCS = GRAMMAR.compiled(ALPHABET)
-KINDS = [(k, *m) for k in ("insult", "threat") for m in ((), ("negated",), ("aimed",), ("reported",), ("negated", "aimed"), ("negated", "reported"), ("aimed", "reported"), ("negated", "aimed", "reported"))]
-#: Weights before any label is seen: plain matches tell most.
-PRIOR = np.array([{0: 3.0}.get(sum(m != "aimed" for m in k[1:]), 1.5) for k in KINDS] + [-4.0])
+KINDS = sorted({out for _, out in ARCS.values() if out[0] in MATCHED})
+#: Weights before any label is seen: what is negated or reported tells less; the strongest clause tells nothing of its own.
+PRIOR = np.array([1.5 if "negated" in k or "reported" in k else 3.0 for k in KINDS] + [0.0, -4.0])
 
 
 class Lexicon:
@@ -103,6 +139,7 @@ class Lexicon:
     def __init__(self, stems: dict[str, float]) -> None:
         self.stems = stems
         self.fixed = {w: ("threat", 1.0) for w in THREATS} | {w: ("target", 0.0) for w in TARGETS} | {w: ("negation", 0.0) for w in NEGATIONS} | {w: ("report", 0.0) for w in REPORTS}
+        self.fixed |= {w: ("intent", 0.0) for w in INTENTS if w not in self.fixed} | {w: ("booster", 0.0) for w in BOOSTERS if w not in self.fixed}
 
     def of(self, word: str) -> tuple[str, float]:
         if (found := self.stems.get(word + "$")) is not None:
@@ -113,23 +150,33 @@ class Lexicon:
         return self.fixed.get(word, ("other", 0.0))
 
 
-def matches(text: str, lexicon: Lexicon) -> dict[Symbol, float]:
-    """Summed weights of matched words by kind, clause by clause."""
+def clauses(text: str, lexicon: Lexicon) -> Iterator[dict[Symbol, float]]:
+    """Matched weights by kind of each clause that has a match."""
     found: dict[Symbol, float] = {}
     state = START
     for token in WORDS.findall(text):
         if token in ENDS:
-            state = START
+            if found:
+                yield found
+            state, found = START, {}
             continue
         symbol, weight = lexicon.of(token)
         state, out = ARCS[state, (symbol,)]
-        if weight:
-            found[out] = found.get(out, 0.0) + weight
-    return found
+        if out[0] in MATCHED:
+            found[out] = found.get(out, 0.0) + (weight or 1.0)
+    if found:
+        yield found
 
 
-def features(found: dict[Symbol, float]) -> np.ndarray:
-    return np.array([math.log1p(found.get(k, 0.0)) for k in KINDS] + [1.0])
+def features(found: Iterable[dict[Symbol, float]]) -> np.ndarray:
+    """Of a text's clauses: for each kind the log of the clauses' summed scores, then the strongest clause's score, then one."""
+    total, peak = dict.fromkeys(KINDS, 0.0), 0.0
+    for clause in found:
+        scores = {k: math.log1p(w) for k, w in clause.items()}
+        peak = max(peak, sum(scores.values()))
+        for k, x in scores.items():
+            total[k] += x
+    return np.array([math.log1p(total[k]) for k in KINDS] + [peak, 1.0])
 
 
 def stems_of(text: str) -> set[str]:
@@ -148,7 +195,7 @@ class Model:
         self.known: dict[str, bool] = {}
 
     def score(self, text: str | None) -> float:
-        found: dict[Symbol, float] = {}
+        found: Iterable[dict[Symbol, float]] = ()
         if text:
             lowered = text.lower()
             words = SEPARATORS.split(lowered)
@@ -157,10 +204,10 @@ class Model:
             hits = list(map(self.known.get, words, repeat(2)))
             if 2 in hits:
                 for w in {w for w, h in zip(words, hits) if h == 2}:
-                    self.known[w] = self.lexicon.of(w)[0] in ("insult", "threat")
+                    self.known[w] = self.lexicon.of(w)[0] in MATCHED
                 hits = list(map(self.known.__getitem__, words))
             if True in hits:  # else no clause has a match
-                found = matches(lowered, self.lexicon)
+                found = clauses(lowered, self.lexicon)
         return float(1 / (1 + np.exp(-np.clip(features(found) @ self.weights, -30, 30))))
 
 
@@ -228,7 +275,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
 
         def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [features(matches(t.lower(), lexicon)).tolist() for t in batch.column(0).to_pylist()]
+                rows = [features(clauses(t.lower(), lexicon)).tolist() for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
         # alike rows become one: what comes to the driver is bounded by the sample

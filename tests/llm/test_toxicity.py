@@ -1,27 +1,70 @@
 import random
+import re
 
 from lakeshore.llm import toxicity
 
 
 def symbols(text, stems):
-    return toxicity.matches(text, toxicity.Lexicon(stems))
+    return [dict(c) for c in toxicity.clauses(text, toxicity.Lexicon(stems))]
 
 
 def test_grammar_marks_clauses():
     stems = {"idiot$": 1.0, "scum": 2.0}
-    assert symbols("an idiot", stems) == {("insult",): 1.0}
-    assert symbols("you are an idiot", stems) == {("insult", "aimed"): 1.0}
-    assert symbols("he is not an idiot", stems) == {("insult", "negated", "aimed"): 1.0}
-    assert symbols("not now. an idiot", stems) == {("insult",): 1.0}
-    assert symbols("never do it again idiot", stems) == {("insult",): 1.0}  # out of the negation's reach
-    assert symbols("the paper said that some idiot came", stems) == {("insult", "reported"): 1.0}
-    assert symbols("i will kill you; scummy idiots", stems) == {("threat",): 1.0, ("insult",): 2.0}
-
-
-def test_composition_is_the_product():
-    _, arcs = toxicity.GRAMMAR.compiled(toxicity.ALPHABET)
-    assert arcs == toxicity.ARCS and {s for _, s in arcs} == set(toxicity.ALPHABET)
-    assert {out for _, out in arcs.values() if out[0] in ("insult", "threat")} == set(toxicity.KINDS)
+    assert symbols("an idiot", stems) == [{("insult",): 1.0}]
+    assert symbols("you are an idiot", stems) == [{("insult", "aimed"): 1.0}]
+    assert symbols("he is not an idiot", stems) == [{("insult", "negated", "aimed"): 1.0}]
+    assert symbols("not now. an idiot", stems) == [{("insult",): 1.0}]
+    assert symbols("never do it again idiot", stems) == [{("insult",): 1.0}]  # out of the negation's reach
+    assert symbols("the paper said that some idiot came", stems) == [{("insult", "reported"): 1.0}]
+    assert symbols("such an idiot; such idiot scum", stems) == [{("insult",): 1.0}, {("insult", "strong"): 3.0}]
+    assert symbols("i will kill you; scummy idiots", stems) == [{("threat",): 1.0, ("threat", "strong"): 1.0}, {("insult",): 2.0}]
+    assert symbols("they kill time", stems) == [] == symbols("to hurt", stems)  # a verb alone is no threat
+    assert symbols("never hurt them", stems) == [{("threat", "negated", "strong"): 1.0}]
+
+
+def by_hand(text, lexicon):
+    """A second reading of the grammar: each word's marks from the words before it, without transducers."""
+    out = []
+    for clause in re.split(r"[.!?;:|\n]", text):
+        words = toxicity.WORDS.findall(clause)
+        kinds = [lexicon.of(w) for w in words]
+        found = {}
+
+        def near(k, kind, reach):
+            return any(kinds[j][0] == kind for j in range(max(0, k - reach), k))
+
+        def marks(k):
+            return (*(["negated"] if near(k, "negation", 3) else []), *(["aimed"] if near(k, "target", 4) else []), *(["reported"] if near(k, "report", k) else []))
+
+        open_verb = None
+        for k, (kind, weight) in enumerate(kinds):
+            hit = None
+            if kind == "insult":
+                strong = k > 0 and kinds[k - 1][0] in ("insult", "booster")
+                hit = ("insult", *marks(k), *(["strong"] if strong else []))
+            elif kind == "threat":
+                hit = ("threat", *marks(k)) if near(k, "intent", 4) else None
+                open_verb = k
+            elif kind == "target" and open_verb is not None and k - open_verb <= 3:
+                hit, open_verb = ("threat", *marks(open_verb), "strong"), None
+            if hit:
+                found[hit] = found.get(hit, 0.0) + (weight or 1.0)
+        if found:
+            out.append(found)
+    return out
+
+
+def test_like_a_reading_by_hand():
+    rng = random.Random(12)
+    lexicon = toxicity.Lexicon({"idiot$": 1.0, "scum": 2.0})
+    some = ["idiot", "scummy", "kill", "hurt", "you", "them", "not", "never", "said", "will", "going", "such", "very", "word", "other", "x", ".", ";"]
+    seen = set()
+    for _ in range(4000):
+        text = " ".join(rng.choice(some) for _ in range(rng.randrange(14)))
+        got = [dict(c) for c in toxicity.clauses(text, lexicon)]
+        assert got == by_hand(text, lexicon), text
+        seen |= {k for c in got for k in c}
+    assert seen >= {k for k in toxicity.KINDS if len(k) < 4}
 
 
 def test_learns_stems_and_leaves_clean_texts(spark):
