@@ -34,7 +34,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.register("op3_tiff")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = tiff.tiff_pages(tiff.with_tiff(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    pages = tiff.stored_and_read(table(spark, sf_dir, "documents").select("doc_id", "text"))
     pixels = F.col("tiff.pixels")
     return pages.select(
         "doc_id",

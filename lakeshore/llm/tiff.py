@@ -288,46 +288,63 @@ def feature(width: int, height: int, pixels: bytes) -> str:
     return f"{width}x{height}:{total[-1, -1] / (width * height):.4f}:{np.packbits(brighter).tobytes().hex()}"
 
 
-def with_tiff(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with n_bytes (its UTF-8 bytes) and ``media``: those, zeros up to a positive multiple of 64, as TIFF."""
-    keep = [c for c in docs.columns if c not in (text_col, "n_bytes", "media", "raw")]
+KINDS = {"page": pa.int32(), "width": pa.int64(), "height": pa.int64(), "samples": pa.int32(), "bits": pa.int32(), "compression": pa.string(), "predictor": pa.int32(), "n_blocks": pa.int32(), "pixels": pa.binary(), "feature": pa.string(), "error": pa.string()}
+PAGE = "tiff struct<page:int,width:long,height:long,samples:int,bits:int,compression:string,predictor:int,n_blocks:int,pixels:binary,feature:string,error:string>"
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                raw = [x or b"" for x in part.column(part.num_columns - 1).to_pylist()]
-                padded = [x + bytes(-len(x) % WIDTH or (0 if x else WIDTH)) for x in raw]
-                media = [stored(x, *form_of(x)) for x in padded]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
 
-    rows = docs.select(*keep, F.col(text_col).cast("binary").alias("raw"))
-    return rows.mapInArrow(encode, T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoded(batches: Batches, keep: list[str]) -> Batches:
+    """Batches whose last column is bytes, with n_bytes and media in its place."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            raw = [x or b"" for x in part.column(part.num_columns - 1).to_pylist()]
+            padded = [x + bytes(-len(x) % WIDTH or (0 if x else WIDTH)) for x in raw]
+            media = [stored(x, *form_of(x)) for x in padded]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
+
+
+def _decoded(batches: Batches, media_col: str) -> Batches:
+    """A row for each page of each file, with the row's columns and the struct ``tiff``."""
+    for batch in batches:
+        column = batch.schema.get_field_index(media_col)
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            rows, pages = [], []
+            for k, media in enumerate(part.column(column).to_pylist()):
+                for page in pages_of(media):
+                    if page.get("bits") == 8 and page["samples"] == 1:
+                        page["feature"] = feature(page["width"], page["height"], page["pixels"])
+                    rows.append(k)
+                    pages.append(page)
+            own = part.take(pa.array(rows, pa.int64()))
+            found = pa.StructArray.from_arrays([pa.array([p.get(n) for p in pages], kind) for n, kind in KINDS.items()], names=list(KINDS))
+            yield pa.RecordBatch.from_arrays([*own.columns, found], names=[*batch.schema.names, "tiff"])
+
+
+def _prepared(docs: DataFrame, text_col: str) -> tuple[DataFrame, list[str], T.StructType]:
+    """The rows that :func:`_encoded` reads, their kept columns, and the schema of what it gives."""
+    keep = [c for c in docs.columns if c not in (text_col, "n_bytes", "media", "raw")]
+    fields = [docs.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
+    return docs.select(*keep, F.col(text_col).cast("binary").alias("raw")), keep, T.StructType(fields)
 
 
-KINDS = {"page": pa.int32(), "width": pa.int64(), "height": pa.int64(), "samples": pa.int32(), "bits": pa.int32(), "compression": pa.string(), "predictor": pa.int32(), "n_blocks": pa.int32(), "pixels": pa.binary(), "feature": pa.string(), "error": pa.string()}
-PAGE = "tiff struct<page:int,width:long,height:long,samples:int,bits:int,compression:string,predictor:int,n_blocks:int,pixels:binary,feature:string,error:string>"
+def with_tiff(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the text, with n_bytes (its UTF-8 bytes) and ``media``: those, zeros up to a positive multiple of 64, as TIFF."""
+    rows, keep, schema = _prepared(docs, text_col)
+    return rows.mapInArrow(lambda batches: _encoded(batches, keep), schema)
 
 
 def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
     """A row for each page of each file, with the row's other columns and struct ``tiff`` of PAGE."""
-
     df = df.drop("tiff")
+    return df.mapInArrow(lambda batches: _decoded(batches, media_col), widened(df, PAGE))
+
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.schema.get_field_index(media_col)
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                rows, pages = [], []
-                for k, media in enumerate(part.column(column).to_pylist()):
-                    for page in pages_of(media):
-                        if page.get("bits") == 8 and page["samples"] == 1:
-                            page["feature"] = feature(page["width"], page["height"], page["pixels"])
-                        rows.append(k)
-                        pages.append(page)
-                own = part.take(pa.array(rows, pa.int64()))
-                found = pa.StructArray.from_arrays([pa.array([p.get(n) for p in pages], kind) for n, kind in KINDS.items()], names=list(KINDS))
-                yield pa.RecordBatch.from_arrays([*own.columns, found], names=[*batch.schema.names, "tiff"])
-
-    return df.mapInArrow(decode, widened(df, PAGE))
+def stored_and_read(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """What :func:`tiff_pages` reads from what :func:`with_tiff` writes, in one pass of one Python worker."""
+    rows, keep, schema = _prepared(docs, text_col)
+    schema = T.StructType([*schema.fields, *T.StructType.fromDDL(PAGE).fields])
+    return rows.mapInArrow(lambda batches: _decoded(_encoded(batches, keep), "media"), schema)

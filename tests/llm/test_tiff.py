@@ -154,6 +154,7 @@ def test_texts_round_trip(spark):
     texts = ["", None, "a" * 64, "é" * 500, "word " * 9000, "a" * 64]
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, tiff_note string")
     rows = sorted(tiff.tiff_pages(tiff.with_tiff(docs)).collect())
+    assert rows == sorted(tiff.stored_and_read(docs).collect())
     assert len(rows) == len(texts)
     for r, t in zip(rows, texts):
         raw = (t or "").encode()
