@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeshore.llm.components import components
-from lakeshore.llm.shared import compact, staged
+from lakeshore.llm.shared import compact, staged, unstaged
 
 SHINGLE, THRESHOLD = 5, 75  # words; percent
 TREES, SHARED, DEPTH, LEAF = 12, 1.3, 40, 64
@@ -590,6 +590,8 @@ def linked_classes(classes: DataFrame, texts_of: DataFrame) -> DataFrame:
         again = again.unionByName(narrowed(labelled(hot)))
     groups = staged(groups_within(again), "groups")
     late = staged(linked_in_groups(groups, texts), "late")
+    for done in (rows, edges, texts, groups):
+        unstaged(done)
     if late.isEmpty():
         return labels
     joined = components(late)  # of labels

@@ -8,7 +8,7 @@ can cross it.
 A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
 
 Cases: null or wordless texts have no words and no hits; null or wordless items have no windows; a null item id gives
-hits, but isn't counted or listed; equal items all count; repeated documents keep their rows; other columns stay, but for one named leak.
+hits, but isn't counted or listed; equal items all count; repeated documents keep their rows; other columns stay, one named leak as leak_own.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshore.llm.shared import new_folder, numbered, opened, publish, widened
+from lakeshore.llm.shared import new_folder, numbered, opened, publish, set_aside, widened
 
 WINDOW = 10
 #: Words of items to an automaton: bounds what a worker holds at a time.
@@ -174,6 +174,8 @@ def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOC
     return sorted(r.uri for r in dealt.groupBy("block").applyInArrow(build, "uri string").collect())
 
 
+#: Text that meets a block of items together, where there are several blocks.
+HELD_BYTES = 32 << 20
 _held: dict[str, Automaton] = {}
 
 
@@ -195,7 +197,7 @@ LEAK = f"leak struct<n_words:long,n_hit:long,items:array<string>,spans:{SPANS},k
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = 1, text_col: str = "text", keep_text: bool = True, **how) -> DataFrame:
     """``docs`` with struct ``leak``: n_words, n_hit, the items (sorted), the covered spans (word numbers, end
     exclusive) and, with ``keep_text``, the text without its spans of at least ``min_span`` words."""
-    docs = docs.drop("leak")
+    docs = set_aside(docs, "leak")
     uris = automata(benchmark, window, **how)
     names = docs.columns
 
@@ -209,35 +211,51 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 at = places[b - 1][1]
         return b"".join([*kept, raw[at:]]).decode()
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        """Batches of about HELD_BYTES of text together: each block's automaton is loaded once for all of them."""
+        held, size = [], 0
         for batch in batches:
-            texts = batch.column(names.index(text_col))
+            held.append(batch)
+            size += batch.column(names.index(text_col)).nbytes
+            if len(uris) == 1 or size >= HELD_BYTES:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in gathered(batches):
+            texts = [t for batch in group for t in batch.column(names.index(text_col))]
             n_words = [0] * len(texts)
-            ranges: list[list] = [[] for _ in n_words]
-            items: list[set] = [set() for _ in n_words]
+            ranges: list[list] = [[] for _ in texts]
+            items: list[set] = [set() for _ in texts]
             for uri in uris:
                 automaton = _automaton(uri)
-                for k in range(len(n_words)):
-                    words = words_of(texts[k].as_py())
+                for k, text in enumerate(texts):
+                    words = words_of(text.as_py())
                     n_words[k] = len(words)
                     if words:
                         more, own = automaton.matches(words)
                         if more:
                             ranges[k] = merged(ranges[k] + more)
                             items[k] |= own
-            kept = [texts[k].as_py() if keep_text else None for k in range(len(n_words))]
-            for k, spans in enumerate(ranges):
-                if spans and keep_text:
-                    kept[k] = without(kept[k], spans)
-            columns = [
-                pa.array(n_words, pa.int64()),
-                pa.array([sum(b - a for a, b in x) for x in ranges], pa.int64()),
-                pa.array([sorted(i for i in x if i is not None) for x in items], pa.list_(pa.string())),
-                pa.array([[{"start": a, "end": b} for a, b in x] for x in ranges], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array(kept, pa.string()),
-            ]
-            leak = pa.StructArray.from_arrays(columns, names=FIELDS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, leak], names=[*names, "leak"])
+            at = 0
+            for batch in group:
+                yield leaks(batch, range(at, at + batch.num_rows), texts, n_words, ranges, items)
+                at += batch.num_rows
+
+    def leaks(batch: pa.RecordBatch, rows: range, texts: list, n_words: list[int], ranges: list[list], items: list[set]) -> pa.RecordBatch:
+        kept = [texts[k].as_py() if keep_text else None for k in rows]
+        if keep_text:
+            kept = [without(t, ranges[k]) if ranges[k] else t for t, k in zip(kept, rows)]
+        columns = [
+            pa.array([n_words[k] for k in rows], pa.int64()),
+            pa.array([sum(b - a for a, b in ranges[k]) for k in rows], pa.int64()),
+            pa.array([sorted(i for i in items[k] if i is not None) for k in rows], pa.list_(pa.string())),
+            pa.array([[{"start": a, "end": b} for a, b in ranges[k]] for k in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            pa.array(kept, pa.string()),
+        ]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(columns, names=FIELDS)], names=[*names, "leak"])
 
     if not uris:
         none = F.when(F.col(text_col).isNotNull(), F.size(F.regexp_extract_all(text_col, F.lit(r"([0-9A-Za-z\x{80}-\x{10ffff}]+)"), F.lit(1)))).otherwise(0).cast("long")

@@ -9,7 +9,7 @@ Training counts come from whole labelled texts, at most about SAMPLE_ROWS of eac
 text), counted on the executors.
 
 Cases: a null text or one without a letter is ``und`` with score 0; without any training row all are; ties go to the
-first language by name; null languages aren't learned; repeated rows are scored alike; other columns stay, but for those added.
+first language by name; null languages aren't learned; repeated rows are scored alike; other columns stay, those of added names as name_own.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeshore.llm.shared import widened
+from lakeshore.llm.shared import set_aside, widened
 
 ORDER = 3
 #: Bound on the training sample: about so many texts of each language.
@@ -188,7 +188,7 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1: the winner's share, sharpness by code length to the power of 1/2)."""
-    docs = docs.drop("lang_pred", "score")
+    docs = set_aside(docs, "lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

@@ -59,7 +59,7 @@ def mixed(docs: DataFrame, share: float = SHARE, most: float = MOST, seed: str =
     place = dict(zip(names, own))
     docs = docs.withColumns({"doc_id": F.col(place["doc_id"]), "source": F.col(place["source"]), "mix_size": word_count(F.col(place["text"])), "mix_text": F.xxhash64(place["text"])})
     size_class = F.col("mix_size") - F.pmod(F.col("mix_size"), F.expr("shiftleft(1L, greatest(0, length(bin(mix_size)) - 5))"))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.coalesce(F.col("mix_text"), F.lit(0)).cast("string")))))
     x = docs.withColumns({"mix_class": size_class, "mix_key": key}).withColumn("mix_part", F.substring("mix_key", 1, 2))
     bucket = ["source", "mix_class", "mix_part"]
     counts = staged(x.groupBy(*bucket).agg(F.count("*").alias("mix_n"), F.sum("mix_size").alias("mix_words")), "mix-counts")

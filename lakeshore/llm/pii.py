@@ -13,7 +13,7 @@ them, so they are left out of the field.
 Cases: a null text is empty; texts without suspects have no spans; texts without a pattern's match are searched by the field
 like all others; without training texts only patterns find spans;
 groups of equal or similar tokens of any size share an entity, never pair by pair; repeated rows are searched alike; an
-empty table gives an empty table; other columns stay.
+empty table gives an empty table; other columns stay, those named base or added as base_own and added_own.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshore.llm.shared import numbered, widened
+from lakeshore.llm.shared import numbered, set_aside, widened
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the field can label: the patterns' kinds, and secrets, which no pattern finds. Plain text is 0, these from 1 on.
@@ -363,7 +363,7 @@ def spans_text(spans: list[Span]) -> str:
 
 def found_in(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with base (the patterns' spans) and added (the field's): arrays of (kind, start, end)."""
-    docs = docs.drop("base", "added")
+    docs = set_aside(docs, "base", "added")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -10,6 +10,7 @@ an empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -62,6 +63,8 @@ class _Lists:
 class ChunkEncoder:
     """Exact ids of whole texts by a `tokenizers` file whose tokens never cross ASCII white space or PARTS.
 
+    Whether that holds is read from the file: its normalizer, its cuts and the end mark of its words must be the expected
+    ones. With any other file each text goes through the library whole.
     Texts are cut at ASCII white space; distinct pieces are cut into parts, distinct parts are encoded once by the
     library, and the ids are put together again. Pieces with letters beyond U+024F go through the library whole, and so do
     texts that hold the separator or the start of a special token.
@@ -69,7 +72,8 @@ class ChunkEncoder:
 
     SEPARATOR, SPECIAL = "\x01", "<|"
     #: Fixed value: how the tokenizer file cuts a text into words.
-    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    PARTS = regex.compile(CUTS)
     #: Such text is its own normal form, and lower-cases character by character.
     PLAIN = re.compile("[\0-\u024f]*")
 
@@ -77,11 +81,32 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.in_parts = self._cuts_as_expected()
+        if not self.in_parts:
+            return
         self.last_of_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last_of_word[[k for w, k in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         (self.mark,) = self._whole([self.SEPARATOR])[0]
         self.forget()
 
+    def _cuts_as_expected(self) -> bool:
+        """Is the file's way of cutting texts the one that this class relies on?"""
+        file = json.loads(self.tokenizer.to_str())
+        kinds = [x.get("type") for x in (file["normalizer"] or {}).get("normalizers", ())]
+        cut, *rest = (file["pre_tokenizer"] or {}).get("pretokenizers", ({},))
+        return (
+            kinds == ["NFC", "Replace", "Lowercase"]
+            and file["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+            and cut.get("pattern") == {"Regex": self.CUTS}
+            and cut.get("behavior") == "Removed"
+            and cut.get("invert") is True
+            and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in rest] == [("ByteLevel", False, False)]
+            and file["model"]["type"] == "BPE"
+            and file["model"]["end_of_word_suffix"] == "</w>"
+            and not file["model"]["dropout"]
+            and all(x["content"].startswith(self.SPECIAL) and not x["lstrip"] and not x["rstrip"] for x in file["added_tokens"])
+        )
+
     def forget(self) -> None:
         self.pieces, self.parts = _Lists(), _Lists()
 
@@ -119,6 +144,8 @@ class ChunkEncoder:
         self.pieces.add(keys, ids, np.diff(ends))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.in_parts:
+            return [np.array(x, np.uint32) for x in self._whole([t or "" for t in texts])]
         if len(self.pieces.index) > REMEMBERED:
             self.forget()
         own: dict[int, np.ndarray] = {}

@@ -13,9 +13,12 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests), a new local one is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where unset, a new local one is set if the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lakeshore-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -96,6 +99,17 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"own_{k}" for k in range(len(df.columns))])
 
 
+def set_aside(df: DataFrame, *added: str) -> DataFrame:
+    """``df`` with its own columns of the ``added`` names under those names and ``_own``, so that nothing of the caller's is lost."""
+    for name in added:
+        if name in df.columns:
+            new = f"{name}_own"
+            while new in df.columns:
+                new += "_own"
+            df = df.withColumnRenamed(name, new)
+    return df
+
+
 def widened(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of ``df`` with the fields of ``ddl`` after its own."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -5,7 +5,7 @@ both byte orders, classic and big files. :func:`stored` writes bytes as an 8-bit
 FORMS, which a hash of the bytes picks: each compression, in strips and tiles, with and without a predictor.
 
 Cases: null, empty or broken media (fields of wrong types, sizes that the strips can't hold) give one row with page null and the reason
-in ``error``, and pages before the break keep their rows; a directory that points back ends the walk; repeated rows are decoded each; other columns stay, but for those of the added names.
+in ``error``, and pages before the break keep their rows; a directory that points back ends the walk; repeated rows are decoded each; other columns stay, those of added names as name_own.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeshore.llm.shared import widened
+from lakeshore.llm.shared import set_aside, widened
 
 #: Struct letters by field type number.
 FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -326,7 +326,8 @@ def _decoded(batches: Batches, media_col: str) -> Batches:
 
 def _prepared(docs: DataFrame, text_col: str) -> tuple[DataFrame, list[str], T.StructType]:
     """The rows that :func:`_encoded` reads, their kept columns, and the schema of what it gives."""
-    keep = [c for c in docs.columns if c not in (text_col, "n_bytes", "media", "raw")]
+    docs = set_aside(docs, *{"n_bytes", "media", "raw"} - {text_col})
+    keep = [c for c in docs.columns if c != text_col]
     fields = [docs.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
     return docs.select(*keep, F.col(text_col).cast("binary").alias("raw")), keep, T.StructType(fields)
 
@@ -339,12 +340,12 @@ def with_tiff(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
     """A row for each page of each file, with the row's other columns and struct ``tiff`` of PAGE."""
-    df = df.drop("tiff")
+    df = set_aside(df, "tiff")
     return df.mapInArrow(lambda batches: _decoded(batches, media_col), widened(df, PAGE))
 
 
 def stored_and_read(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """What :func:`tiff_pages` reads from what :func:`with_tiff` writes, in one pass of one Python worker."""
-    rows, keep, schema = _prepared(docs, text_col)
+    rows, keep, schema = _prepared(set_aside(docs, "tiff"), text_col)
     schema = T.StructType([*schema.fields, *T.StructType.fromDDL(PAGE).fields])
     return rows.mapInArrow(lambda batches: _decoded(_encoded(batches, keep), "media"), schema)

@@ -9,7 +9,7 @@ its score is their logistic, with weights learned for each kind.
 
 Cases: null, empty and matchless texts get the base score; labels of null or unknown documents are ignored, repeated
 labels count once and conflicting ones as toxic; without labels the fixed lists and prior weights score; repeated rows are
-scored alike; an empty table gives an empty table; other columns stay, but for those that :func:`scored` adds.
+scored alike; an empty table gives an empty table; other columns stay, those named score or predicted as score_own and predicted_own.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshore.llm.shared import numbered, widened
+from lakeshore.llm.shared import numbered, set_aside, widened
 
 #: Bound on the labelled texts that are learned from: about so many, chosen by a hash of the id.
 SAMPLE_ROWS = 30_000
@@ -33,6 +33,8 @@ REJECT = 0.7
 STEM, LONGEST = 3, 12
 #: Evidence a stem needs: the chance (natural log) that so many of its texts are toxic if it told nothing; share of toxic ones.
 EVIDENCE, PRECISION = 13.8, 0.8
+#: Bound on the stems that toxic texts propose, those of most texts first: what comes to the driver, however long texts are.
+MOST_STEMS = 200_000
 #: Share of a stem's texts in which one longer stem stands as well that makes the longer one the stem.
 SAME = 0.9
 
@@ -236,7 +238,7 @@ def learned_stems(sample: DataFrame) -> dict[str, float]:
         return {}
     share = n_toxic / (n_toxic + n_clean)
     least = EVIDENCE / -math.log(share)
-    toxic = sample.filter("toxic = 1").select("text").mapInArrow(propose, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    toxic = sample.filter("toxic = 1").select("text").mapInArrow(propose, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "stem").limit(MOST_STEMS)
     proposed = {r.stem: r.n for r in toxic.collect()}
     shared = sample.sparkSession.sparkContext.broadcast(frozenset(proposed))
 
@@ -298,7 +300,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with score and predicted (1 from REJECT on)."""
-    docs = docs.drop("score", "predicted")
+    docs = set_aside(docs, "score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
