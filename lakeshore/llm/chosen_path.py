@@ -15,7 +15,7 @@ classes that the first one saw a pair of, looks only at pairs of different group
 and takes the larger group of a node along only to where others go. What it finds is compared by full sets, a leaf at a time.
 
 Nodes of at most NODE_ROWS classes are searched whole inside a task. Larger ones are cut into parts for the first search,
-each with the node's pivot; for the second they branch as rows of a table until they are small enough, or deal their main
+each with a typical class of the whole; for the second they branch as rows of a table until they are small enough, or deal their main
 group over parts beside the few others.
 
 Cases: texts without words have no shingles and no links; texts of fewer than five words have one shingle; null ids
@@ -51,6 +51,10 @@ BELOW, ABOVE = 5.0, 4.0
 LEAST = THRESHOLD / 100
 #: Bytes that differ in two of their bits, three in four of those that differ, at the threshold; as many deviations above.
 MOST_DIFFERENT = BINS * 0.75 * (1 - LEAST) + BELOW * math.sqrt(BINS * 0.75 * (1 - LEAST) * (1 - 0.75 * (1 - LEAST)))
+#: Similarities that part the levels of pairs below SURE.
+NEAR, SURE = (0.7, 0.75, 0.8), 4
+#: Pairs of a first search that are kept before they are thinned to a forest.
+MOST_PAIRS = 1_000_000
 #: Shingles held at once when full sets are compared.
 HELD_SHINGLES = 1 << 21
 _odd = np.random.default_rng(20).integers(0, 1 << 63, TREES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,8 +137,9 @@ class Nodes:
         self.bits = [np.packbits(self.sketch >> k & 1, axis=1).view(np.uint64) for k in (0, 1)]
         self.labelled, self.leaf = labelled, leaf
         self.leaves: list[np.ndarray] = []
-        #: (rows a, rows b, sure) of pairs, and in a labelled search the leaves and (rest, all) blocks they were found in.
+        #: (rows a, rows b, level) of a first search's pairs; of a labelled one the (held, others) groups they were found in.
         self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_pairs = 0
         self.groups: list[tuple[np.ndarray, np.ndarray]] = []
 
     def search(self) -> None:
@@ -151,9 +156,9 @@ class Nodes:
         self._compare_leaves()
 
     def _may_link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs of rows: may they be linked, and do they look sure to be?"""
+        """Of pairs of rows: may they be linked, and how near do they look (SURE: as good as linked)?"""
         may = (100 * np.minimum(self.size[a], self.size[b]) >= THRESHOLD * np.maximum(self.size[a], self.size[b])) & (self.rep[a] != self.rep[b])
-        sure = np.zeros(len(may), bool)
+        level = np.zeros(len(may), np.int8)
         differ = np.bitwise_count((self.bits[0][a] ^ self.bits[0][b]) | (self.bits[1][a] ^ self.bits[1][b])).sum(axis=1)
         at = np.flatnonzero(may & (differ <= MOST_DIFFERENT))
         may[:] = False
@@ -166,8 +171,8 @@ class Nodes:
             both = np.maximum(used, (self.size[a[own]] + self.size[b[own]]) / (1 + LEAST))
             mean, deviation = used * LEAST, np.sqrt(used * LEAST * (1 - LEAST) * (1 - used / (both + 1)))
             may[own] = same >= mean - BELOW * deviation - 1
-            sure[own] = same >= np.minimum(used, mean + ABOVE * deviation)
-        return may, sure
+            level[own] = np.where(same >= np.minimum(used, mean + ABOVE * deviation), SURE, np.searchsorted(NEAR, same / np.maximum(used, 1)))
+        return may, level
 
     def _descend(self, rows: np.ndarray, depth: int, seed: int, load: float) -> None:
         """Compare the rows of a large node, or branch."""
@@ -203,18 +208,32 @@ class Nodes:
                 self._compare_leaves()
 
     def _absorb(self, rows: np.ndarray) -> None:
-        """Compare all rows with a few pivots; what looks sure to be linked with one takes its label."""
+        """Compare all rows with a few pivots; what may be linked with one takes its label.
+
+        A pivot is the row nearest to what most rows have in each part of the sketch: of copies with changes of their own, the original.
+        """
         free = np.ones(len(rows), bool)
         for _ in range(PIVOTS):
             if not free.any():
                 break
-            pivot = rows[np.argmax(free)]
-            free[np.argmax(free)] = False
-            may, sure = self._may_link(np.full(len(rows), pivot), rows)
-            self.pairs.append((np.full(int(may.sum()), pivot), rows[may], sure[may]))
-            joined = np.isin(self.label[rows], self.label[rows[sure]])
-            self.label[rows[joined]] = self.label[pivot]
-            free &= ~sure
+            pivot = rows[free][typical(self.sketch[rows[free]])]
+            may, level = self._may_link(np.full(len(rows), pivot), rows)
+            self._found(np.full(int(may.sum()), pivot), rows[may], level[may])
+            self._join(rows, pivot, rows[may])
+            free &= ~may | (level < SURE)
+            free[rows == pivot] = False
+
+    def _join(self, rows: np.ndarray, x: int, partners: np.ndarray) -> None:
+        """The partners' labels become that of ``x``, in ``rows``."""
+        self.label[rows[np.isin(self.label[rows], self.label[partners])]] = self.label[x]
+
+    def _found(self, a: np.ndarray, b: np.ndarray, level: np.ndarray) -> None:
+        self.n_pairs += len(a)
+        if self.labelled or not len(a):
+            return
+        self.pairs.append((a, b, level))
+        if sum(len(x) for x, _, _ in self.pairs) > MOST_PAIRS:
+            self._thin()
 
     def _compare_block(self, rest: np.ndarray, rows: np.ndarray) -> None:
         held, partners = [], []
@@ -223,14 +242,16 @@ class Nodes:
         for x, k in zip(rest.tolist(), place.tolist()):
             free[k] = False
             others = rows[free & (self.label[rows] != self.label[x])]
-            may, sure = self._may_link(np.full(len(others), x), others)
+            may, level = self._may_link(np.full(len(others), x), others)
             if may.any():
-                self.pairs.append((np.full(int(may.sum()), x), others[may], sure[may]))
-                held.append(x)
-                partners.append(others[may])
-        if self.labelled:
-            for at in range(0, len(held), self.leaf):
-                self.groups.append((np.array(held[at : at + self.leaf]), np.unique(np.concatenate(partners[at : at + self.leaf]))))
+                self._found(np.full(int(may.sum()), x), others[may], level[may])
+                if self.labelled:
+                    held.append(x)
+                    partners.append(others[may])
+                else:
+                    self._join(rows, x, others[may])
+        for at in range(0, len(held), self.leaf):
+            self.groups.append((np.array(held[at : at + self.leaf]), np.unique(np.concatenate(partners[at : at + self.leaf]))))
 
     def _compare_leaves(self) -> None:
         if not self.leaves:
@@ -245,12 +266,12 @@ class Nodes:
             at = at[self.label[row[at]] != self.label[row[at + step]]]
             for k in range(0, len(at), PAIRS):
                 x = at[k : k + PAIRS]
-                may, sure = self._may_link(row[x], row[x + step])
+                may, level = self._may_link(row[x], row[x + step])
                 x = x[may]
-                if len(x):
-                    self.pairs.append((row[x], row[x + step], sure[may]))
+                self._found(row[x], row[x + step], level[may])
+                if self.labelled and len(x):
                     found.append((x, x + step))
-        if self.labelled and found:  # pairs, the same ones in most trees; where there are many, all that they connect in a leaf
+        if found:  # pairs, the same ones in most trees; where there are many, all that they connect in a leaf
             a, b = (np.concatenate(x) for x in zip(*found))
             root = spanning(a, b, len(row))[1]
             own = np.unique(np.concatenate((a, b)))
@@ -262,20 +283,33 @@ class Nodes:
             some = ~dense[root[a]]
             self.groups += [(pair, row[:0]) for pair in np.stack((row[a[some]], row[b[some]]), axis=1)]
 
+    def _thin(self) -> None:
+        """Keep as few pairs, nearest first, as connect the classes that all of them connect."""
+        a, b, level = (np.concatenate(x) for x in zip(*self.pairs))
+        reps, of = np.unique(self.rep, return_inverse=True)
+        rank = np.argsort(np.argsort(_mixed(reps)))
+        u, v, root, chosen = rank[of[a]], rank[of[b]], np.arange(len(reps)), []
+        for k in range(SURE, -1, -1):
+            at = np.flatnonzero(level == k)
+            kept, further = spanning(root[u[at]], root[v[at]], len(reps))
+            root = further[root]
+            chosen.append(at[kept])
+        some = np.concatenate(chosen)
+        self.pairs = [(a[some], b[some], level[some])]
+
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
-        """As few of the pairs, sure ones first, as connect the classes that all of them connect."""
+        """The classes of the pairs that are left of a first search."""
         if not self.pairs:
             return self.rep[:0], self.rep[:0]
-        a, b, sure = (np.concatenate(x) for x in zip(*self.pairs))
-        reps, of = np.unique(self.rep, return_inverse=True)
-        rank = np.argsort(np.argsort(_mixed(reps)))
-        u, v = rank[of[a]], rank[of[b]]
-        by_rank = reps[np.argsort(rank)]
-        kept, root = spanning(u[sure], v[sure], len(reps))
-        first = np.flatnonzero(sure)[kept]
-        kept, _ = spanning(root[u], root[v], len(reps))
-        chosen = np.concatenate((first, kept))
-        return by_rank[u[chosen]], by_rank[v[chosen]]
+        self._thin()
+        a, b, _ = self.pairs[0]
+        return self.rep[a], self.rep[b]
+
+
+def typical(sketches: np.ndarray) -> int:
+    """The row that has most often what most rows have in a part."""
+    many = np.bincount((np.arange(BINS) * 256 + sketches).ravel(), minlength=BINS * 256).reshape(BINS, 256)
+    return int((sketches == many.argmax(axis=1)).sum(axis=1).argmax())
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -422,12 +456,26 @@ def _part_node(*of) -> F.Column:
 
 
 def in_parts(hot: DataFrame) -> DataFrame:
-    """Nodes of over NODE_ROWS classes as nodes of about NODE_ROWS: by a hash, each with the node's pivot."""
-    pivots = hot.groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "size", "label", "sketch")).alias("first"))
-    pivots = pivots.select("node", "first.*", F.explode(F.sequence(F.lit(0), _parts("n", NODE_ROWS) - 1)).alias("part"))
-    own = hot.select("node", "rep", "size", "label", "sketch", F.pmod(F.xxhash64("rep"), _parts("n", NODE_ROWS)).cast("int").alias("part"))
-    both = own.unionByName(pivots.select(*own.columns))
-    return both.withColumn("node", _part_node("part")).select(*NODE_COLUMNS).distinct()
+    """Nodes of over NODE_ROWS classes as nodes of about NODE_ROWS: by a hash, each with the most typical class of all parts."""
+    parts = hot.withColumn("part", F.pmod(F.xxhash64("rep"), _parts("n", NODE_ROWS)).cast("int")).withColumn("whole", F.col("node")).withColumn("node", _part_node("part"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_nodes(batches):
+            node = t["node"].to_numpy()
+            sketches = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+            for rows in np.split(np.arange(len(node)), np.flatnonzero(np.diff(node)) + 1):
+                own = sketches[rows]
+                best = typical(own)
+                score = int((own == own[best]).sum()) // len(own)  # of one whole node's parts, which are alike
+                for batch in t.slice(int(rows[best]), 1).to_batches():
+                    yield batch.append_column("score", pa.array([score], pa.int64()))
+
+    columns = [*NODE_COLUMNS, "whole", "n"]
+    dealt = parts.select(*columns).repartition("node").sortWithinPartitions("node")
+    chosen = dealt.mapInArrow(choose, "node long, rep long, size long, label long, sketch binary, whole long, n long, score long")
+    best = chosen.groupBy("whole").agg(F.max("n").alias("n"), F.max(F.struct("score", "rep", "size", "label", "sketch")).alias("best"))
+    each = best.select(F.col("whole").alias("node"), "best.rep", "best.size", "best.label", "best.sketch", F.explode(F.sequence(F.lit(0), _parts("n", NODE_ROWS) - 1)).alias("part"))
+    return parts.select(*NODE_COLUMNS).unionByName(each.withColumn("node", _part_node("part")).select(*NODE_COLUMNS)).distinct()
 
 
 def narrowed(hot: DataFrame) -> DataFrame:
