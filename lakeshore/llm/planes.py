@@ -15,11 +15,10 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -65,17 +64,18 @@ class ChunkEncoder:
 
     Whether that holds is read from the file: its normalizer, its cuts and the end mark of its words must be the expected
     ones. With any other file each text goes through the library whole.
-    Texts are cut at ASCII white space; distinct pieces are cut into parts, distinct parts are encoded once by the
-    library, and the ids are put together again. Pieces with letters beyond U+024F go through the library whole, and so do
-    texts that hold the separator or the start of a special token.
+    Texts are cut at ASCII white space; distinct pieces go through the library once, thousands as one text, and their ids are told
+    apart by how many parts each has. Pieces with characters beyond U+024F go through with a separator between them, and
+    texts that hold the separator or the start of a special token go through whole.
     """
 
     SEPARATOR, SPECIAL = "\x01", "<|"
     #: Fixed value: how the tokenizer file cuts a text into words.
     CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    PARTS = regex.compile(CUTS)
-    #: Such text is its own normal form, and lower-cases character by character.
-    PLAIN = re.compile("[\0-\u024f]*")
+    #: The same for PLAIN text, whose numbers beside digits are these five, and spaces.
+    PARTS = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+    #: Such text is its own normal form, lower-cases character by character, and has no character that only one side takes as a space.
+    PLAIN = re.compile("[\0-\x1b\x20-\u024f]*")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -108,40 +108,44 @@ class ChunkEncoder:
         )
 
     def forget(self) -> None:
-        self.pieces, self.parts = _Lists(), _Lists()
+        self.pieces = _Lists()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_parts(self, new: list[str]) -> None:
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            ids = np.array(self._whole([" ".join(part)])[0], np.uint32)
-            ends = np.flatnonzero(self.last_of_word[ids]) + 1
-            assert len(ends) == len(part)
-            self.parts.add(part, ids, np.diff(ends, prepend=0))
+    def _learn_plain(self, new: list[bytes]) -> None:
+        """Pieces of PLAIN text, told apart by their parts' last tokens."""
+        if not new:
+            return
+        text = b" ".join(new).decode().lower()
+        found = self.PARTS.findall(text)
+        spaces = np.flatnonzero(np.fromiter(map(" ".__eq__, found), bool, len(found)))
+        before = spaces - np.arange(len(spaces))  # parts up to each space
+        ids = np.array(self._whole([text])[0], np.uint32)
+        ends = np.concatenate(([0], np.flatnonzero(self.last_of_word[ids]) + 1))
+        if len(spaces) != len(new) - 1 or len(ends) - 1 != len(found) - len(spaces):
+            self._learn_whole(new)
+            return
+        self.pieces.add(new, ids, np.diff(ends[np.concatenate(([0], before, [len(ends) - 1]))]))
 
     def _learn_whole(self, new: list[bytes]) -> None:
-        """Pieces from a few long texts in which the separator stands between them."""
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            ids = np.array(self._whole([f" {self.SEPARATOR} ".join(x.decode() for x in part)])[0], np.uint32)
-            cuts = np.flatnonzero(ids == self.mark)
-            assert len(cuts) == len(part) - 1
-            sizes = np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
-            self.pieces.add(part, np.delete(ids, cuts), sizes)
+        """Pieces of a long text in which the separator stands between them."""
+        if not new:
+            return
+        ids = np.array(self._whole([f" {self.SEPARATOR} ".join(x.decode() for x in new)])[0], np.uint32)
+        cuts = np.flatnonzero(ids == self.mark)
+        assert len(cuts) == len(new) - 1
+        self.pieces.add(new, np.delete(ids, cuts), np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
 
     def _learn(self, new: list[bytes]) -> None:
-        texts = [x.decode() for x in new]
-        plain = [self.PLAIN.fullmatch(t) is not None for t in texts]
-        self._learn_whole([x for x, own in zip(new, plain) if not own])
-        keys = [x for x, own in zip(new, plain) if own]
-        cut = [self.PARTS.findall(t.lower()) for t, own in zip(texts, plain) if own]
-        flat = list(chain.from_iterable(cut))
-        self._learn_parts(list({x for x in flat if x not in self.parts.index}))
-        ids, sizes = self.parts.take(np.fromiter(map(self.parts.index.__getitem__, flat), np.int64, len(flat)))
-        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, cut)])]
-        self.pieces.add(keys, ids, np.diff(ends))
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            if self.PLAIN.fullmatch(b" ".join(part).decode()):
+                self._learn_plain(part)
+                continue
+            plain = [self.PLAIN.fullmatch(x.decode()) is not None for x in part]
+            self._learn_whole([x for x, own in zip(part, plain) if not own])
+            self._learn_plain([x for x, own in zip(part, plain) if own])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.in_parts:

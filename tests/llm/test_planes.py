@@ -1,3 +1,5 @@
+import json
+import random
 import zlib
 
 import numpy as np
@@ -39,3 +41,27 @@ def test_documents_come_back_in_order(spark, kind):
 
 def test_no_documents(spark):
     assert planes.tokenized(spark.createDataFrame([], "doc_id long, text string"), PATH, 2).collect() == []
+
+
+def test_pieces_like_the_library():
+    """Random texts of awkward characters, by the memory of pieces and by the library on whole texts."""
+    encoder, whole = planes.ChunkEncoder(PATH), Tokenizer.from_file(PATH)
+    assert encoder.in_parts
+    rng = random.Random(5)
+    pools = ["abcXYZ'st rel,. 19²½ªº \x85\x1c\x1f\t\n_-#é", "ΣσςАбв日本 ab'", "İİıŉß\u0301\u0307e a1²³ 'll 've", "".join(map(chr, range(0x24F)))]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for pool in pools for _ in range(1500)]
+    got = encoder.encode(texts)
+    assert [x.tolist() for x in got] == [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_other_files_go_whole(tmp_path):
+    """A file that cuts texts in another way is not taken apart."""
+    whole = Tokenizer.from_file(PATH)
+    file = json.loads(whole.to_str())
+    file["normalizer"]["normalizers"].pop()  # keeps upper case
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(file))
+    encoder = planes.ChunkEncoder(str(other))
+    assert not encoder.in_parts
+    texts = ["It's A Test", None, "UPPER lower"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [x.ids for x in Tokenizer.from_file(str(other)).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
