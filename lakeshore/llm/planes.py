@@ -176,6 +176,13 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
+def _encoder(tokenizer: str) -> ChunkEncoder:
+    """A worker's encoder, which outlives its tasks: looked up here, as what tasks bring along is their own."""
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = ChunkEncoder(tokenizer)
+    return _encoders[tokenizer]
+
+
 def id_type(tokenizer: str) -> str:
     """The smallest unsigned type that holds all ids of a tokenizer file."""
     from tokenizers import Tokenizer
@@ -187,9 +194,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, kind: str = "<u
     """One row (doc_id, ids) for each row of ``docs``; ids as little-endian unsigned integers of ``kind`` in a binary column."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = ChunkEncoder(tokenizer)
-        encoder = _encoders[tokenizer]
+        encoder = _encoder(tokenizer)
         end = b"" if end_id is None else np.array([end_id], kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
