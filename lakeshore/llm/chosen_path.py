@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeshore.llm.components import components
-from lakeshore.llm.shared import compact, staged, unstaged
+from lakeshore.llm.shared import compact, memory, staged, unstaged
 
 SHINGLE, THRESHOLD = 5, 75  # words; percent
 TREES, SHARED, DEPTH, LEAF = 12, 1.3, 40, 64
@@ -58,7 +58,6 @@ MOST_PAIRS = 1_000_000
 #: Shingles held at once when full sets are compared.
 HELD_SHINGLES = 1 << 21
 _odd = np.random.default_rng(20).integers(0, 1 << 63, TREES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_words: dict[bytes, int] = {}
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -66,12 +65,13 @@ def shingles(text: str | None) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 500_000:
-        _words.clear()
+    known: dict[bytes, int] = memory("words", dict)
+    if len(known) > 500_000:
+        known.clear()
     for w in words:
-        if w not in _words:
-            _words[w] = xxhash.xxh3_64_intdigest(w)
-    ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
+    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = min(SHINGLE, len(ids))
     last = len(ids) - n + 1
     h = ids[:last] + np.uint64(n)
@@ -139,11 +139,11 @@ class Nodes:
         self.leaves: list[np.ndarray] = []
         #: (rows a, rows b, level) of a first search's pairs; of a labelled one the (held, others) groups they were found in.
         self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.n_pairs = 0
+        self.n_pairs = self.n_kept = 0
         self.groups: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def search(self) -> None:
-        """Fill ``pairs`` and ``groups``."""
+    def search(self) -> Iterator[None]:
+        """Fill ``pairs`` and ``groups``; stops whenever some nodes are done, so that groups can be taken out."""
         cuts = np.flatnonzero(np.diff(self.node)) + 1
         starts, ends = np.concatenate(([0], cuts)), np.append(cuts, len(self.node))
         for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
@@ -153,7 +153,9 @@ class Nodes:
                 self._descend(np.arange(a, b), 0, int(self.node[a]), 1.0)
             if len(self.leaves) > 5000:
                 self._compare_leaves()
+            yield
         self._compare_leaves()
+        yield
 
     def _may_link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of pairs of rows: may they be linked, and how near do they look (SURE: as good as linked)?"""
@@ -208,7 +210,7 @@ class Nodes:
                 self._compare_leaves()
 
     def _absorb(self, rows: np.ndarray) -> None:
-        """Compare all rows with a few pivots; what may be linked with one takes its label.
+        """Compare all rows with a few pivots; what looks as good as linked with one takes its label.
 
         A pivot is the row nearest to what most rows have in each part of the sketch: of copies with changes of their own, the original.
         """
@@ -219,8 +221,9 @@ class Nodes:
             pivot = rows[free][typical(self.sketch[rows[free]])]
             may, level = self._may_link(np.full(len(rows), pivot), rows)
             self._found(np.full(int(may.sum()), pivot), rows[may], level[may])
-            self._join(rows, pivot, rows[may])
-            free &= ~may | (level < SURE)
+            sure = may & (level == SURE)
+            self._join(rows, pivot, rows[sure])
+            free &= ~sure
             free[rows == pivot] = False
 
     def _join(self, rows: np.ndarray, x: int, partners: np.ndarray) -> None:
@@ -232,7 +235,8 @@ class Nodes:
         if self.labelled or not len(a):
             return
         self.pairs.append((a, b, level))
-        if sum(len(x) for x, _, _ in self.pairs) > MOST_PAIRS:
+        self.n_kept += len(a)
+        if self.n_kept > MOST_PAIRS:
             self._thin()
 
     def _compare_block(self, rest: np.ndarray, rows: np.ndarray) -> None:
@@ -295,7 +299,7 @@ class Nodes:
             root = further[root]
             chosen.append(at[kept])
         some = np.concatenate(chosen)
-        self.pairs = [(a[some], b[some], level[some])]
+        self.pairs, self.n_kept = [(a[some], b[some], level[some])], len(some)
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
         """The classes of the pairs that are left of a first search."""
@@ -399,7 +403,8 @@ def forest_within(nodes: DataFrame) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_nodes(batches):
             x = Nodes(t, False, leaf)
-            x.search()
+            for _ in x.search():
+                pass
             a, b = x.forest()
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -417,15 +422,23 @@ def groups_within(nodes: DataFrame) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_nodes(batches):
             x = Nodes(t, True, leaf)
-            x.search()
-            for held, others in x.groups:
-                cut = np.cumsum(x.size[held]) // most
-                for k in np.unique(cut).tolist():  # very long texts: fewer at a time, against all that follow
-                    own, later = held[cut == k], np.setdiff1d(np.concatenate((held[cut > k], others)), held[cut == k])
-                    rows = np.concatenate((own, later))
-                    turn = np.repeat([0, 1], [len(own), len(later)])
-                    name = xxhash.xxh3_64_intdigest(np.sort(x.rep[own]).tobytes() + b"|" + np.sort(x.rep[later]).tobytes()) - (1 << 63)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), name)), pa.array(turn.astype(np.int32)), pa.array(x.rep[rows]), pa.array(x.label[rows])], names=["grp", "turn", "rep", "label"])
+            for _ in x.search():
+                taken, x.groups = x.groups, []
+                if taken:
+                    yield group_rows(x, taken)
+
+    def group_rows(x: Nodes, groups: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        names, turns, rows = [], [], []
+        for held, others in groups:
+            cut = np.cumsum(x.size[held]) // most
+            for k in np.unique(cut).tolist():  # very long texts: fewer at a time, against all that follow
+                own, later = held[cut == k], np.setdiff1d(np.concatenate((held[cut > k], others)), held[cut == k])
+                name = xxhash.xxh3_64_intdigest(np.sort(x.rep[own]).tobytes() + b"|" + np.sort(x.rep[later]).tobytes()) - (1 << 63)
+                rows += [own, later]
+                turns.append(np.repeat(np.array([0, 1], np.int32), [len(own), len(later)]))
+                names.append(np.full(len(own) + len(later), name))
+        at = np.concatenate(rows)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(turns)), pa.array(x.rep[at]), pa.array(x.label[at])], names=["grp", "turn", "rep", "label"])
 
     return _dealt(nodes).mapInArrow(search, GROUPS).dropDuplicates(["grp", "rep"])
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeshore.llm.shared import new_folder, opened, publish, staged, unstaged
+from lakeshore.llm.shared import memory, new_folder, opened, publish, staged, unstaged
 
 MAGIC, TRAILER = b"LSPLANE1", struct.Struct("<QQ8s")
 BLOCK_IDS = 1 << 16
@@ -173,14 +173,9 @@ class ChunkEncoder:
         return [own.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(at, at[1:]))]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def _encoder(tokenizer: str) -> ChunkEncoder:
     """A worker's encoder, which outlives its tasks: looked up here, as what tasks bring along is their own."""
-    if tokenizer not in _encoders:
-        _encoders[tokenizer] = ChunkEncoder(tokenizer)
-    return _encoders[tokenizer]
+    return memory(f"ids of {tokenizer}", lambda: ChunkEncoder(tokenizer))
 
 
 def id_type(tokenizer: str) -> str:

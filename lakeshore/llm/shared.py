@@ -94,6 +94,18 @@ def opened(uri: str):
     return store.open_input_file(path)
 
 
+_memory: dict[str, object] = {}
+
+
+def memory(owner: str, make: Callable[[], object]) -> object:
+    """What ``owner`` remembers in this Python worker, made when it is first asked for. A worker outlives its tasks and is used by all
+    operators in turn, so it remembers for one owner at a time: asking for another one's memory drops it."""
+    if owner not in _memory:
+        _memory.clear()
+        _memory[owner] = make()
+    return _memory[owner]
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with columns named by their places, so that no name clashes; ``toDF`` names them again."""
     return df.toDF(*[f"own_{k}" for k in range(len(df.columns))])

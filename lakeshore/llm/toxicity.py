@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshore.llm.shared import numbered, set_aside, widened
+from lakeshore.llm.shared import memory, numbered, set_aside, widened
 
 #: Bound on the labelled texts that are learned from: about so many, chosen by a hash of the id.
 SAMPLE_ROWS = 30_000
@@ -194,20 +195,21 @@ def stems_of(text: str) -> set[str]:
 class Model:
     def __init__(self, stems: dict[str, float], weights: np.ndarray) -> None:
         self.lexicon, self.weights = Lexicon(stems), weights
-        self.known: dict[str, bool] = {}
+        self.name = f"stems {uuid.uuid4().hex}"
 
     def score(self, text: str | None) -> float:
         found: Iterable[dict[Symbol, float]] = ()
         if text:
             lowered = text.lower()
             words = SEPARATORS.split(lowered)
-            if len(self.known) > 500_000:
-                self.known.clear()
-            hits = list(map(self.known.get, words, repeat(2)))
+            known: dict[str, bool] = memory(self.name, dict)
+            if len(known) > 500_000:
+                known.clear()
+            hits = list(map(known.get, words, repeat(2)))
             if 2 in hits:
                 for w in {w for w, h in zip(words, hits) if h == 2}:
-                    self.known[w] = self.lexicon.of(w)[0] in MATCHED
-                hits = list(map(self.known.__getitem__, words))
+                    known[w] = self.lexicon.of(w)[0] in MATCHED
+                hits = list(map(known.__getitem__, words))
             if True in hits:  # else no clause has a match
                 found = clauses(lowered, self.lexicon)
         return float(1 / (1 + np.exp(-np.clip(features(found) @ self.weights, -30, 30))))
