@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.llm import chosen_path, decontamination, language, mixing, pii, planes, suffixes, tiff, toxicity, warc
+from lakeshore.llm import chosen_path, decontamination, language, mixing, periodic, pii, planes, suffixes, tiff, toxicity, warc
 from lakeshore.registry import Registry
 from lakeshore.sources.tables import table
 
@@ -162,3 +162,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.register("op6_suffixes")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@REGISTRY.register("op13_periodic")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return periodic.searched(docs).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.expr("1000 * strongest.length DIV strongest.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
