@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.llm import chosen_path, decontamination, language, mixing, periodic, pii, planes, suffixes, tiff, toxicity, warc
+from lakeshore.llm import chosen_path, decontamination, language, mixing, periodic, pii, planes, suffixes, tiff, toxicity, warc, whitening
 from lakeshore.registry import Registry
 from lakeshore.sources.tables import table
 
@@ -164,6 +164,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@REGISTRY.register("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fitted(rows)
+    each = whitening.whitened(rows, model).select("vec_id", "n", "deviation", F.explode("components").alias("of"))
+    return each.select("vec_id", "of.component", "n", "deviation", "of.whitened", "of.explained", F.lit(model.identity_error).cast("double").alias("identity_error"))
+
+
 @REGISTRY.register("op13_periodic")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

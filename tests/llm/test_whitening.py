@@ -1,0 +1,112 @@
+"""Whitening against exact arithmetic and a covariance of all vectors at once."""
+
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from lakeshore.llm import queries, whitening
+
+NAN, INF = float("nan"), float("inf")
+
+
+def on_grid(vectors):
+    return np.floor(np.asarray(vectors, np.float32).astype(float) * 64).astype(np.int64) + 1_000_000
+
+
+def check(got, vectors):
+    """``got``: rows by vec_id; ``vectors``: usable ones by vec_id."""
+    x = {k: on_grid(v) for k, v in vectors.items()}
+    fit = np.array(sorted({tuple(v.tolist()) for v in x.values()}))
+    n, sums = len(fit), [sum(int(v) for v in column) for column in fit.T]
+    mean = np.array([float(Fraction(s, n) - 1_000_000) for s in sums])
+    centred = (fit - 1_000_000) - mean
+    values, axes = np.linalg.eigh(centred.T @ centred / n)
+    values, axes = values[::-1], axes[:, ::-1]
+    k = min(16, fit.shape[1])
+    assert set(got) == {(i, c) for i in vectors for c in range(1, k + 1)}
+    for i, v in x.items():
+        deviation = sum((n * int(a) - s) ** 2 for a, s in zip(v, sums))
+        whitened = ((v - 1_000_000) - mean) @ axes[:, :k] / np.sqrt(values[:k])
+        for c in range(1, k + 1):
+            r = got[i, c]
+            assert (r.n, r.deviation) == (n, deviation)
+            assert abs(abs(r.whitened) - abs(whitened[c - 1])) < 1e-8
+            assert r.explained == pytest.approx(values[c - 1] / values.sum(), rel=1e-9)
+            assert r.identity_error < 1e-9
+
+
+def rows_of(frame):
+    return {(r.vec_id, r.component): r for r in frame.collect()}
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, n int, components string")
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    rng = np.random.default_rng(3)
+    mixing = rng.normal(size=(20, 20)) * np.linspace(0.2, 3, 20)[:, None]
+    vectors = {i: (rng.normal(size=20) @ mixing).astype(np.float32).tolist() for i in range(400)}
+    return vectors | {400 + i: vectors[i % 3] for i in range(200)}  # copies count once
+
+
+def test_query_against_exact_arithmetic(spark, tmp_path, vectors):
+    bad = [(1000, None, 1, ""), (1001, [1.0, None] + [0.0] * 18, 1, ""), (1002, [NAN] * 20, 1, ""), (1003, [INF] + [0.0] * 19, 1, ""), (1004, [-INF] + [0.0] * 19, 1, "")]
+    rows = [(i, v, 5, "x") for i, v in vectors.items()] + bad
+    table(spark, rows).repartition(7).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.REGISTRY.queries["op11_whitening"](spark, str(tmp_path))
+    assert got.dtypes == [("vec_id", "bigint"), ("component", "int"), ("n", "bigint"), ("deviation", "bigint"), ("whitened", "double"), ("explained", "double"), ("identity_error", "double")]
+    check(rows_of(got), vectors)
+
+
+def test_sign_and_values_do_not_depend_on_partitions(spark, vectors):
+    rows = table(spark, [(i, v, 5, "x") for i, v in vectors.items()])
+    one, many = (whitening.whitened(x, whitening.fitted(x)).select("vec_id", "components.whitened").collect() for x in (rows.coalesce(1), rows.repartition(9)))
+    a, b = ({r.vec_id: np.array(r.whitened) for r in x} for x in (one, many))
+    assert all(np.allclose(a[i], b[i], atol=1e-9) for i in a)
+
+
+def test_chan_merge_equals_moments_of_all():
+    rng = np.random.default_rng(1)
+    x = rng.integers(-50, 50, (500, 6)) + 10**12  # large beside their spread
+    merged = whitening.moments(x[:3])
+    for part in np.split(x[3:], [1, 40, 300]):
+        merged = whitening.merged(merged, whitening.moments(part))
+    low = (x - 10**12).astype(float)
+    want = (low - low.mean(axis=0)).T @ (low - low.mean(axis=0))
+    assert np.allclose(merged.scatter, want, rtol=1e-9, atol=1e-9 * np.abs(want).max())
+    assert merged.n == 500 and list(merged.sums) == [int(s) for s in x.sum(axis=0)]
+
+
+def test_lengths_are_spaces_of_their_own(spark, vectors):
+    short = {2000 + i: [float(i), float(i * i % 7)] for i in range(20)}
+    rows = table(spark, [(i, v, 5, "x") for i, v in (vectors | short | {3000: []}).items()])
+    model = whitening.fitted(rows)
+    out = whitening.whitened(rows, model)
+    assert out.columns == ["vec_id", "embedding", "n_own", "components_own", "n", "deviation", "components"]
+    got = out.filter("vec_id >= 2000").collect()
+    assert {r.vec_id: len(r.components) for r in got} == {i: 2 for i in short} | {3000: 0}
+    assert {r.n for r in got if r.vec_id < 3000} == {20} and model.identity_error < 1e-9
+    long = out.filter("vec_id < 2000").first()
+    assert (long.n, long.n_own, long.components_own) == (400, 5, "x")
+
+
+def test_no_variance_and_empty(spark):
+    one = table(spark, [(1, [1.0, 2.0], 1, ""), (2, [1.0, 2.0], 1, "")])
+    model = whitening.fitted(one)
+    rows = whitening.whitened(one, model).collect()
+    assert model.identity_error is None
+    assert [(r.n, r.deviation, [tuple(c) for c in r.components]) for r in rows] == [(1, 0, [(1, None, None), (2, None, None)])] * 2
+    line = table(spark, [(i, [float(i), 2.0 * i], 1, "") for i in range(5)])
+    got = whitening.whitened(line, whitening.fitted(line)).first()
+    assert got.components[0].whitened is not None and got.components[1].whitened is None
+    none = one.limit(0)
+    assert whitening.whitened(none, whitening.fitted(none)).count() == 0
+
+
+def test_very_large_entries_are_held_and_deviations_beyond_long_are_null(spark):
+    rows = table(spark, [(1, [1e30, 0.0], 1, ""), (2, [-1e30, 1.0], 1, ""), (3, [3e38, 0.0], 1, "")])
+    got = {r.vec_id: r for r in whitening.whitened(rows, whitening.fitted(rows)).collect()}
+    assert {r.n for r in got.values()} == {2} and all(r.deviation is None for r in got.values())
