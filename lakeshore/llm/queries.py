@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.llm import chosen_path, decontamination, language, mixing, periodic, pii, planes, suffixes, tiff, toxicity, warc, whitening
+from lakeshore.llm import chosen_path, decontamination, language, linelabels, mixing, periodic, pii, planes, suffixes, tiff, toxicity, warc, whitening
 from lakeshore.registry import Registry
 from lakeshore.sources.tables import table
 
@@ -172,6 +172,14 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", "of.component", "n", "deviation", "of.whitened", "of.explained", F.lit(model.identity_error).cast("double").alias("identity_error"))
 
 
+@REGISTRY.register("op12_linelabels")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(language.fold(F.col("doc_id"), 3) != 1)  # a third is held out to measure
+    out = linelabels.judged(docs, linelabels.fitted(docs, labels))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share", F.size("boilerplate").cast("long").alias("n_boilerplate"))
+
+
 @REGISTRY.register("op13_periodic")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

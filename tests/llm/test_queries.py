@@ -19,6 +19,9 @@ AGREED = {
     "op8_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
     "op9_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op10_chosen_path": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op11_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op12_linelabels": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op13_periodic": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
 }
 
 
@@ -26,7 +29,7 @@ AGREED = {
 def con():
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -37,8 +40,8 @@ def test_registered_query(spark, con, name):
     got = queries.REGISTRY.queries[name](spark, SF)
     assert [f"{n} {kind}" for n, kind in got.dtypes][: AGREED[name].count(",") + 1] == re.split(", ", AGREED[name])
     rows = [tuple(r) for r in got.collect()]
-    table, key = ("pages", "page_id") if name == "op4_warc" else ("documents", "doc_id")
-    ids = [r[0] for r in con.sql(f"SELECT {key} FROM {table}").fetchall()]
+    table, key, each = {"op4_warc": ("pages", "page_id", 1), "op11_whitening": ("embeddings", "vec_id", 16)}.get(name, ("documents", "doc_id", 1))
+    ids = [r[0] for r in con.sql(f"SELECT {key} FROM {table}").fetchall() for _ in range(each)]
     assert sorted(r[0] for r in rows) == sorted(ids)
     if name in queries.REGISTRY.oracles:
         want = con.sql(queries.REGISTRY.oracles[name])
