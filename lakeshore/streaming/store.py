@@ -76,6 +76,17 @@ def run_to_end(stream: DataFrame, folder: str, listeners: Sequence[Callable[[Dat
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
+def run_while_available(stream: DataFrame, folder: str, listeners: Sequence[Callable[[DataFrame, int], None]], mode: str = "append") -> None:
+    """Like :func:`run_to_end` for sources that deal out their own batches: batch after batch until nothing is left, with one more when a
+    later watermark closes what is open."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(fanned_out(listeners))
+    query = writer.start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def batches_to(folder: str) -> Callable[[DataFrame, int], None]:
     """A listener that writes each batch to ``folder``/batch=number; a repeated batch replaces its own."""
 
