@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from lakeshore.operators.keyed_state import EXPIRY_MS, LIMIT
 from lakeshore.sources.sinks import fanned_out
 
-STATE = "records string, expiries string"
-OUT = "store string, toast_id string, title string, description string, open boolean"
+FIELDS = ("toast_id", "title", "description", "open")
+RECORD = "toast_id string, title string, description string, open boolean"
+OUT = f"store string, {RECORD}"
+#: Stateful processors need a state store that has column families.
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def folded(records: list[dict], expiries: dict[str, int], action: dict, limit: int = LIMIT, delay_ms: int = EXPIRY_MS) -> tuple[list[dict], dict[str, int]]:
     """One action applied to records, newest first, and to pending removals (id to due time, ms)."""
     kind, wanted, at = action["type"], action["toast_id"], action["at_ms"]
     if kind == "add":
+        if wanted is None:
+            return records, expiries
         new = {"toast_id": wanted, "title": action["title"], "description": action["description"], "open": True}
         return [new, *records][:limit], expiries
     if kind == "update":
@@ -35,33 +42,85 @@ def folded(records: list[dict], expiries: dict[str, int], action: dict, limit: i
     raise ValueError(f"unknown action {kind}")
 
 
+class Store(StatefulProcessor):
+    """One store's records as a list, its pending removals as a map from id to due time, and a timer for each of them.
+
+    Rows are folded as they come, an Arrow batch at a time in order of seq; what is held in memory of a store is its state and that batch.
+    """
+
+    def __init__(self, limit: int, delay_ms: int) -> None:
+        self.limit, self.delay_ms = limit, delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.records = handle.getListState("records", RECORD)
+        self.removals = handle.getMapState("removals", "toast_id string", "due long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        records, due = self._state()
+        was, before = records, due
+        for batch in rows:
+            for row in batch.sort_values("seq", kind="stable").itertuples(index=False):
+                action = {k: plain(v) for k, v in row._asdict().items()}
+                records, due = due_removed(records, due, action["at_ms"])
+                records, due = folded(records, due, action, self.limit, self.delay_ms)
+        records, due = due_removed(records, due, timerValues.getCurrentWatermarkInMs())
+        self._keep(was, before, records, due)
+        yield shown(key[0], records)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        was, before = self._state()
+        records, due = due_removed(was, before, timerValues.getCurrentWatermarkInMs())
+        if due != before:  # the first timer of a watermark removes all that is due
+            self._keep(was, before, records, due)
+            yield shown(key[0], records)
+
+    def _state(self) -> tuple[list[dict], dict[str, int]]:
+        records = [dict(zip(FIELDS, row)) for row in self.records.get()] if self.records.exists() else []
+        return records, {key[0]: value[0] for key, value in self.removals.iterator()} if self.removals.exists() else {}
+
+    def _keep(self, was: list[dict], before: dict[str, int], records: list[dict], due: dict[str, int]) -> None:
+        """Write what has changed."""
+        if records != was:
+            self.records.put([tuple(r[f] for f in FIELDS) for r in records]) if records else self.records.clear()
+        for gone in before.keys() - due.keys():
+            self.removals.removeKey((gone,))
+        for name, at in due.items():
+            if before.get(name) != at:
+                self.removals.updateValue((name,), (at,))
+        for at in set(before.values()) - set(due.values()):
+            self.handle.deleteTimer(at)
+        for at in set(due.values()) - set(before.values()):
+            self.handle.registerTimer(at)
+
+    def close(self) -> None:
+        pass
+
+
+def plain(value: object) -> object:
+    """What a column holds: lists for arrays, None for what pandas has in place of null."""
+    if isinstance(value, (list, np.ndarray)):
+        return list(value)
+    return None if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value) else value
+
+
+def shown(store: str, records: list[dict]) -> pd.DataFrame:
+    """The rows that a store puts out."""
+    rows = records or [dict.fromkeys(FIELDS)]
+    return pd.DataFrame([{"store": store} | r for r in rows], columns=["store", *FIELDS])
+
+
 def store_stream(actions: DataFrame, limit: int = LIMIT, delay_ms: int = EXPIRY_MS) -> DataFrame:
     """Records of each store after each batch of ``actions`` (store, seq, at timestamp with a watermark, type, toast_id,
     title, description, open, present), in update mode; a store without records gives one row of nulls.
 
-    State is bounded by ``limit`` and the pending removals of a store. Event time drives the removals.
+    State is bounded by ``limit`` and the pending removals of a store, and kept in RocksDB, which this sets for the session. Event time
+    drives the removals. As in the store itself the order of arrival counts: rows of an Arrow batch are put in order of seq, later batches
+    come after it, so a log that keeps a store's actions in order (:mod:`lakeshore.sources.eventlog`) is folded in that order.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        records, expiries = (json.loads(x) for x in state.get) if state.exists else ([], {})
-        rows: list[dict] = []
-        for batch in batches:
-            rows += batch.to_dict("records")
-        clean = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v
-        for row in sorted(rows, key=lambda r: r["seq"]):
-            action = {k: (list(v) if k == "present" and v is not None else v if k == "present" else clean(v)) for k, v in row.items()}
-            records, expiries = due_removed(records, expiries, action["at_ms"])
-            records, expiries = folded(records, expiries, action, limit, delay_ms)
-        if state.hasTimedOut:
-            records, expiries = due_removed(records, expiries, state.getCurrentWatermarkMs())
-        state.update((json.dumps(records), json.dumps(expiries)))
-        if expiries:
-            state.setTimeoutTimestamp(max(min(expiries.values()), state.getCurrentWatermarkMs() + 1))
-        out = records or [{"toast_id": None, "title": None, "description": None, "open": None}]
-        yield pd.DataFrame([{"store": key[0]} | r for r in out], columns=["store", "toast_id", "title", "description", "open"])
-
+    actions.sparkSession.conf.set(STATE_PROVIDER, ROCKSDB)
     timed = actions.withColumn("at_ms", F.unix_millis("at"))
-    return timed.groupBy("store").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("store").transformWithStateInPandas(Store(limit, delay_ms), OUT, "update", "eventTime")
 
 
 def due_removed(records: list[dict], expiries: dict[str, int], now_ms: int) -> tuple[list[dict], dict[str, int]]:

@@ -127,3 +127,27 @@ def test_stream_join_by_time(spark, tmp_path):
 def test_empty_log(spark, tmp_path):
     stream = event_time.timed(log(spark, tmp_path, [], 4), "at", "1 hour")
     assert put_out(event_time.windowed(stream, ["user_id"], [F.count("*").alias("n")], "1 hour"), tmp_path) == []
+
+
+def test_timers_remove_what_is_due(spark, tmp_path):
+    columns = "store string, seq long, at timestamp, type string, toast_id string, title string, description string, open boolean, present array<string>"
+    second = lambda k: T0 + dt.timedelta(seconds=k)
+    act = lambda store_, seq, at, kind, wanted: (store_, seq, second(at), kind, wanted, f"t{seq}", None, None, ["title"])
+    actions = [act("x", 0, 0, "add", "1"), act("x", 1, 1, "add", "2"), act("x", 2, 2, "dismiss", "1"), act("y", 3, 2, "add", "9"),
+               act("x", 4, 60, "dismiss", "1"), act("x", 5, 300, "dismiss", "2"), act("y", 6, 301, "add", None), act("y", 7, 302, "remove", "nothing"),
+               act("y", 8, 1100, "update", "9"), act("y", 9, 1101, "dismiss", None), act("z", 10, 1200, "add", "5"), act("z", 11, 1250, "add", "6"),
+               act("z", 12, 1900, "update", "5"), act("z", 13, 1901, "update", "5"), act("z", 14, 1902, "remove", "6"), act("z", 15, 1903, "dismiss", "")]
+    eventlog.appended(spark.createDataFrame(actions, columns), f"file://{tmp_path}/log", ["seq"])
+    stream = eventlog.streamed(spark, f"file://{tmp_path}/log", spark.createDataFrame([], columns).schema, 4)
+    rows = put_out(store.store_stream(stream.withWatermark("at", "0 seconds"), limit=2, delay_ms=1_000_000), tmp_path, "update")
+    shown = {}
+    for number, name, *record in rows:
+        shown.setdefault(number, {}).setdefault(name, []).append((record[0], record[1], record[3]))
+    none = [(None, None, None)]
+    assert shown[0] == {"x": [("2", "t1", True), ("1", "t0", False)], "y": [("9", "t3", True)]}
+    assert shown[1] == {"x": [("2", "t1", False), ("1", "t0", False)], "y": [("9", "t3", True)]}
+    assert shown[2]["y"] == [("9", "t8", False)] and shown[2]["z"] == [("6", "t11", True), ("5", "t10", True)]
+    # 1250 s: the first request for 1 was due at 1002 s (a second one moved nothing), that for 2 is at 1300 s
+    gone = {name: records for number in sorted(shown) for name, records in shown[number].items()}
+    assert [shown[n]["x"] for n in sorted(shown) if "x" in shown[n]][-2:] == [[("2", "t1", False)], none]
+    assert gone == {"x": none, "y": [("9", "t8", False)], "z": [("5", "t13", True)]}  # an empty id asks for removals, but closes none
