@@ -183,20 +183,20 @@ def ranges_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_bytes, sha256, anchors) of each row."""
+    """(doc_id, quick, digest, n_bytes, sha256, anchors) of each row; quick is a hash that Spark can join by."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                raw = [x.as_py() or b"" for x in part.column(1)]
+                raw = [x.as_py() or b"" for x in part.column(2)]
                 # an anchor counts twice where its piece may hold a string twice
                 found = [[np.repeat(a, 1 + twice) for a, _, _, twice in pieces(x, GRAMS[0])] for x in raw]
                 lists = pa.array([np.concatenate(x) if x else np.zeros(0, np.int64) for x in found], pa.list_(pa.int64()))
-                columns = [part.column(0), pa.array(list(map(xxhash.xxh3_128_digest, raw)), pa.binary()), pa.array(list(map(len, raw)), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_bytes", "sha256", "anchors"])
+                columns = [part.column(0), part.column(1), pa.array(list(map(xxhash.xxh3_128_digest, raw)), pa.binary()), pa.array(list(map(len, raw)), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "quick", "digest", "n_bytes", "sha256", "anchors"])
 
-    return docs.select("doc_id", "raw").mapInArrow(sign, "doc_id long, digest binary, n_bytes long, sha256 string, anchors array<long>")
+    return docs.select("doc_id", "quick", "raw").mapInArrow(sign, "doc_id long, quick long, digest binary, n_bytes long, sha256 string, anchors array<long>")
 
 
 PIECES = "anchor long, digest binary, start long, piece_key binary, piece binary, weight long"
@@ -305,26 +305,28 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(rows, texts, partly): (doc_id, digest, n_bytes, sha256) of each row; (digest, copies) of the different texts of at
     least LENGTH bytes; and (digest, raw, spans) of those without copies that have bytes to remove."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    source = source.withColumn("quick", F.xxhash64("raw"))
     rows = staged(_signed(source), "signed-texts")
-    texts = staged(rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors")).filter(F.size("anchors") > 0), "texts")
+    texts = staged(rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("quick").alias("quick"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors")).filter(F.size("anchors") > 0), "texts")
     weight = F.least("copies", F.lit(2))
     single = texts.select("digest", weight.alias("weight"), F.explode("anchors").alias("anchor"))
     twice = single.groupBy("anchor").agg(F.sum("weight").alias("n")).filter("n > 1").select("anchor")
     listed = single.join(twice, "anchor").groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = texts.select("digest", "doc_id", weight.alias("weight")).join(listed, "digest")
-    found = source.join(wanted.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")))
+    wanted = texts.select("digest", F.col("doc_id").alias("own"), F.col("quick").alias("own_quick"), weight.alias("weight")).join(listed, "digest")
+    found = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("quick") == F.col("own_quick")))
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows that share an id, those with the digest's text."""
+        """Of rows that share an id and a hash, those with the digest's text."""
         for batch in batches:
             raw, digest = batch.column("raw"), batch.column("digest")
             yield batch.filter(pa.array([xxhash.xxh3_128_digest(r.as_py()) == d.as_py() for r, d in zip(raw, digest)], pa.bool_()))
 
     held = found.select("digest", "weight", "anchors", "raw")
     held = staged(held.mapInArrow(same, held.schema), "shared-texts")
+    copied = held.filter("weight > 1").dropDuplicates(["digest"])  # rows that repeat both id and text are cut once
 
     # down: pieces of texts, then of the different pieces of anchors that have too many; no occurrence is cut twice
-    cut = staged(_cut(held), "pieces")
+    cut = staged(_cut(held.filter("weight = 1").unionByName(copied)), "pieces")
     levels: list[tuple[DataFrame, DataFrame]] = []  # (places of pieces in what they were cut from, spans of pieces sorted at this level)
     for gram in [*GRAMS[1:], None]:
         distinct = staged(cut.groupBy("anchor", "piece_key", "piece").agg(F.sum("weight").alias("weight")), "different-pieces")
@@ -349,7 +351,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         own = places.join(below, "piece_key").select("digest", moved.alias("spans"))
         spans = own.groupBy("digest").agg(_merged(F.flatten(F.collect_list("spans"))).alias("spans"))
     partly = held.filter("weight = 1").select("digest", "raw").join(spans, "digest")
-    return rows.drop("anchors"), texts.select("digest", "copies"), partly
+    return rows.drop("anchors", "quick"), texts.select("digest", "copies"), partly
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakeshore.llm import suffixes
 
@@ -93,3 +94,18 @@ def test_segments_of_long_texts(monkeypatch):
 
 def test_empty(spark):
     assert suffixes.deduplicated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("own_id", [None, 7])
+def test_rows_of_one_id_cost_no_square(spark, monkeypatch, own_id):
+    """Texts without an id, and many copies of a row under one id, are each cut once."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, copy = text(450), text(600)
+    rows = [(None, text(40) + passage) for _ in range(3000)] + [(own_id, copy)] * 3000
+    cut, real = [], suffixes._cut
+    monkeypatch.setattr(suffixes, "_cut", lambda texts: cut.append(texts.count()) or real(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffixes.deduplicated(frame).groupBy("n_bytes").agg(F.count("*"), F.min("n_removed"), F.max("n_spans")).collect()
+    assert sorted(tuple(r) for r in got) == [(490, 3000, 450, 1), (600, 3000, 600, 1)]
+    assert cut == [3001]
