@@ -69,8 +69,11 @@ def test_decontamination(spark, docs, rows):
     assert (got[1].n_words, got[1].n_hit, got[1]["items"]) == (450_000, 14, ["1"]) and got[3].n_words == got[2].n_words == 0
 
 
-def test_pii(docs):
-    out = pii.found_in(docs, pii.Model())
+def test_pii(spark, docs):
+    seen = spark.createDataFrame([(f"mail m{k}@host.org from 10.0.0.{k} or {k}",) for k in range(60)], "text string")
+    model = pii.fitted(seen)
+    assert model.trained
+    out = pii.found_in(docs, model)
     own_columns_stay(out)
     assert all(not r.base and not r.added for r in out.filter("doc_id = 1").select("base", "added").collect())
 
