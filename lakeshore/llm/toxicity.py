@@ -34,8 +34,6 @@ REJECT = 0.7
 STEM, LONGEST = 3, 12
 #: Evidence a stem needs: the chance (natural log) that so many of its texts are toxic if it told nothing; share of toxic ones.
 EVIDENCE, PRECISION = 13.8, 0.8
-#: Bound on the stems that toxic texts propose, those of most texts first: what comes to the driver, however long texts are.
-MOST_STEMS = 200_000
 #: Share of a stem's texts in which one longer stem stands as well that makes the longer one the stem.
 SAME = 0.9
 
@@ -47,7 +45,9 @@ INTENTS = "will going gonna i'll we'll shall want werde werden will wollen vais
 BOOSTERS = "such so very total totally absolute absolutely utter complete fucking damn real so sehr total völlig absolut très tellement complètement muy tan completamente".split()
 REPORTS = "said says told wrote claimed called quoted sagte sagt schrieb behauptete dit disait écrivit dijo dice escribió".split()
 
-WORDS = re.compile(r"[.!?;:|\n]|[^\W_]+(?:'[^\W_]+)?")
+#: A clause's end, or a word with what apostrophes join to it, which is read as one word only where a fixed list has it.
+WORDS = re.compile(r"[.!?;:|\n]|[^\W_]+(?:['’][^\W_]+)*")
+APOSTROPHES = re.compile("['’]")
 SEPARATORS = re.compile(r"[\W_]+")
 ENDS = frozenset(".!?;:|\n")
 
@@ -153,11 +153,22 @@ class Lexicon:
         return self.fixed.get(word, ("other", 0.0))
 
 
+def tokens(text: str, lexicon: Lexicon) -> Iterator[str]:
+    """Words and clause ends. What apostrophes join is split (``l'idiot``) unless a list has it whole (``isn't``), so words are those that
+    stems are learned from."""
+    for token in WORDS.findall(text):
+        if "'" in token or "’" in token:
+            whole = token.replace("’", "'")
+            yield from (whole,) if whole in lexicon.fixed else APOSTROPHES.split(token)
+        else:
+            yield token
+
+
 def clauses(text: str, lexicon: Lexicon) -> Iterator[dict[Symbol, float]]:
     """Matched weights by kind of each clause that has a match."""
     found: dict[Symbol, float] = {}
     state = START
-    for token in WORDS.findall(text):
+    for token in tokens(text, lexicon):
         if token in ENDS:
             if found:
                 yield found
@@ -215,54 +226,38 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(features(found) @ self.weights, -30, 30))))
 
 
-def _surprise(toxic: int, clean: int, share: float) -> float:
-    """Bound on minus the log of the chance of at least so many toxic ones by luck."""
-    n = toxic + clean
-    p = toxic / n
-    if p <= share:
-        return 0.0
-    return n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0))
+def _counted(texts: DataFrame) -> DataFrame:
+    """(stem, n): how many of the texts have each stem."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter[str] = Counter()
+            for text in batch.column(0):
+                found.update(stems_of(text.as_py()))
+            yield pa.RecordBatch.from_pydict({"stem": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
-def learned_stems(sample: DataFrame) -> dict[str, float]:
-    """Stems of insults, from (text, toxic): toxic texts propose, all texts count."""
+    return texts.select("text").mapInArrow(count, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                count.update(stems_of(text))
-            yield pa.RecordBatch.from_pydict({"stem": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
 
+def learned_stems(sample: DataFrame) -> dict[str, float]:
+    """Stems of insults, from (text, toxic): toxic texts propose, all texts count. Stems are counted, held against each other and judged on
+    the executors; only those that pass come to the driver."""
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return {}
     share = n_toxic / (n_toxic + n_clean)
-    least = EVIDENCE / -math.log(share)
-    toxic = sample.filter("toxic = 1").select("text").mapInArrow(propose, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "stem").limit(MOST_STEMS)
-    proposed = {r.stem: r.n for r in toxic.collect()}
-    shared = sample.sparkSession.sparkContext.broadcast(frozenset(proposed))
-
-    def count_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        for batch in batches:
-            count: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                count.update(stems_of(text) & wanted)
-            yield pa.RecordBatch.from_pydict({"stem": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
-
-    clean = {r.stem: r.n for r in sample.filter("toxic = 0").select("text").mapInArrow(count_clean, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()}
-    longer: dict[str, int] = {}
-    for stem, n in proposed.items():
-        for k in range(STEM, len(stem)):
-            longer[stem[:k]] = max(n, longer.get(stem[:k], 0))
-    good = {}
-    for stem, n in proposed.items():
-        c = clean.get(stem, 0)
-        # a stem that nearly always goes on in the same way is no stem, its continuation is
-        if longer.get(stem, 0) < SAME * n and n >= PRECISION * (n + c) and _surprise(n, c, share) >= EVIDENCE:
-            good[stem] = min(6.0, math.log((n + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1)))
+    proposed = _counted(sample.filter("toxic = 1")).filter(F.col("n") >= EVIDENCE / -math.log(share))
+    clean = _counted(sample.filter("toxic = 0")).withColumnRenamed("n", "c")
+    starts = F.transform(F.sequence(F.lit(STEM), F.char_length("stem") - 1), lambda k: F.substring("stem", F.lit(1), k))
+    longer = proposed.filter(F.char_length("stem") > STEM).select(F.explode(starts).alias("stem"), "n").groupBy("stem").agg(F.max("n").alias("longer"))
+    x = proposed.join(clean, "stem", "left").join(longer, "stem", "left").na.fill(0, ["c", "longer"])
+    n, p = F.col("n") + F.col("c"), F.col("n") / (F.col("n") + F.col("c"))
+    # bound on minus the log of the chance of at least so many toxic ones by luck
+    surprise = n * (p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
+    # a stem that nearly always goes on in the same way is no stem, its continuation is
+    passed = x.filter((F.col("longer") < SAME * F.col("n")) & (p >= PRECISION) & (p > share) & (surprise >= EVIDENCE))
+    good = {r.stem: min(6.0, math.log((r.n + 0.5) / (n_toxic + 1)) - math.log((r.c + 0.5) / (n_clean + 1))) for r in passed.select("stem", "n", "c").collect()}
     # a longer stem says nothing more where a shorter one is as telling
     return {s: w for s, w in good.items() if not any(good.get(s[:k], 0.0) >= w - 1.0 for k in range(STEM, min(len(s), LONGEST + 1)))}
 

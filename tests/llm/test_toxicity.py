@@ -26,7 +26,7 @@ def by_hand(text, lexicon):
     """A second reading of the grammar: each word's marks from the words before it, without transducers."""
     out = []
     for clause in re.split(r"[.!?;:|\n]", text):
-        words = toxicity.WORDS.findall(clause)
+        words = list(toxicity.tokens(clause, lexicon))
         kinds = [lexicon.of(w) for w in words]
         found = {}
 
@@ -97,3 +97,18 @@ def test_without_labels(spark):
     model = toxicity.fitted(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.score for r in sorted(toxicity.scored(docs, model).collect())] == sorted([model.score("I will kill you"), model.score("hello")], reverse=True)
     assert toxicity.scored(docs.filter("false"), model).collect() == []
+
+
+def test_elided_words_are_read_as_they_are_learned(spark):
+    lexicon = toxicity.Lexicon({"idiot$": 1.0, "crétin": 2.0})
+    read = lambda text: list(toxicity.tokens(text, lexicon))
+    assert read("l'idiot, l’idiot. isn't isn’t i'll o'clock") == ["l", "idiot", "l", "idiot", ".", "isn't", "isn't", "i'll", "o", "clock"]
+    model = toxicity.Model({"idiot$": 1.0, "crétin": 2.0}, toxicity.PRIOR)
+    base = model.score("")
+    for text in ("espèce d'idiot", "l'idiot", "L’IDIOT", "crétin's", "rock'n'idiot"):
+        assert model.score(text) > 2 * base, text
+    assert symbols("he isn't an idiot", {"idiot$": 1.0}) == symbols("he is not idiot", {"idiot$": 1.0})
+    rows = [(k, f"texte {k} " + ("avec l'abruti là" if k % 4 == 0 else "sans mot grave"), int(k % 4 == 0)) for k in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    learned = toxicity.fitted(docs, spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, toxic int"))
+    assert learned.score("un d'abruti") >= toxicity.REJECT > learned.score("un dabruti")
