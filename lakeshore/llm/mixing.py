@@ -8,7 +8,8 @@ The order goes by size class, then by a hash, so copies spread evenly over sizes
 bucket) plus a rank inside the bucket, never from one sort of a whole source.
 
 Cases: a null or blank text has size 0 and is counted, but adds nothing; a null source is a source, ordered last;
-documents that repeat an id or are equal keep their rows; an empty table gives an empty mix; extra columns are kept.
+documents that repeat an id or are equal keep their rows; those without an id are ordered by a hash of all their columns;
+an empty table gives an empty mix; extra columns are kept, those of added names as name_own.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeshore.llm.shared import numbered, staged
+from lakeshore.llm.shared import numbered, set_aside, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -53,13 +54,15 @@ def targets(totals: DataFrame, share: float = SHARE, most: float = MOST) -> Data
 
 def mixed(docs: DataFrame, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (0, 1 or 2 for the default limits)."""
+    docs = set_aside(docs, *ADDED)
     names = docs.columns
     docs = numbered(docs)
     own = docs.columns
     place = dict(zip(names, own))
     docs = docs.withColumns({"doc_id": F.col(place["doc_id"]), "source": F.col(place["source"]), "mix_size": word_count(F.col(place["text"])), "mix_text": F.xxhash64(place["text"])})
     size_class = F.col("mix_size") - F.pmod(F.col("mix_size"), F.expr("shiftleft(1L, greatest(0, length(bin(mix_size)) - 5))"))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.coalesce(F.col("mix_text"), F.lit(0)).cast("string")))))
+    whole = F.xxhash64(*[f.name for f in docs.schema if f.name in own and "map<" not in f.dataType.simpleString()])  # rows without an id are told apart by all they hold
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), whole.cast("string")))))
     x = docs.withColumns({"mix_class": size_class, "mix_key": key}).withColumn("mix_part", F.substring("mix_key", 1, 2))
     bucket = ["source", "mix_class", "mix_part"]
     counts = staged(x.groupBy(*bucket).agg(F.count("*").alias("mix_n"), F.sum("mix_size").alias("mix_words")), "mix-counts")
