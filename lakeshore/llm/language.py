@@ -27,7 +27,8 @@ from lakeshore.llm.shared import set_aside, widened
 ORDER = 3
 #: Bound on the training sample: about so many texts of each language.
 SAMPLE_ROWS = 2000
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numerals such as ² or Ⅷ, which are none.
+WORD_CHAR = re.compile(r"[^\W\d_]")
 #: Languages up to which their row counts are broadcast.
 BROADCAST_LANGS = 10_000
 #: Bytes scored at a time.
@@ -43,6 +44,10 @@ def grams(data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in WORD_CHAR.finditer(text))
+
+
 def _lead(text: str) -> np.ndarray:
     return np.frombuffer(b"\n" * ORDER + text.encode().lower(), np.uint8)
 
@@ -198,7 +203,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(names.index("text")).to_pylist()
-                good = [k for k, t in enumerate(texts) if model.langs and t and LETTER.search(t)]
+                good = [k for k, t in enumerate(texts) if model.langs and t and has_letter(t)]
                 pred, score = ["und"] * len(texts), [0.0] * len(texts)
                 bits = model.lengths([texts[k] for k in good]) if good else []
                 for k, row in zip(good, bits):

@@ -75,3 +75,8 @@ def test_nothing_learned(spark):
     (row,) = language.identified(docs, language.fitted(docs)).collect()
     assert (row.lang_pred, row.score) == ("und", 0.0)
     assert language.identified(docs.filter("false"), language.fitted(docs)).collect() == []
+
+
+def test_numerals_are_no_letters():
+    assert not any(language.has_letter(t) for t in ("²", "½", "Ⅷ", "1_000", "٣", "", "— …"))
+    assert all(language.has_letter(t) for t in ("a", "² é", "字", "ª", "Ⅷ x"))

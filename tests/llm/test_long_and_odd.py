@@ -1,11 +1,14 @@
 """Every operator on one table of very long, empty, null and repeated texts, with columns named like what operators use or add."""
 
+import hashlib
 import random
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from lakeshore.llm import chosen_path, decontamination, language, mixing, pii, suffixes, tiff, toxicity
+from lakeshore.llm import chosen_path, decontamination, language, linelabels, mixing, periodic, pii, planes, suffixes, tiff, toxicity, warc
 
 NAMES = ["score", "predicted", "base", "added", "tiff", "leak", "raw", "digest", "spans", "media", "n_bytes", "rep", "label", "node", "mix_size", "lang_pred", "anchors", "kept"]
 
@@ -35,6 +38,32 @@ def own_columns_stay(out):
         assert any(first[c] == k for c in kept), name
 
 
+def test_planes(docs, rows):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = planes.tokenized(docs, path, 2, with_ids=True).collect()
+    whole = Tokenizer.from_file(path)
+    want = sorted(str([*whole.encode(t or "", add_special_tokens=False).ids, 2]) for _, t in rows)
+    assert sorted(str(list(r.ids)) for r in got) == want
+
+
+def test_warc(docs, rows):
+    got = warc.archived(docs.withColumn("url", F.lit("u")), id_col="doc_id", payload_col="text").collect()
+    assert sorted(r.payload_digest for r in got) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows)
+    assert sum(r.record_type == "revisit" for r in got) == 0  # the equal rows are short
+
+
+def test_linelabels(docs, rows):
+    out = linelabels.judged(docs, linelabels.Model())
+    own_columns_stay(out)
+    assert sorted(r.n_words for r in out.select("n_words").collect()) == sorted(len((t or "").split()) for _, t in rows)
+
+
+def test_periodic(docs, rows):
+    out = periodic.searched(docs)
+    own_columns_stay(out)
+    assert sorted(r.collapsed for r in out.select("collapsed").collect()) == sorted(t or "" for _, t in rows)
+
+
 def test_toxicity(spark, docs, rows):
     model = toxicity.Model({"abc": 1.0}, toxicity.PRIOR)
     out = toxicity.scored(docs, model)
@@ -51,7 +80,9 @@ def test_tiff(docs, rows):
 
 
 def test_mixing(docs, rows):
-    out = mixing.mixed(docs.drop("mix_size"))
+    out = mixing.mixed(docs)
+    own_columns_stay(out)
+    assert out.columns.count("mix_size") == 1 and mixing.emitted(docs).columns == docs.columns
     assert sorted(r.mix_size for r in out.select("mix_size").collect()) == sorted(len((t or "").split()) for _, t in rows)
 
 
