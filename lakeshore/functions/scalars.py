@@ -49,7 +49,7 @@ def is_mobile(width: Column, limit: float = MOBILE) -> Column:
 
 def routed(path: Column, routes: Mapping[str, str], otherwise: str) -> Column:
     """The route of a path, or the catch-all."""
-    out = F
+    out = F.when(F.lit(False), F.lit(otherwise))
     for known, name in routes.items():
         out = out.when(path == known, F.lit(name))
     return out.otherwise(F.lit(otherwise))
@@ -128,9 +128,12 @@ def remaining(value: Column, whole: float = 100) -> Column:
     return F.lit(whole) - F.coalesce(truthy(value, "double"), F.lit(0))
 
 
-def random_width(seed: int | None = None, low: int = 50, span: int = 40) -> Column:
-    """A whole number from ``low`` below ``low + span``."""
-    return F.floor(F.rand(seed) * span).cast("int") + F.lit(low)
+def random_width(instance: Column, seed: int = 0, low: int = 50, span: int = 40) -> Column:
+    """A whole number from ``low`` below ``low + span``, by chance but fixed for an instance: by a hash of what tells it from others, so that
+    neither partitions nor a second run change it. A null instance is an empty text."""
+    digest = F.md5(F.concat(F.coalesce(instance.cast("string"), F.lit("")), F.lit(f"|{seed}")).cast("binary"))
+    drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return F.floor(drawn * F.lit(span) / F.lit(4294967296)).cast("int") + F.lit(low)
 
 
 def toggled(flag: Column) -> Column:

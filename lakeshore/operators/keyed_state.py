@@ -69,10 +69,10 @@ def dense_ids(records: DataFrame, order: Sequence[str], bucket: Column, modulus:
 
 
 def dispatched(kind: Column, actions: Mapping[str, Column | str], otherwise: Column | str | None = None) -> Column:
-    """The value of the action that a type tag names."""
-    out = None
+    """The value of the action that a type tag names; ``otherwise`` for other tags, null ones, and where there are no actions."""
+    out = F.when(F.lit(False), otherwise)
     for tag, value in actions.items():
-        out = F.when(kind == tag, value) if out is None else out.when(kind == tag, value)
+        out = out.when(kind == tag, value)
     return out.otherwise(otherwise)
 
 

@@ -15,8 +15,8 @@ def last_section(positions: DataFrame, sections: DataFrame, key: str, position:
     """(key, section): of sections (idx, id, offset_top) that start at most ``ahead`` beyond the position, that of the
     largest idx, whatever its offset; null if there is none. Sections without an offset don't exist yet and are passed over.
 
-    Few sections are an array that each row searches. Many are dealt with the positions to RANGES ranges of offsets: the largest
-    idx so far runs along each range, from the largest of all ranges below.
+    Few sections are an array that each row searches. Many are dealt with the different positions to RANGES ranges of offsets: the largest
+    idx so far runs along each range, from the largest of all ranges below. Null positions have no section.
     """
     real = sections.filter("offset_top is not null and idx is not null")
     where = F.col(position) + F.lit(ahead)
@@ -25,10 +25,11 @@ def last_section(positions: DataFrame, sections: DataFrame, key: str, position:
         x = positions.crossJoin(F.broadcast(steps))  # one row of at most BROADCAST_SECTIONS items
         reached = F.array_max(F.filter("_steps", lambda s: s["offset_top"] <= where))
         return x.select(key, reached["id"].alias("section"))
+    # each different position is looked up once, then joined back: rows that share one, however many, are no hot task
     step = F.struct("idx", "id")
     none = F.lit(None).cast(real.select(step.alias("s")).schema["s"].dataType)
-    asked = positions.select(where.cast("double").alias("_at"), F.lit(1).alias("_turn"), none.alias("_step"), F.col(key).alias("_key"))
-    known = real.select(F.col("offset_top").cast("double").alias("_at"), F.lit(0).alias("_turn"), step.alias("_step"), F.lit(None).cast(positions.schema[key].dataType).alias("_key"))
+    asked = positions.select(where.cast("double").alias("_at")).filter("_at is not null").distinct().select("_at", F.lit(1).alias("_turn"), none.alias("_step"))
+    known = real.groupBy(F.col("offset_top").cast("double").alias("_at")).agg(F.max(step).alias("_step")).select("_at", F.lit(0).alias("_turn"), "_step")
     both = known.unionByName(asked)
     bounds = sorted(set(both.approxQuantile("_at", [k / RANGES for k in range(1, RANGES)], 0.5 / RANGES)))
     ranged = lambda x: x.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_at"))))
@@ -38,8 +39,8 @@ def last_section(positions: DataFrame, sections: DataFrame, key: str, position:
     first = every.join(first, "_range", "left").select("_range", F.max("_most").over(below).alias("_before"))
     along = Window.partitionBy("_range").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
     x = ranged(both).withColumn("_so_far", F.max("_step").over(along)).filter("_turn = 1").join(F.broadcast(first), "_range", "left")
-    best = F.when(F.col("_at").isNotNull(), F.greatest("_so_far", "_before"))
-    return x.select(F.col("_key").alias(key), best["id"].alias("section"))
+    best = x.select("_at", F.greatest("_so_far", "_before")["id"].alias("section"))
+    return positions.select(F.col(key), where.cast("double").alias("_at")).join(best, "_at", "left").select(key, "section")
 
 
 def carried_forward(rows: DataFrame, by: str, order: list[str], value: str, initial: object | None = None, bucket: Column | None = None) -> DataFrame:

@@ -71,12 +71,14 @@ def keyed_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_state.deleted_keys(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@REGISTRY.register("keyed_delete_one", "SELECT o_orderkey, count(*) OVER () AS n_left FROM orders WHERE o_orderkey <> 7")
+@REGISTRY.register("keyed_delete_one", "SELECT o_orderkey FROM orders WHERE o_orderkey <> 7")
 def keyed_delete_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    left = keyed_state.deleted(orders, "o_orderkey", 7)
-    none = keyed_state.deleted(orders, "o_orderkey", None)
-    return left.unionByName(none).crossJoin(F.broadcast(left.agg(F.count("*").alias("n_left"))))  # one row
+    return keyed_state.deleted(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 7)
+
+
+@REGISTRY.register("keyed_delete_all", "SELECT o_orderkey FROM orders WHERE false")
+def keyed_delete_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_state.deleted(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", None)
 
 
 @REGISTRY.register(
@@ -253,15 +255,21 @@ def grouped_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", S.grouped_number(x).alias("total"))
 
 
-MERGED = [("bg-red-500 bg-blue-600", "bg-blue-600"), ("px-2 p-4", "p-4"), ("flex hidden", "hidden"), ("text-sm text-center", "text-sm text-center"), ("p-4 px-2 hover:p-1", "p-4 px-2 hover:p-1"), ("own own w-1 size-2", "own own size-2")]
+MERGED = [
+    ("bg-red-500 bg-blue-600", "bg-blue-600"), ("px-2 p-4", "p-4"), ("flex hidden", "hidden"), ("text-sm text-center", "text-sm text-center"), ("p-4 px-2 hover:p-1", "p-4 px-2 hover:p-1"),
+    ("own own w-1 size-2", "own own size-2"), ("brightness-50 brightness-100", "brightness-100"), ("overscroll-auto overscroll-contain", "overscroll-contain"), ("divide-x-2 divide-x-4", "divide-x-4"),
+    ("accent-red-500 accent-blue-500", "accent-blue-500"), ("mix-blend-multiply mix-blend-screen", "mix-blend-screen"), ("will-change-auto will-change-scroll", "will-change-scroll"),
+    ("hover:focus:p-1 focus:hover:p-2", "focus:hover:p-2"), ("[&>p]:hover:p-1 hover:[&>p]:p-2", "[&>p]:hover:p-1 hover:[&>p]:p-2"), ("md:hover:px-1 hover:md:px-2", "hover:md:px-2"),
+    ("lining-nums tabular-nums normal-nums", "normal-nums"), ("scroll-px-2 scroll-p-4 scroll-smooth", "scroll-p-4 scroll-smooth"), ("snap-start snap-x snap-both", "snap-start snap-both"),
+]
 
 
 @REGISTRY.register(
     "class_merge",
-    "SELECT p_partkey, CASE p_size % 6 " + " ".join(f"WHEN {k} THEN '{merged}'" for k, (_, merged) in enumerate(MERGED)) + " END || ' m-' || p_size AS classes FROM part",
+    f"SELECT p_partkey, CASE p_partkey % {len(MERGED)} " + " ".join(f"WHEN {k} THEN '{merged}'" for k, (_, merged) in enumerate(MERGED)) + " END || ' m-' || p_size AS classes FROM part",
 )
 def class_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = F.get(F.array(*[F.lit(x) for x, _ in MERGED]), F.col("p_size") % 6)
+    given = F.get(F.array(*[F.lit(x) for x, _ in MERGED]), (F.col("p_partkey") % len(MERGED)).cast("int"))
     parts = F.array(F.lit("mt-2"), F.lit(None).cast("string"), F.lit(""), given, F.concat(F.lit("m-"), F.col("p_size")))
     return table(spark, sf_dir, "part").select("p_partkey", class_names(parts).alias("classes"))
 
@@ -315,18 +323,20 @@ def key_value_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.register(
     "literal_sections",
     """
-    SELECT (row_number() OVER ())::INT - 1 AS idx, id, label FROM (VALUES ('meet-us', 'Meet Us'), ('cover-design', 'Cover Design'), ('layout-design', 'Layout Design'),
-           ('illustrations', 'Illustrations'), ('galore', 'Galore'), ('corporate-design', 'Corporate Design'), ('reach-us', 'Reach Us')) t(id, label)
+    WITH s(idx, id, label) AS (VALUES (0, 'meet-us', 'Meet Us'), (1, 'cover-design', 'Cover Design'), (2, 'layout-design', 'Layout Design'),
+           (3, 'illustrations', 'Illustrations'), (4, 'galore', 'Galore'), (5, 'corporate-design', 'Corporate Design'), (6, 'reach-us', 'Reach Us'))
+    SELECT p_partkey, idx, id, label FROM part JOIN s ON idx = p_size % 7
     """,
 )
 def literal_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literals.ordered(spark)
+    """The literal sections in order, each part at one of them."""
+    sections = F.broadcast(literals.ordered(spark))  # a few rows of code
+    return table(spark, sf_dir, "part").join(sections, F.col("p_size") % 7 == F.col("idx")).select("p_partkey", "idx", "id", "label")
 
 
-@REGISTRY.register("random_width", "SELECT event_id, true AS inside FROM events")
+@REGISTRY.register("random_width", "SELECT event_id, (50 + ('0x' || substr(md5(event_id || '|7'), 1, 8))::BIGINT * 40 // 4294967296)::INT AS width FROM events")
 def random_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "events").select("event_id", S.random_width(7).alias("width"))
-    return x.select("event_id", F.col("width").between(50, 89).alias("inside"))
+    return table(spark, sf_dir, "events").select("event_id", S.random_width(F.col("event_id"), 7).alias("width"))
 
 
 @REGISTRY.register(

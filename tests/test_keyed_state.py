@@ -49,6 +49,7 @@ def test_dense_ids_wrap(spark):
 def test_dispatch_unknown_type(spark):
     df = spark.createDataFrame([("add",), ("zap",), (None,)], "type string")
     assert [r[0] for r in df.select(ks.dispatched(F.col("type"), {"add": F.lit(1)}, F.lit(0))).collect()] == [1, 0, 0]
+    assert [r[0] for r in df.select(ks.dispatched(F.col("type"), {}, F.lit(0))).collect()] == [0, 0, 0]
 
 
 LOG = "store string, seq int, at timestamp, type string, toast_id string, title string, description string, open boolean, present array<string>"

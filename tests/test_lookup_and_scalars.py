@@ -28,6 +28,15 @@ def test_section_of_largest_index(spark, monkeypatch, few):
     assert got[99] is None
 
 
+def test_many_sections_and_one_hot_position(spark, monkeypatch):
+    sections = spark.range(10_001).selectExpr("int(id) AS idx", "concat('s', id) AS id", "int(id * 7919 % 10007) AS offset_top")
+    tops = spark.range(40_000).selectExpr("int(id) AS k", "CASE WHEN id % 10 > 0 THEN 77 WHEN id % 70 = 0 THEN NULL ELSE int(id % 9000) END AS y")
+    got = lookup.last_section(tops, sections, "k", "y")
+    monkeypatch.setattr(lookup, "BROADCAST_SECTIONS", 20_000)
+    assert got.exceptAll(lookup.last_section(tops, sections, "k", "y")).count() == 0 and got.count() == 40_000
+    assert got.filter("section is null").count() == tops.filter("y is null").count()
+
+
 def test_no_match_carries_the_last(spark):
     df = spark.createDataFrame([("u", 1, None), ("u", 2, "a"), ("u", 3, None), ("v", 1, None)], "u string, t int, section string")
     got = lookup.carried_forward(df, "u", ["t"], "section", lookup.FIRST_SECTION).orderBy("u", "t").collect()
@@ -58,6 +67,7 @@ def test_breakpoints_and_routes(spark):
     assert [value(spark, S.is_mobile(w)) for w in (F.lit(767), F.lit(768), none)] == [True, False, False]
     assert [value(spark, S.at_least(w, F.lit("b"), F.lit("a"))) for w in (F.lit(1023), F.lit(1024), none)] == ["a", "b", "a"]
     assert [value(spark, S.routed(F.lit(p), {"/": "home"}, "404")) for p in ("/", "/x", None)] == ["home", "404", "404"]
+    assert value(spark, S.routed(F.lit("/"), {}, "404")) == "404"
     assert value(spark, S.when_equal(F.lit(None).cast("string"), "a", "y", "n")) == "n"
 
 
@@ -73,7 +83,27 @@ def test_breakpoints_and_routes(spark):
         ("text-sm text-primary text-lg", "text-primary text-lg"),
         ("my-own other my-own", "other my-own"),  # my- is a margin
         ("card card", "card card"),
-        ("md:hover:px-1 hover:md:px-2 md:hover:p-3", "hover:md:px-2 md:hover:p-3"),
+        ("md:hover:px-1 hover:md:px-2 md:hover:p-3", "md:hover:p-3"),  # variants in any order
+        ("hover:focus:p-1 focus:hover:p-2", "focus:hover:p-2"),
+        ("[&>p]:hover:p-1 hover:[&>p]:p-2", "[&>p]:hover:p-1 hover:[&>p]:p-2"),  # but not across those in brackets
+        ("a:b:[x]:c:d:p-1 b:a:[x]:d:c:p-2", "b:a:[x]:d:c:p-2"),
+        ("brightness-50 brightness-100", "brightness-100"),
+        ("overscroll-x-auto overscroll-auto overscroll-contain", "overscroll-contain"),
+        ("divide-x-2 divide-x-4 divide-red-500 divide-dashed", "divide-x-4 divide-red-500 divide-dashed"),
+        ("accent-red-500 accent-blue-500", "accent-blue-500"),
+        ("mix-blend-multiply mix-blend-screen", "mix-blend-screen"),
+        ("will-change-auto will-change-scroll", "will-change-scroll"),
+        ("lining-nums tabular-nums ordinal normal-nums", "normal-nums"),
+        ("lining-nums normal-nums ordinal", "lining-nums ordinal"),
+        ("lining-nums tabular-nums oldstyle-nums", "tabular-nums oldstyle-nums"),
+        ("scroll-px-2 scroll-p-4 scroll-auto scroll-smooth", "scroll-p-4 scroll-smooth"),
+        ("touch-pan-x touch-pan-y touch-none", "touch-none"),
+        ("backdrop-blur-sm blur-sm backdrop-blur", "blur-sm backdrop-blur"),
+        ("decoration-2 decoration-wavy decoration-red-500 decoration-4", "decoration-wavy decoration-red-500 decoration-4"),
+        ("snap-start snap-x snap-mandatory snap-both snap-end", "snap-mandatory snap-both snap-end"),
+        ("list-disc list-inside list-decimal", "list-inside list-decimal"),
+        ("columns-2 columns-3 table-auto table-fixed table", "columns-3 table-fixed table"),
+        ("from-10% from-red-500 from-20%", "from-red-500 from-20%"),
         ("-mt-2 mt-4 !mt-1", "mt-4 !mt-1"),
         ("w-4 h-4 size-6 h-2", "size-6 h-2"),
         ("border border-t-2 border-input border-0", "border-input border-0"),
@@ -115,8 +145,11 @@ def test_numbers(spark):
     want = {1234567.8915: "1,234,567.892", 0.5: "0.5", 1000.0: "1,000", -2.5: "-2.5", 0.0: None, float("nan"): None}
     assert {x: value(spark, S.grouped_number(F.lit(x))) for x in list(want)[:5]} == {k: v for k, v in list(want.items())[:5]}
     assert value(spark, S.grouped_number(F.lit(float("nan")))) is None
-    got = spark.range(500).select(S.random_width(3).alias("w")).agg(F.min("w"), F.max("w")).first()
-    assert got[0] >= 50 and got[1] <= 89
+    widths = [{r.id: r.w for r in spark.range(2000).repartition(n).select("id", S.random_width(F.col("id"), 3).alias("w")).collect()} for n in (1, 8)]
+    assert widths[0] == widths[1]  # an instance keeps its width
+    assert set(widths[0].values()) == set(range(50, 90))
+    assert value(spark, S.random_width(F.lit(None).cast("int"))) == value(spark, S.random_width(F.lit("")))
+    assert len({value(spark, S.random_width(F.lit(5), seed)) for seed in range(9)}) > 3
 
 
 def test_collections(spark):
