@@ -73,20 +73,22 @@ def packbits(data: bytes) -> bytes:
 
 def lzw(data: bytes) -> bytes:
     """TIFF's LZW: codes that :func:`unlzw` reads; the table is cleared before it is full."""
-    codes, table, free, key = [256], {}, 258, -1
-    for byte in data:
+    codes, table, free, key = [256], {}, 258, data[0] if data else -1
+    known = table.get
+    for byte in data[1:]:
         pair = key << 8 | byte
-        if key < 0:
-            key = byte
-        elif (known := table.get(pair)) is not None:
-            key = known
-        else:
-            codes.append(key)
-            table[pair] = free
-            free, key = free + 1, byte
-            if free == 4094:
-                codes.append(256)
-                table, free = {}, 258
+        code = known(pair)
+        if code is not None:
+            key = code
+            continue
+        codes.append(key)
+        table[pair] = free
+        free += 1
+        key = byte
+        if free == 4094:
+            codes.append(256)
+            table.clear()
+            free = 258
     if key >= 0:
         codes.append(key)
     x = np.array([*codes, 257], np.uint16)
@@ -99,34 +101,56 @@ def lzw(data: bytes) -> bytes:
     return np.packbits(bits[np.arange(16) >= 16 - width[:, None]]).tobytes()
 
 
+#: Widths of the codes after a clear code: the table grows by one with each but the first, and widths follow that a code early.
+_WIDTHS = np.clip(np.ceil(np.log2(259 + np.maximum(np.arange(4096), 1))).astype(np.int64), 9, 12)
+_LETTERS = [bytes([k]) for k in range(256)] + [b"", b""]
+#: Codes cut out at a time.
+_CUT = 1024
+
+
 def unlzw(data: bytes, size: int) -> bytes:
-    """TIFF's LZW: codes of 9 to 12 bits from the high bit on, each width one code early, 256 clears, 257 ends."""
-    fresh = [bytes([k]) for k in range(256)] + [b"", b""]
-    table, out, held, bits, width, last, at, got = list(fresh), [], 0, 0, 9, None, 0, 0
+    """TIFF's LZW: codes of 9 to 12 bits from the high bit on, each width one code early, 256 clears, 257 ends.
+
+    Widths hang on nothing but the number of codes since the last clear code, so codes are cut out of the bits many at once; the table keeps
+    its letters when it is cleared.
+    """
+    bits = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(3, np.uint8))).astype(np.int64)
+    table, out, got, at, since = list(_LETTERS), [], 0, 0, 0
+    last: bytes | None = None
     while got < size:
-        while bits < width and at < len(data):
-            held, bits, at = (held << 8 | data[at]) & 0xFFFFFF, bits + 8, at + 1
-        if bits < width:
-            break
-        code = held >> (bits - width) & ((1 << width) - 1)
-        bits -= width
-        if code == 257:
+        width = _WIDTHS[np.minimum(np.arange(since, since + _CUT), len(_WIDTHS) - 1)]
+        ends = at + np.cumsum(width)
+        width = width[: int(np.searchsorted(ends, 8 * len(data), "right"))]
+        first = ends[: len(width)] - width
+        byte = first >> 3
+        held = (bits[byte] << 16) | (bits[byte + 1] << 8) | bits[byte + 2]
+        codes = (held >> (24 - (first & 7) - width)) & ((1 << width) - 1)
+        stops = np.flatnonzero((codes == 256) | (codes == 257))
+        stop = int(stops[0]) if len(stops) else len(codes)
+        before = len(out)
+        for code in codes[:stop].tolist():
+            if code < len(table):
+                word = table[code]
+            elif code == len(table) and last is not None:
+                word = last + last[:1]
+            elif got + sum(map(len, out[before:])) >= size:
+                return b"".join(out)
+            else:
+                raise ValueError("LZW code out of range")
+            if last is not None and len(table) < 4096:
+                table.append(last + word[:1])
+            out.append(word)
+            last = word
+        got += sum(map(len, out[before:]))
+        if stop == len(codes):
+            if stop < _CUT:  # the data end without an end code
+                break
+            at, since = int(ends[-1]), since + stop
+        elif codes[stop] == 257:
             break
-        if code == 256:
-            table, width, last = list(fresh), 9, None
-            continue
-        if code < len(table):
-            word = table[code]
-        elif code == len(table) and last is not None:
-            word = last + last[:1]
         else:
-            raise ValueError("LZW code out of range")
-        if last is not None and len(table) < 4096:
-            table.append(last + word[:1])
-            width = min(12, max(9, (len(table) + 1).bit_length()))
-        out.append(word)
-        got += len(word)
-        last = word
+            at, since, last = int(ends[stop]), 0, None
+            del table[258:]
     return b"".join(out)
 
 
