@@ -190,3 +190,11 @@ def as_record(text: Column) -> Column:
 
 def without_falsy(items: Column) -> Column:
     return F.filter(items, lambda i: F.coalesce(i != "", F.lit(False)))
+
+
+def element(key: Column, title: Column, description: Column, action: Column) -> Column:
+    """What is shown of a record: its key, the parts that it has in their order (a part that counts as false is left out, an action is shown
+    whatever it is unless it is null), and the close button."""
+    part = lambda name, text: F.struct(F.lit(name).alias("part"), text.alias("text"))
+    parts = F.array(part("title", truthy(title)), part("description", truthy(description)), part("action", action), part("close", F.lit("")))
+    return F.struct(key.alias("key"), F.filter(parts, lambda p: p["text"].isNotNull()).alias("parts"))

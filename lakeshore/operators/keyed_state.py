@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeshore.operators.lookup import carried_forward
+
 #: Records kept, and milliseconds from a request to expiry.
 LIMIT, EXPIRY_MS = 1, 1_000_000
 MAX_SAFE_INTEGER = 9007199254740991
@@ -68,6 +70,18 @@ def dense_ids(records: DataFrame, order: Sequence[str], bucket: Column, modulus:
     return numbered.withColumn("id", ((F.col("_before") + F.col("_at")) % F.lit(modulus)).cast("string")).drop("_bucket", "_b", "_before", "_at")
 
 
+def handled(requests: DataFrame, store: str, seq: str, raises: Column, id_bucket: Column, day: Column, name: str = "toast_id") -> DataFrame:
+    """``requests`` with the id of the handle that each goes through: one that ``raises`` a record gets a handle of its own, the next
+    sequential id of all stores; any other gets its store's last handle, null if it has none yet.
+
+    ``id_bucket`` and ``day`` must rise with ``seq``: ids are counted in buckets (:func:`dense_ids`), and a store's handles are carried along
+    its days (:func:`lakeshore.operators.lookup.carried_forward`), so that neither all requests nor a busy store are one task.
+    """
+    new = dense_ids(requests.filter(raises), [seq], id_bucket).select(F.col(seq).alias("_seq"), F.col("id").alias("_raised"))
+    x = requests.join(new, F.col(seq) == F.col("_seq"), "left").withColumn(name, F.col("_raised")).drop("_seq", "_raised")
+    return carried_forward(x, store, [seq], name, bucket=day)
+
+
 def dispatched(kind: Column, actions: Mapping[str, Column | str], otherwise: Column | str | None = None) -> Column:
     """The value of the action that a type tag names; ``otherwise`` for other tags, null ones, and where there are no actions."""
     out = F.when(F.lit(False), otherwise)

@@ -128,6 +128,44 @@ def change_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_state.replayed(log.filter("type is not null"), ["title", "open"])
 
 
+@REGISTRY.register(
+    "handle_replay",
+    """
+    WITH s AS (SELECT event_id, user_id, (row_number() OVER (ORDER BY event_id))::VARCHAR AS id FROM events WHERE event_type = 'signup'),
+    l AS (SELECT user_id AS store, max(event_id) AS seq, arg_max(id, event_id) AS toast_id FROM s GROUP BY user_id)
+    SELECT store, toast_id, arg_max(round(value, 2)::VARCHAR, event_id) FILTER (event_type IN ('signup', 'click')) AS title, count(*) FILTER (event_type = 'error') = 0 AS open
+    FROM l JOIN events ON user_id = store AND event_id >= seq GROUP BY store, toast_id
+    """,
+)
+def handle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records raised by signups; clicks update and errors dismiss through the handle that the last signup returned."""
+    kind = F.col("event_type")
+    ops = {"signup": F.lit("add"), "click": F.lit("update"), "error": F.lit("dismiss")}
+    requests = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value").filter(kind.isin(*ops))
+    through = keyed_state.handled(requests, "user_id", "event_id", kind == "signup", F.floor(F.col("event_id") / 65536), F.to_date("ts"))
+    log = through.filter("toast_id is not null").select(
+        F.col("user_id").alias("store"), F.col("event_id").alias("seq"), keyed_state.dispatched(kind, ops).alias("type"), "toast_id",
+        F.round("value", 2).cast("string").alias("title"), F.lit(None).cast("boolean").alias("open"), F.array(F.lit("title")).alias("present"),
+    )
+    return keyed_state.replayed(log, ["title", "open"])
+
+
+@REGISTRY.register(
+    "rendered_records",
+    """
+    SELECT conv_id || '-' || turn AS key, CASE WHEN role <> 'user' THEN 'title=' || role || '|' ELSE '' END || CASE WHEN len(text) > 40 THEN 'description=' || left(text, 40) || '|' ELSE '' END
+           || CASE WHEN turn % 3 > 0 THEN 'action=' || CASE WHEN turn % 3 = 1 THEN 'undo' ELSE '' END || '|' ELSE '' END || 'close=' AS parts FROM conversations
+    """,
+)
+def rendered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.when(F.col("role") == "user", F.lit("")).otherwise(F.col("role"))
+    description = F.when(F.char_length("text") > 40, F.substring("text", F.lit(1), F.lit(40))).otherwise(F.lit(""))
+    action = F.when(F.col("turn") % 3 == 1, F.lit("undo")).when(F.col("turn") % 3 == 2, F.lit(""))
+    shown = S.element(F.concat_ws("-", "conv_id", "turn"), title, description, action)
+    x = table(spark, sf_dir, "conversations").select(shown.alias("shown"))
+    return x.select("shown.key", F.array_join(F.transform("shown.parts", lambda p: F.concat_ws("=", p["part"], p["text"])), "|").alias("parts"))
+
+
 BANDS = [(0, "tiny", 210), (1, "small", 215), (2, "gone", None), (3, "middle", 225), (4, "low", 212), (5, "large", 240)]
 
 

@@ -46,6 +46,16 @@ def test_dense_ids_wrap(spark):
     assert got == {k: str((i + 1) % 100) for i, k in enumerate(range(0, 1000, 7))}
 
 
+def test_requests_go_through_the_last_handle(spark):
+    t = dt.datetime(2024, 1, 1)
+    asks = [(0, "x", "click"), (1, "x", "raise"), (2, "y", "raise"), (3, "x", "click"), (4, "x", "raise"), (5, "x", "click"), (6, "y", "click"), (7, None, "click"), (8, None, "raise"), (9, None, "click")]
+    df = spark.createDataFrame([(k, s, a, t + dt.timedelta(hours=9 * k)) for k, s, a in asks], "seq long, store string, ask string, at timestamp")
+    got = ks.handled(df, "store", "seq", F.col("ask") == "raise", F.floor(F.col("seq") / 3), F.to_date("at"))
+    assert got.columns == [*df.columns, "toast_id"]
+    assert {r.seq: r.toast_id for r in got.collect()} == {0: None, 1: "1", 2: "2", 3: "1", 4: "3", 5: "3", 6: "2", 7: None, 8: "4", 9: "4"}
+    assert ks.handled(df.limit(0), "store", "seq", F.col("ask") == "raise", F.col("seq"), F.to_date("at")).count() == 0
+
+
 def test_dispatch_unknown_type(spark):
     df = spark.createDataFrame([("add",), ("zap",), (None,)], "type string")
     assert [r[0] for r in df.select(ks.dispatched(F.col("type"), {"add": F.lit(1)}, F.lit(0))).collect()] == [1, 0, 0]

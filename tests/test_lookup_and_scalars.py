@@ -152,6 +152,13 @@ def test_numbers(spark):
     assert len({value(spark, S.random_width(F.lit(5), seed)) for seed in range(9)}) > 3
 
 
+def test_elements(spark):
+    text = lambda x: F.lit(x).cast("string")
+    parts = lambda *xs: [tuple(p) for p in value(spark, S.element(F.lit("k"), *map(text, xs))).parts]
+    assert parts("t", "d", "a") == [("title", "t"), ("description", "d"), ("action", "a"), ("close", "")]
+    assert parts("", None, "") == [("action", ""), ("close", "")] and parts(None, "d", None) == [("description", "d"), ("close", "")]
+
+
 def test_collections(spark):
     items = F.array(F.lit("a"), F.lit(""), F.lit(None).cast("string"))
     empty = F.array().cast("array<string>")
