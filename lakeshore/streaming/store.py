@@ -46,35 +46,44 @@ class Store(StatefulProcessor):
     """One store's records as a list, its pending removals as a map from id to due time, and a timer for each of them.
 
     Rows are folded as they come, an Arrow batch at a time in order of seq; what is held in memory of a store is its state and that batch.
+    By the event clock a removal is due by the time of its request and the watermark; by the wall clock by when its request is read, and
+    pending removals also have a time to live, so that none stays in the state for good.
     """
 
-    def __init__(self, limit: int, delay_ms: int) -> None:
-        self.limit, self.delay_ms = limit, delay_ms
+    def __init__(self, limit: int, delay_ms: int, by_wall: bool) -> None:
+        self.limit, self.delay_ms, self.by_wall = limit, delay_ms, by_wall
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.records = handle.getListState("records", RECORD)
-        self.removals = handle.getMapState("removals", "toast_id string", "due long")
+        # times to live need the wall clock; twice the delay leaves the timer to remove first
+        self.removals = handle.getMapState("removals", "toast_id string", "due long", **({"ttlDurationMs": 2 * self.delay_ms} if self.by_wall else {}))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         records, due = self._state()
         was, before = records, due
+        now = self._now(timerValues)
         for batch in rows:
             for row in batch.sort_values("seq", kind="stable").itertuples(index=False):
                 action = {k: plain(v) for k, v in row._asdict().items()}
+                if self.by_wall:
+                    action["at_ms"] = now
                 records, due = due_removed(records, due, action["at_ms"])
                 records, due = folded(records, due, action, self.limit, self.delay_ms)
-        records, due = due_removed(records, due, timerValues.getCurrentWatermarkInMs())
+        records, due = due_removed(records, due, now)
         self._keep(was, before, records, due)
         yield shown(key[0], records)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         was, before = self._state()
-        records, due = due_removed(was, before, timerValues.getCurrentWatermarkInMs())
+        records, due = due_removed(was, before, self._now(timerValues))
         if due != before:  # the first timer of a watermark removes all that is due
             self._keep(was, before, records, due)
             yield shown(key[0], records)
 
+    def _now(self, timerValues: TimerValues) -> int:
+        return timerValues.getCurrentProcessingTimeInMs() if self.by_wall else timerValues.getCurrentWatermarkInMs()
+
     def _state(self) -> tuple[list[dict], dict[str, int]]:
         records = [dict(zip(FIELDS, row)) for row in self.records.get()] if self.records.exists() else []
         return records, {key[0]: value[0] for key, value in self.removals.iterator()} if self.removals.exists() else {}
@@ -110,17 +119,20 @@ def shown(store: str, records: list[dict]) -> pd.DataFrame:
     return pd.DataFrame([{"store": store} | r for r in rows], columns=["store", *FIELDS])
 
 
-def store_stream(actions: DataFrame, limit: int = LIMIT, delay_ms: int = EXPIRY_MS) -> DataFrame:
-    """Records of each store after each batch of ``actions`` (store, seq, at timestamp with a watermark, type, toast_id,
-    title, description, open, present), in update mode; a store without records gives one row of nulls.
+def store_stream(actions: DataFrame, limit: int = LIMIT, delay_ms: int = EXPIRY_MS, clock: str = "event") -> DataFrame:
+    """Records of each store after each batch of ``actions`` (store, seq, at timestamp, type, toast_id, title, description, open,
+    present), in update mode; a store without records gives one row of nulls.
 
-    State is bounded by ``limit`` and the pending removals of a store, and kept in RocksDB, which this sets for the session. Event time
-    drives the removals. As in the store itself the order of arrival counts: rows of an Arrow batch are put in order of seq, later batches
+    State is bounded by ``limit`` and the pending removals of a store, and kept in RocksDB, which this sets for the session. ``clock`` drives
+    the removals: ``event`` by ``at``, which needs a watermark then, or ``wall``. As in the store itself the order of arrival counts: rows of an Arrow batch are put in order of seq, later batches
     come after it, so a log that keeps a store's actions in order (:mod:`lakeshore.sources.eventlog`) is folded in that order.
     """
     actions.sparkSession.conf.set(STATE_PROVIDER, ROCKSDB)
     timed = actions.withColumn("at_ms", F.unix_millis("at"))
-    return timed.groupBy("store").transformWithStateInPandas(Store(limit, delay_ms), OUT, "update", "eventTime")
+    if clock not in ("event", "wall"):
+        raise ValueError(f"clock is event or wall, not {clock}")
+    by_wall = clock == "wall"
+    return timed.groupBy("store").transformWithStateInPandas(Store(limit, delay_ms, by_wall), OUT, "update", "processingTime" if by_wall else "eventTime")
 
 
 def due_removed(records: list[dict], expiries: dict[str, int], now_ms: int) -> tuple[list[dict], dict[str, int]]:

@@ -1,6 +1,7 @@
 """Event-time windows, joins and the event log: late rows, odd rows, empty logs, and a query that comes back."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,23 @@ def test_timers_remove_what_is_due(spark, tmp_path):
     gone = {name: records for number in sorted(shown) for name, records in shown[number].items()}
     assert [shown[n]["x"] for n in sorted(shown) if "x" in shown[n]][-2:] == [[("2", "t1", False)], none]
     assert gone == {"x": none, "y": [("9", "t8", False)], "z": [("5", "t13", True)]}  # an empty id asks for removals, but closes none
+
+
+def test_removals_by_the_wall_clock(spark, tmp_path):
+    columns = "store string, seq long, at timestamp, type string, toast_id string, title string, description string, open boolean, present array<string>"
+    actions = [("x", 0, T0, "add", "1", "t", None, None, []), ("x", 1, T0, "dismiss", "1", None, None, None, []), ("y", 2, T0, "add", "2", "u", None, None, [])]
+    eventlog.appended(spark.createDataFrame(actions, columns), f"file://{tmp_path}/log", ["seq"])
+    stream = eventlog.streamed(spark, f"file://{tmp_path}/log", spark.createDataFrame([], columns).schema, 10)
+    seen = []
+    query = store.store_stream(stream, delay_ms=3000, clock="wall").writeStream.outputMode("update").foreachBatch(lambda batch, _: seen.extend(batch.collect()))
+    query = query.option("checkpointLocation", f"{tmp_path}/state").start()
+    try:
+        until = time.monotonic() + 90
+        while time.monotonic() < until and not any(r.store == "x" and r.toast_id is None for r in seen):
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert [(r.toast_id, r.open) for r in seen if r.store == "x"] == [("1", False), (None, None)]
+    assert [(r.toast_id, r.open) for r in seen if r.store == "y"] == [("2", True)]
+    with pytest.raises(ValueError, match="event or wall"):
+        store.store_stream(stream, clock="none")
