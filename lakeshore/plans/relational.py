@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeshore.functions import semistructured, table_functions
-from lakeshore.operators import grouping, intervals, sketches
+from lakeshore.operators import grouping, intervals, ranking, sketches
 from lakeshore.plans import catalog
 from lakeshore.plans.catalog import REGISTRY
 from lakeshore.plans.sql import SQL_QUERIES, surface
@@ -178,6 +178,16 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return lines.filter("l_orderkey % 2 = 0").select(*columns[::-1]), lines.filter("l_orderkey % 3 = 0").select(*columns)
 
 
+@REGISTRY.register(
+    "top_orders",
+    "SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice, -4) DESC) AS rank FROM orders QUALIFY rank <= 2",
+)
+def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's dearest orders in steps of 10,000, ties included."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.round("o_totalprice", -4).alias("step"))
+    return ranking.first_of(orders, ["o_custkey"], [F.desc("step")], 2, ties=True).select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
+
+
 @REGISTRY.register(
     "last_day_sums",
     """

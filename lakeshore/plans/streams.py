@@ -19,9 +19,9 @@ from lakeshore.streaming import event_time, store
 BATCHES, DELAY = 5, "2 hours"
 
 
-def replayed(spark: SparkSession, events: DataFrame, folder: str) -> DataFrame:
-    """``events``, in order of event_id, as a stream of BATCHES batches of equally many rows."""
-    eventlog.appended(events, f"{folder}/log", ["event_id"])
+def replayed(spark: SparkSession, events: DataFrame, folder: str, order: str = "event_id") -> DataFrame:
+    """``events``, in ``order``, as a stream of BATCHES batches of equally many rows."""
+    eventlog.appended(events, f"{folder}/log", [order])
     rows = -(-events.count() // BATCHES)
     return eventlog.streamed(spark, f"{folder}/log", events.schema, max(1, rows))
 
@@ -112,6 +112,16 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collected(closed, folder).select(*plain(["window_start", "window_end", "user_id", "n", "kinds"]))
 
 
+@REGISTRY.register("deduplicated_stream", "SELECT event_id, user_id, event_type FROM events")
+def deduplicated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in which every fifth event comes again, some in the batch of the first time and some in the next one; each comes out once."""
+    folder = own_folder(spark, "deduplicated")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", (F.col("event_id") * 10).alias("place"))
+    again = events.filter("event_id % 5 = 0").withColumn("place", F.col("place") + 1005)
+    stream = event_time.timed(replayed(spark, events.unionByName(again), folder, "place"), "ts", DELAY)
+    return collected(event_time.deduplicated(stream, ["event_id"]).select("event_id", "user_id", "event_type"), folder).drop("batch")
+
+
 @REGISTRY.register(
     "interval_join_stream",
     """

@@ -58,3 +58,9 @@ def followed(first: DataFrame, then: DataFrame, key: str, within_s: int, at: str
     near = F.col(f"then_{at}").between(F.col(at), F.col(at) + F.expr(f"INTERVAL {within_s} SECONDS"))
     met = left.join(renamed, (F.col(key) == F.col(f"then_{key}")) & (F.col("_bucket") == F.col("_then_bucket")) & near, how)
     return met.drop("_bucket", "_then_bucket")
+
+
+def deduplicated(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first row of each of ``keys`` that comes, as long as the watermark hasn't passed its time; its copies are dropped, and so are rows that
+    come later than that. State is a row for each key within the delay. A null key is a key; on a table any one row of a key stays."""
+    return events.dropDuplicatesWithinWatermark(list(keys)) if events.isStreaming else events.dropDuplicates(list(keys))

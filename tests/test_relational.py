@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeshore.functions import semistructured, table_functions
-from lakeshore.operators import grouping, intervals, sketches
+from lakeshore.operators import grouping, intervals, ranking, sketches
 from lakeshore.plans import catalog, relational, sql
 
 SF = "/root/testdata/sf0.001"
@@ -149,3 +149,15 @@ def test_text_plans_like_the_operators(spark, name):
     by_frames = catalog.REGISTRY.queries[name](spark, SF)
     steps = lambda df: sorted(re.findall(r"(\w*(?:Scan|Exchange|Join|Aggregate|Filter|EvalPython\w*|Sort))\b", plan(df)))
     assert steps(by_text) == steps(by_frames) and by_text.schema.simpleString() == by_frames.schema.simpleString()
+
+
+def test_first_rows_of_groups(spark):
+    data = [(1, "a", 5), (2, "a", 5), (3, "a", 9), (4, "a", 1), (5, None, 2), (6, None, None), (7, "b", 3)]
+    df = spark.createDataFrame(data, "id int, k string, v int")
+    order = [F.desc_nulls_last("v")]
+    assert rows(ranking.first_of(df, ["k"], [*order, F.asc("id")], 2)) == sorted([(3, "a", 9, 1), (1, "a", 5, 2), (5, None, 2, 1), (6, None, None, 2), (7, "b", 3, 1)], key=str)
+    tied = ranking.first_of(df, ["k"], order, 2, ties=True)
+    assert rows(tied) == sorted([(3, "a", 9, 1), (1, "a", 5, 2), (2, "a", 5, 2), (5, None, 2, 1), (6, None, None, 2), (7, "b", 3, 1)], key=str)
+    assert ranking.first_of(df.limit(0), ["k"], order, 2).count() == 0
+    text = plan(ranking.first_of(spark.range(100).selectExpr("id % 3 k", "id v"), ["k"], [F.desc("v")], 2))
+    assert text.index("Exchange") < text.rindex("WindowGroupLimit")  # limited below the shuffle too

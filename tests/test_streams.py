@@ -125,6 +125,16 @@ def test_stream_join_by_time(spark, tmp_path):
     assert sorted((r[1:] for r in got), key=str) == followed([r for r in rows if r[3] == "v"], [r for r in rows if r[3] == "p"])
 
 
+def test_copies_within_the_watermark_come_out_once(spark, tmp_path):
+    rows = [(1, minute(0), 1, "a"), (1, minute(0), 1, "a"), (2, minute(1), None, "a"), (3, minute(2), None, "a"), (1, minute(30), 1, "b"), (4, minute(200), 5, "a"), (5, minute(201), 6, "a"), (6, minute(202), 7, "a"), (7, minute(1), 8, "late")]
+    eventlog.appended(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"place long, {EVENTS}"), f"file://{tmp_path}/log", ["place"])
+    log_ = eventlog.streamed(spark, f"file://{tmp_path}/log", StructType.fromDDL(f"place long, {EVENTS}"), 2)
+    got = put_out(event_time.deduplicated(event_time.timed(log_, "at", "1 hour"), ["user_id"]).select("place", "user_id"), tmp_path)
+    assert sorted((r[2] or 0) for r in got) == [0, 1, 5, 6, 7]  # one of each key, null too, and not the late one
+    table = event_time.deduplicated(event_time.timed(spark.createDataFrame(rows, EVENTS), "at", "1 hour"), ["user_id"])
+    assert table.count() == 6
+
+
 def test_empty_log(spark, tmp_path):
     stream = event_time.timed(log(spark, tmp_path, [], 4), "at", "1 hour")
     assert put_out(event_time.windowed(stream, ["user_id"], [F.count("*").alias("n")], "1 hour"), tmp_path) == []
