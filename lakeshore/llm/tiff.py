@@ -103,21 +103,18 @@ def lzw(data: bytes) -> bytes:
 
 #: Widths of the codes after a clear code: the table grows by one with each but the first, and widths follow that a code early.
 _WIDTHS = np.clip(np.ceil(np.log2(259 + np.maximum(np.arange(4096), 1))).astype(np.int64), 9, 12)
-_LETTERS = [bytes([k]) for k in range(256)] + [b"", b""]
 #: Codes cut out at a time.
 _CUT = 1024
 
 
-def unlzw(data: bytes, size: int) -> bytes:
-    """TIFF's LZW: codes of 9 to 12 bits from the high bit on, each width one code early, 256 clears, 257 ends.
+def _codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All codes before the end code, without clear codes, and of each the number of the first one after the last clear code.
 
-    Widths hang on nothing but the number of codes since the last clear code, so codes are cut out of the bits many at once; the table keeps
-    its letters when it is cleared.
+    Widths hang on nothing but the number of codes since that clear code, so codes are cut out of the bits many at once.
     """
     bits = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(3, np.uint8))).astype(np.int64)
-    table, out, got, at, since = list(_LETTERS), [], 0, 0, 0
-    last: bytes | None = None
-    while got < size:
+    found, begun, n, at, since = [], [], 0, 0, 0
+    while True:
         width = _WIDTHS[np.minimum(np.arange(since, since + _CUT), len(_WIDTHS) - 1)]
         ends = at + np.cumsum(width)
         width = width[: int(np.searchsorted(ends, 8 * len(data), "right"))]
@@ -127,21 +124,9 @@ def unlzw(data: bytes, size: int) -> bytes:
         codes = (held >> (24 - (first & 7) - width)) & ((1 << width) - 1)
         stops = np.flatnonzero((codes == 256) | (codes == 257))
         stop = int(stops[0]) if len(stops) else len(codes)
-        before = len(out)
-        for code in codes[:stop].tolist():
-            if code < len(table):
-                word = table[code]
-            elif code == len(table) and last is not None:
-                word = last + last[:1]
-            elif got + sum(map(len, out[before:])) >= size:
-                return b"".join(out)
-            else:
-                raise ValueError("LZW code out of range")
-            if last is not None and len(table) < 4096:
-                table.append(last + word[:1])
-            out.append(word)
-            last = word
-        got += sum(map(len, out[before:]))
+        found.append(codes[:stop])
+        begun.append(np.full(stop, n - since))
+        n += stop
         if stop == len(codes):
             if stop < _CUT:  # the data end without an end code
                 break
@@ -149,9 +134,42 @@ def unlzw(data: bytes, size: int) -> bytes:
         elif codes[stop] == 257:
             break
         else:
-            at, since, last = int(ends[stop]), 0, None
-            del table[258:]
-    return b"".join(out)
+            at, since = int(ends[stop]), 0
+    return np.concatenate(found), np.concatenate(begun)
+
+
+def unlzw(data: bytes, size: int) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits from the high bit on, each width one code early, 256 clears, 257 ends. At least ``size`` bytes, if
+    there are so many before a code that is none.
+
+    An entry of the table is what one code put out and the next byte put out, so it is a stretch of the output. No table is kept: each
+    output byte points to an earlier one that it equals, or is a letter, and pointers are followed all at once, twice as far each round.
+    """
+    codes, begun = _codes(data)
+    own = np.arange(len(codes))
+    letter = codes < 256
+    entry = np.where(letter, own, begun + codes - 258)  # the code whose output, and a byte more, this one repeats
+    known = letter | ((codes >= 258) & (entry < own) & (entry - begun < 4096 - 258))
+    good = len(codes) if known.all() else int(known.argmin())
+    letter, entry = letter[:good], entry[:good]
+    steps, far, rounds = np.where(letter, 0, 1), entry, 0
+    while not letter[far].all():
+        steps += steps[far]
+        far = far[far]
+        rounds += 1
+    length = steps + 1
+    ends = np.cumsum(length)
+    enough = int(np.searchsorted(ends, size)) + 1
+    if good < len(codes) and enough > good:
+        raise ValueError("LZW code out of range")
+    length, ends = length[:enough], ends[:enough]
+    begins = ends - length
+    place = np.arange(int(ends[-1]) if len(ends) else 0)
+    of = np.repeat(np.arange(len(length)), length)
+    points = np.where(letter[of], place, begins[entry[of]] + place - begins[of])
+    for _ in range(rounds + 2):
+        points = points[points]
+    return codes[of[points]].astype(np.uint8).tobytes()
 
 
 def _fields(data: bytes, at: int, order: str, big: bool) -> tuple[dict[int, tuple], int]:
