@@ -416,9 +416,10 @@ def without_falsy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a bounded file stream."""
+    """A table, a file or a folder of files, as a bounded file stream."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+    # a stream takes a single file only by a pattern
+    return spark.readStream.schema(schema).option("basePath", sf_dir).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
 def _own_folder(spark: SparkSession, name: str) -> str:
@@ -468,6 +469,7 @@ def unmatched_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace("url", "^[a-z]+://[^/]+", "")
     pages = streamed(spark, sf_dir, "pages").select(path.alias("path"))
     folder = _own_folder(spark, "unmatched")
-    unmatched = pages.filter(S.routed(F.col("path"), {"/": "home", "": "home"}, "not-found") == "not-found")
+    known = pages.filter("path is not null")  # as in SQL
+    unmatched = known.filter(S.routed(F.col("path"), {"/": "home", "": "home"}, "not-found") == "not-found")
     store.run_to_end(unmatched, folder, [sinks.unmatched_logged(folder=f"{folder}/paths")], "append")
     return spark.read.schema("path string, count long").parquet(f"{folder}/paths").groupBy("path").agg(F.sum("count").alias("n"))

@@ -27,3 +27,21 @@ def test_oracle_on_the_smallest_tables(spark):
         a = sorted(tuple(map(plain, r)) for r in got.select(*columns).collect())
         b = sorted(tuple(map(plain, r)) for r in want.select(*columns).fetchall())
         assert a == b, name
+
+
+def test_streams_of_tables_that_are_folders(spark, tmp_path):
+    """Tables of part files, in partitions or not, are streamed like single files; a page without a url has no path."""
+    import duckdb
+
+    from lakeshore.plans import catalog
+
+    con = duckdb.connect()
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").unionByName(spark.createDataFrame([(900, None, "x"), (901, "http://a.b", "x")], "page_id long, url string, html string"))
+    pages.selectExpr("*", "page_id % 2 AS half").write.partitionBy("half").parquet(f"file://{tmp_path}/pages.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    pages.limit(5).write.parquet(f"file://{tmp_path}/pages_old.parquet")  # another table, whose name begins alike
+    for t in ("pages", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/**/*.parquet'")
+    for name in ("unmatched_paths", "slideshow_stream", "store_stream"):
+        got, want = catalog.REGISTRY.queries[name](spark, f"file://{tmp_path}"), con.sql(catalog.REGISTRY.oracles[name])
+        assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall())), name
