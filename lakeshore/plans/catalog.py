@@ -71,9 +71,11 @@ def keyed_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_state.deleted_keys(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@REGISTRY.register("keyed_delete_one", "SELECT o_orderkey FROM orders WHERE o_orderkey <> 7")
+@REGISTRY.register("keyed_delete_one", "SELECT o_orderkey, count(*) OVER () AS n_left FROM orders WHERE o_orderkey <> 7")
 def keyed_delete_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed_state.deleted(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 7)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey").filter("o_orderkey is not null")  # as in SQL
+    left = keyed_state.deleted(orders, "o_orderkey", 7)
+    return left.crossJoin(F.broadcast(left.agg(F.count("*").alias("n_left"))))  # one row: a window over all would be one task
 
 
 @REGISTRY.register("keyed_delete_all", "SELECT o_orderkey FROM orders WHERE false")

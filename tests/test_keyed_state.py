@@ -118,3 +118,17 @@ def test_stream_of_actions(spark, tmp_path):
     query.stop()
     got = sorted([(s, *r[1:]) for s, r in shown.items() if r.toast_id], key=str)
     assert got == expected(actions)
+
+
+def test_delete_one_counts_what_is_left(spark, tmp_path):
+    import duckdb
+
+    from lakeshore.plans import catalog
+
+    query, sql = catalog.REGISTRY.queries["keyed_delete_one"], catalog.REGISTRY.oracles["keyed_delete_one"]
+    for name, keys, want in (("some", [5, 7, 7, 9, 9, None], [(5, 3), (9, 3), (9, 3)]), ("none", [7, None], []), ("empty", [], [])):
+        spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"file://{tmp_path}/{name}/orders.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/{name}/orders.parquet/*.parquet'")
+        assert sorted(map(tuple, query(spark, f"file://{tmp_path}/{name}").select("o_orderkey", "n_left").collect())) == want
+        assert sorted(con.sql(sql).select("o_orderkey, n_left").fetchall()) == want
