@@ -110,3 +110,28 @@ def test_rows_of_one_id_cost_no_square(spark, monkeypatch, own_id):
     got_least = min(r[2] for r in got)
     assert sorted(tuple(r) for r in got) == [(490, 3000, got_least, 1), (600, 3000, 600, 1)] and got_least >= 450
     assert cut == [3001]
+
+
+@pytest.mark.parametrize("heavy", [1 << 20, 10])
+def test_pieces_are_not_joined_with_their_copies(spark, monkeypatch, heavy):
+    """Copies of a piece are known by their count; only pieces that occur once send anything to their texts."""
+    monkeypatch.setattr(suffixes, "ANCHOR_BYTES", heavy)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(6000)
+    rows = [(k, text(30) + shared + text(30)) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    *_, partly = suffixes.repeats(docs)
+    joins = [line for line in partly._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not [line for line in joins if "piece_key" in line]
+    sent, real = [], suffixes._alone
+
+    def counted(distinct):
+        out = real(distinct).cache()
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffixes, "_alone", counted)
+    got = suffixes.deduplicated(docs).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_force(rows)
+    assert 0 < sum(sent) <= 50 * 62  # at most a row for each string that takes in an end of its own
